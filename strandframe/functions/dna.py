@@ -176,25 +176,6 @@ def iupac_reverse(site: str) -> str:
     return "".join(back[frozenset(pair[b] for b in IUPAC[c])] for c in reversed(site))
 
 
-def match_offsets(seq, pattern: str) -> Column:
-    """0-based starts of every, also overlapping, match of ``pattern`` as ARRAY<INT>.
-
-    The text is split at a look-ahead, so the scan is one JVM regex pass; use on texts of bounded length
-    (see operators.scan.chunks), since the running offsets are kept in an array.
-    """
-    s = col(seq)
-    pieces = F.split(s, f"(?={pattern})", -1)
-    ends = F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offs")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p)).alias("at"), F.array_append(a["offs"], a["at"] + F.length(p)).alias("offs")
-        ),
-    )["offs"]
-    first = F.when(s.rlike(f"^(?:{pattern})"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.concat(first, F.filter(ends, lambda x: x < F.length(s))))
-
-
 def effect_size_label(d) -> Column:
     """Cohen's conventional size classes."""
     a = F.abs(col(d))

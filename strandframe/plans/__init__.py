@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("matrix",)
+FAMILIES = ("matrix", "sequences")
 
 
 def load() -> None:

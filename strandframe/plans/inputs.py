@@ -49,9 +49,7 @@ def _probes(t):
 
 
 def _protein(t):
-    return balanced(t.documents.select("doc_id", "text")).select(
-        F.col("doc_id").alias("seq_id"), F.regexp_replace(F.upper("text"), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("seq")
-    )
+    return _letters(t).select("seq_id", F.regexp_replace(F.upper("letters"), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("seq"))
 
 
 def _counts(t):
@@ -181,7 +179,8 @@ DERIVED: dict[str, Derived] = {
     ),
     "protein": Derived(
         _protein,
-        "SELECT doc_id AS seq_id, regexp_replace(upper(text), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS seq FROM documents",
+        "SELECT seq_id, regexp_replace(upper(letters), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS seq FROM letters",
+        ("letters",),
     ),
     "counts": Derived(
         _counts,
