@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-FIRST, LAST = W.unboundedPreceding, W.unboundedFollowing
+FIRST = W.unboundedPreceding
 POSITION_TILE = 1 << 16
 
 
@@ -36,46 +36,41 @@ def prefix_sums(
     part: Sequence[str] = (),
     tile: Column | None = None,
     keep_tile: bool = False,
+    with_next: bool = False,
 ) -> DataFrame:
     """Add ``<v>_before`` (sum over smaller keys) and ``<v>_total`` for each value column.
 
+    ``with_next`` adds ``next_<key>``, the following key of the part (NULL after the last), in the same scan.
+
     ``df`` must hold one row per (part, key): aggregate to that grain first, so that ties cost one row.
     """
     part = list(part)
     tile = quantile_tile(df, key) if tile is None else tile
     tiled = df.withColumn("_tile", tile)
-    sums = tiled.groupBy(*part, "_tile").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
-    by_tile = W.partitionBy(*part).orderBy("_tile").rowsBetween(FIRST, -1)
+    heads = [F.min(key).alias("_head")] if with_next else []
+    sums = tiled.groupBy(*part, "_tile").agg(*[F.sum(v).alias(f"_s_{v}") for v in values], *heads)
+    tiles_in_order = W.partitionBy(*part).orderBy("_tile")
+    by_tile = tiles_in_order.rowsBetween(FIRST, -1)
     whole = W.partitionBy(*part)
     carry = sums.select(
         *part,
         "_tile",
+        *([F.lead("_head").over(tiles_in_order).alias("_ahead")] if with_next else []),
         *[F.coalesce(F.sum(f"_s_{v}").over(by_tile), F.lit(0)).alias(f"_c_{v}") for v in values],
         *[F.sum(f"_s_{v}").over(whole).alias(f"{v}_total") for v in values],
     )
-    inside = W.partitionBy(*part, "_tile").orderBy(key).rowsBetween(FIRST, -1)
+    rows = W.partitionBy(*part, "_tile").orderBy(key)
+    inside = rows.rowsBetween(FIRST, -1)
     out = tiled.join(carry, [*part, "_tile"]).select(
         *df.columns,
         "_tile",
         *[(F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_c_{v}")).alias(f"{v}_before") for v in values],
         *[f"{v}_total" for v in values],
+        *([F.coalesce(F.lead(key).over(rows), F.col("_ahead")).alias(f"next_{key}")] if with_next else []),
     )
     return out if keep_tile else out.drop("_tile")
 
 
-def next_key(df: DataFrame, key: str, part: Sequence[str] = (), tile: Column | None = None) -> DataFrame:
-    """Add ``next_<key>``, the following key within ``part`` (NULL after the last one)."""
-    part = list(part)
-    tile = quantile_tile(df, key) if tile is None else tile
-    tiled = df.withColumn("_tile", tile)
-    heads = tiled.groupBy(*part, "_tile").agg(F.min(key).alias("_head"))
-    ahead = heads.withColumn("_ahead", F.lead("_head").over(W.partitionBy(*part).orderBy("_tile"))).drop("_head")
-    w = W.partitionBy(*part, "_tile").orderBy(key)
-    return tiled.join(ahead, [*part, "_tile"]).select(
-        *df.columns, F.coalesce(F.lead(key).over(w), F.col("_ahead")).alias(f"next_{key}")
-    )
-
-
 def average_ranks(df: DataFrame, value: str, part: Sequence[str] = (), tile: Column | None = None) -> DataFrame:
     """Distinct values with ``n``, ``n_total`` and their average rank ``avg_rank``: the rank table of ``value``."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("n"))
@@ -83,17 +78,22 @@ def average_ranks(df: DataFrame, value: str, part: Sequence[str] = (), tile: Col
     return out.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2).drop("n_before")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], part: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], part: Sequence[str] = (), tile: Column | None = None
+) -> DataFrame:
     """Exact, linearly interpolated quantiles ``q0, q1, ..`` per part, from the value histogram."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("n"))
-    return histogram_quantiles(counts, value, "n", probs, part)
+    return histogram_quantiles(counts, value, "n", probs, part, tile)
 
 
 def histogram_quantiles(
-    counts: DataFrame, value: str, n: str, probs: Sequence[float], part: Sequence[str] = ()
+    counts: DataFrame, value: str, n: str, probs: Sequence[float], part: Sequence[str] = (), tile: Column | None = None
 ) -> DataFrame:
-    """Quantiles of a table that already holds one row per (part, value) with its count."""
-    ranked = prefix_sums(counts, value, [n], part)
+    """Quantiles of a table that already holds one row per (part, value) with its count.
+
+    Whole-numbered values can pass ``position_tile(value)`` and save the pass that looks for tile bounds.
+    """
+    ranked = prefix_sums(counts, value, [n], part, tile)
     before, total = F.col(f"{n}_before"), F.col(f"{n}_total")
 
     def at(index: Column) -> Column:
@@ -126,9 +126,10 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_value", out: str = "p_adjusted
     )
     lows = ranked.groupBy(*part, "_tile").agg(F.min("_raw").alias("_low"))
     later = lows.withColumn(
-        "_later", F.min("_low").over(W.partitionBy(*part).orderBy("_tile").rowsBetween(1, LAST))
+        "_later", F.min("_low").over(W.partitionBy(*part).orderBy(F.desc("_tile")).rowsBetween(FIRST, -1))
     ).drop("_low")
-    inside = W.partitionBy(*part, "_tile").orderBy(p).rowsBetween(0, LAST)
+    # frames grow backwards from the end: a frame that reaches forward to the end is summed anew for every row
+    inside = W.partitionBy(*part, "_tile").orderBy(F.desc(p)).rowsBetween(FIRST, 0)
     adjusted = ranked.join(later, [*part, "_tile"]).select(
         *part, p, F.least(F.lit(1.0), F.min("_raw").over(inside), F.col("_later")).alias(out)
     )
@@ -187,3 +188,74 @@ def prefix_within_ties(df: DataFrame, score: str, row_id: str) -> DataFrame:
     rows = df.select(score, row_id, F.lit(1).alias("_one"))
     out = prefix_sums(rows, row_id, ["_one"], [score])
     return out.select(score, row_id, (F.col("_one_before") + 1).alias("_place"))
+
+
+def previous_row(df: DataFrame, key: str, columns: Sequence[str], part: Sequence[str] = (), tile: Column | None = None) -> DataFrame:
+    """Add ``prev_<c>`` of the row before in ``key`` order, also across tiles. ``key`` is unique within ``part``."""
+    part = list(part)
+    tile = quantile_tile(df, key) if tile is None else tile
+    tiled = df.withColumn("_tile", tile)
+    tails = tiled.groupBy(*part, "_tile").agg(F.max_by(F.struct(*columns), F.col(key)).alias("_tail"))
+    behind = tails.withColumn("_behind", F.lag("_tail").over(W.partitionBy(*part).orderBy("_tile"))).drop("_tail")
+    w = W.partitionBy(*part, "_tile").orderBy(key)
+    return tiled.join(behind, [*part, "_tile"]).select(
+        *df.columns, *[F.coalesce(F.lag(c).over(w), F.col(f"_behind.{c}")).alias(f"prev_{c}") for c in columns]
+    )
+
+
+def islands(df: DataFrame, key: str, breaks: Column, part: Sequence[str], tile: Column, columns: Sequence[str]) -> DataFrame:
+    """Number runs of neighbouring rows: ``breaks`` (over ``prev_*`` columns) starts a new ``island``."""
+    flagged = previous_row(df, key, columns, part, tile).withColumn(
+        "_break", F.when(F.coalesce(breaks, F.lit(True)), 1).otherwise(0)
+    )
+    out = prefix_sums(flagged, key, ["_break"], part, tile)
+    return out.withColumn("island", F.col("_break_before") + F.col("_break")).select(*df.columns, "island")
+
+
+def merged_runs(
+    df: DataFrame, key: str, breaks: Column, part: Sequence[str], tile: Column, columns: Sequence[str], folds: Sequence[Column]
+) -> DataFrame:
+    """Merge neighbouring rows into runs in two levels, each with the same ``breaks`` and ``folds``.
+
+    Rows are first merged inside each tile, which leaves one row per run and tile; only these are then merged
+    along the whole part. ``folds`` are aggregates that keep the column names, so that they can be applied twice.
+    """
+
+    def level(rows: DataFrame, window_part: list[str]) -> DataFrame:
+        w = W.partitionBy(*window_part).orderBy(key)
+        flagged = rows.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns]).withColumn(
+            "_break", F.when(F.coalesce(breaks, F.lit(True)), 1).otherwise(0)
+        )
+        return flagged.withColumn("_run", F.sum("_break").over(w)).groupBy(*window_part, "_run").agg(*folds).drop("_run")
+
+    local = level(df.withColumn("_tile", tile), [*part, "_tile"]).drop("_tile")
+    return level(local, list(part))
+
+
+def neighbours(points: DataFrame, queries: DataFrame, pos: str, name: str, part: Sequence[str], tile: Column) -> DataFrame:
+    """For each distinct query position the nearest point at or before it and at or after it.
+
+    Result: ``part, pos, before, after`` with structs of position and smallest name at that position.
+    """
+    part = list(part)
+    rows = (
+        points.groupBy(*part, pos).agg(F.min(name).alias("_name"))
+        .unionByName(queries.select(*part, pos).distinct().withColumn("_name", F.lit(None)), allowMissingColumns=True)
+        .groupBy(*part, pos)
+        .agg(F.max("_name").alias("_name"))
+        .withColumn("_here", F.when(F.col("_name").isNotNull(), F.struct(F.col(pos).alias("pos"), F.col("_name").alias("name"))))
+        .withColumn("_tile", tile)
+    )
+    ends = rows.groupBy(*part, "_tile").agg(F.max("_here").alias("_last"), F.min("_here").alias("_first"))
+    up, down = (W.partitionBy(*part).orderBy(o).rowsBetween(FIRST, -1) for o in (F.asc("_tile"), F.desc("_tile")))
+    carry = ends.select(
+        *part, "_tile",
+        F.last("_last", ignorenulls=True).over(up).alias("_from"),
+        F.last("_first", ignorenulls=True).over(down).alias("_to"),
+    )
+    rising, falling = (W.partitionBy(*part, "_tile").orderBy(o).rowsBetween(FIRST, 0) for o in (F.asc(pos), F.desc(pos)))
+    return rows.join(carry, [*part, "_tile"]).select(
+        *part, pos,
+        F.coalesce(F.last("_here", ignorenulls=True).over(rising), F.col("_from")).alias("before"),
+        F.coalesce(F.last("_here", ignorenulls=True).over(falling), F.col("_to")).alias("after"),
+    )

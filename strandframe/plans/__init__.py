@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("matrix", "sequences")
+FAMILIES = ("matrix", "sequences", "coordinates")
 
 
 def load() -> None:

@@ -63,7 +63,7 @@ def _design_of(sample):
 
 
 def _minutes(c):
-    return F.floor((F.unix_micros(c) - F.lit(1704067200000000)) / F.lit(60000000))
+    return F.expr(f"timestampdiff(MINUTE, TIMESTAMP_NTZ '2024-01-01 00:00:00', {c})")
 
 
 def _aligned(t):

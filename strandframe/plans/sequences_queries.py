@@ -257,8 +257,8 @@ def _sites(t):
 
 
 _CUTS = """
-, s AS (SELECT seq_id, seq, length(seq) AS n, unnest(range(0, length(seq))) AS pos FROM dna),
-c AS (SELECT DISTINCT seq_id, n, pos + 1 AS cp FROM s WHERE substr(seq, pos + 1, 6) IN ('GAATTC', 'GGATCC', 'AAGCTT'))
+, s AS MATERIALIZED (SELECT seq_id, length(seq) AS n, pos, substr(seq, pos + 1, 6) AS w FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS pos FROM dna)),
+c AS MATERIALIZED (SELECT DISTINCT seq_id, n, pos + 1 AS cp FROM s WHERE w IN ('GAATTC', 'GGATCC', 'AAGCTT'))
 """
 
 
