@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import cut_lineage
+
 FIRST = W.unboundedPreceding
 POSITION_TILE = 1 << 16
 
@@ -114,12 +116,16 @@ def histogram_quantiles(
     )
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p_value", out: str = "p_adjusted", part: Sequence[str] = ()) -> DataFrame:
+def benjamini_hochberg(
+    df: DataFrame, p: str = "p_value", out: str = "p_adjusted", part: Sequence[str] = (), materialize: bool = True
+) -> DataFrame:
     """Step-up adjusted p-values; a NULL p stays NULL and is not counted.
 
-    Equal p-values share one adjusted value, so the work runs over distinct p with their counts.
+    Equal p-values share one adjusted value, so the work runs over distinct p with their counts. The table of
+    tests is read several times, so by default it is checkpointed and the tests behind it run once.
     """
     part = list(part)
+    df = cut_lineage(df) if materialize else df
     counts = df.filter(F.col(p).isNotNull()).groupBy(*part, p).agg(F.count(F.lit(1)).alias("n"))
     ranked = prefix_sums(counts, p, ["n"], part, keep_tile=True).withColumn(
         "_raw", F.col(p) * F.col("n_total") / (F.col("n_before") + F.col("n"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("matrix", "sequences", "coordinates")
+FAMILIES = ("matrix", "sequences", "coordinates", "statistics", "sets", "search")
 
 
 def load() -> None:

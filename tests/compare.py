@@ -8,6 +8,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -25,12 +26,14 @@ def canonical(frame):
     frame = frame.reindex(sorted(frame.columns), axis=1)
 
     def show(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v):
             return "~"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
         if isinstance(v, float) or type(v).__name__.startswith("float"):
             return repr(float(v) + 0.0)
+        if isinstance(v, (list, dict)) or hasattr(v, "dtype") and getattr(v, "ndim", 0):
+            return repr(v)
         return str(v)
 
     return list(frame.columns), sorted(tuple(show(v) for v in row) for row in frame.itertuples(index=False))
