@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("matrix", "sequences", "coordinates", "statistics", "sets", "search")
+FAMILIES = ("matrix", "sequences", "coordinates", "statistics", "sets", "search", "learning")
 
 
 def load() -> None:
