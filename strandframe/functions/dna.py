@@ -160,7 +160,7 @@ def guide_score(guide) -> Column:
     g = col(guide)
     gc = count_of(g, "GC") / F.length(g) * 100
     runs = F.transform(F.regexp_extract_all(g, F.lit("((.)\\2{3,})"), F.lit(1)), lambda r: F.length(r))
-    longest = F.coalesce(F.array_max(runs), F.lit(0))
+    longest = F.when(g.rlike("AAAA|CCCC|GGGG|TTTT"), F.coalesce(F.array_max(runs), F.lit(0))).otherwise(0)
     gc_runs = F.regexp_count(g, F.lit("[GC]{5,}"))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(gc - 50) / 50 - 0.1 * longest - 0.05 * gc_runs))
 

@@ -82,24 +82,38 @@ def _hypergeometric(k: np.ndarray, hits: float, drawn: float, total: float) -> n
     return np.exp(_log_choose(hits, k) + _log_choose(total - hits, drawn - k) - _log_choose(total, drawn))
 
 
-def _over(k: pd.Series, hits: pd.Series, drawn: pd.Series, total: pd.Series) -> pd.Series:
+def _per_table(fn, *columns) -> pd.Series:
+    """``fn`` once per distinct table of a batch; tables with a missing cell give NULL."""
+    known: dict[tuple, float | None] = {}
     out = []
-    for a, h, d, n in zip(k, hits, drawn, total):
-        low = max(0.0, h + d - n)
-        ks = np.arange(max(a, low), min(h, d) + 1, dtype=float)
-        out.append(1.0 if a <= low else min(1.0, float(_hypergeometric(ks, h, d, n).sum())))
-    return pd.Series(out)
+    for key in zip(*columns):
+        if key not in known:
+            known[key] = None if any(v != v for v in key) else fn(*key)
+        out.append(known[key])
+    return pd.Series(out, dtype=float)
+
+
+def _over_one(a: float, h: float, d: float, n: float) -> float:
+    low = max(0.0, h + d - n)
+    if a <= low:
+        return 1.0
+    return min(1.0, float(_hypergeometric(np.arange(a, min(h, d) + 1), h, d, n).sum()))
+
+
+def _two_sided(w: float, x: float, y: float, z: float) -> float:
+    hits, drawn, total = w + y, w + x, w + x + y + z
+    ks = np.arange(max(0, hits + drawn - total), min(hits, drawn) + 1, dtype=float)
+    pr = _hypergeometric(ks, hits, drawn, total)
+    here = float(_hypergeometric(np.array([w]), hits, drawn, total)[0])
+    return min(1.0, float(pr[pr <= here * (1 + 1e-7)].sum()))
+
+
+def _over(k: pd.Series, hits: pd.Series, drawn: pd.Series, total: pd.Series) -> pd.Series:
+    return _per_table(_over_one, k, hits, drawn, total)
 
 
 def _fisher_two(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    out = []
-    for w, x, y, z in zip(a, b, c, d):
-        hits, drawn, total = w + y, w + x, w + x + y + z
-        ks = np.arange(max(0, hits + drawn - total), min(hits, drawn) + 1, dtype=float)
-        pr = _hypergeometric(ks, hits, drawn, total)
-        here = float(_hypergeometric(np.array([float(w)]), hits, drawn, total)[0])
-        out.append(min(1.0, float(pr[pr <= here * (1 + 1e-7)].sum())))
-    return pd.Series(out)
+    return _per_table(_two_sided, a, b, c, d)
 
 
 def _double(c) -> Column:

@@ -213,8 +213,9 @@ def negative_binomial(df: DataFrame, control: str, treated: str, feature: str =
         + (F.col("m2") + F.col("m2") ** 2 / size) / (F.col("n2") * F.col("m2") ** 2)
     )
     wald = F.when(F.col("v") > F.col("m"), F.log2(F.col("m2") / F.col("m1")) / se)
+    # Arrow functions run on every row, so rows that take the Wald test pass NULL cells and cost nothing
     cells = [
-        F.greatest(F.lit(1), c)
+        F.when(F.col("v") <= F.col("m"), F.greatest(F.lit(1), c))
         for c in (F.col("up1"), F.col("n1") - F.col("up1"), F.col("up2"), F.col("n2") - F.col("up2"))
     ]
     return (

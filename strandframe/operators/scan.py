@@ -19,6 +19,7 @@ from ..functions import fixed_values as V
 from . import ordered
 
 PIECE = 1 << 16
+WORD_PIECE = 128
 
 
 def chunks(df: DataFrame, seq: str = "seq", overlap: int = 0, size: int = PIECE) -> DataFrame:
@@ -36,13 +37,16 @@ def chunks(df: DataFrame, seq: str = "seq", overlap: int = 0, size: int = PIECE)
 
 
 def words(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """One row per position: 0-based ``pos`` and the ``k``-letter ``word`` starting there."""
+    """One row per position: 0-based ``pos`` and the ``k``-letter ``word`` starting there.
+
+    Words are cut from short pieces, since cutting at a place costs time in proportion to that place; positions and
+    words are made inside generated code and no array of words is built.
+    """
+    size = max(WORD_PIECE, k)
     keep = [c for c in df.columns if c != seq]
-    return (
-        chunks(df, seq, overlap=k - 1)
-        .select(*keep, "offset", F.posexplode(dna.kmers("piece", k)).alias("_p", "word"))
-        .select(*keep, (F.col("offset") + F.col("_p")).alias("pos"), "word")
-    )
+    pieces = chunks(df, seq, overlap=k - 1, size=size).filter(F.length("piece") >= k)
+    at = pieces.select(*keep, "offset", "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(size), F.length("piece") - (k - 1)))).alias("_p"))
+    return at.select(*keep, (F.col("offset") + F.col("_p") - 1).alias("pos"), F.substring("piece", F.col("_p"), F.lit(k)).alias("word"))
 
 
 def kmer_composition(df: DataFrame, k: int = 3, by: Sequence[str] = (), seq: str = "seq") -> DataFrame:
@@ -346,8 +350,8 @@ def guides(df: DataFrame, nuclease: str = "SpCas9", guide_length: int = 20, seq:
         F.lit("-").alias("strand"), F.expr(f"right(word, {guide_length})").alias("guide"),
         dna.reverse_complement(F.substring(word, 1, n)).alias("pam"),
     )
-    is_plus = word.rlike(f"{dna.iupac_regex(pam)}$")
-    is_minus = word.rlike(f"^{dna.iupac_regex(dna.iupac_reverse(pam))}")
+    is_plus = F.substring(word, guide_length + 1, n).rlike(f"^{dna.iupac_regex(pam)}$")
+    is_minus = F.substring(word, 1, n).rlike(f"^{dna.iupac_regex(dna.iupac_reverse(pam))}$")
     found = sites.filter(is_plus | is_minus).select(
         *keep, "pos", F.inline(F.array_compact(F.array(F.when(is_plus, plus), F.when(is_minus, minus))))
     )
@@ -434,38 +438,33 @@ def _mean(peptide: Column, value) -> Column:
     return F.aggregate(F.split(peptide, ""), F.lit(0.0), lambda a, c: a + value(c)) / F.length(peptide)
 
 
-def peptides(df: DataFrame, sizes: Sequence[int], seq: str = "seq") -> DataFrame:
-    """Every peptide of the given sizes with ``start`` and ``end``."""
-    keep = [c for c in df.columns if c != seq]
-    pieces = chunks(df, seq, overlap=max(sizes) - 1)
-    scans = F.flatten(
-        F.array(*[F.transform(dna.kmers("piece", w), lambda p, i: F.struct(i.alias("_i"), p.alias("peptide"))) for w in sizes])
-    )
-    return (
-        pieces.select(*keep, "offset", F.inline(scans))
-        .filter(F.col("_i") < PIECE)
-        .select(*keep, "peptide", (F.col("offset") + F.col("_i")).alias("start"))
-        .withColumn("end", F.col("start") + F.length("peptide"))
-    )
+def _starts(df: DataFrame, sizes: Sequence[int], seq: str) -> DataFrame:
+    """Each start with the longest ``word`` there and every ``size`` that fits: peptides are cut from it later."""
+    longest = max(sizes)
+    padded = F.concat(F.col(seq), F.lit("-" * (longest - 1)))
+    at = words(df.withColumn("_len", F.length(seq)).withColumn(seq, padded), longest, seq)
+    return at.withColumn("size", F.explode(F.array(*[F.lit(w) for w in sizes]))).filter(F.col("pos") + F.col("size") <= F.col("_len"))
+
+
+def _peptides(starts: DataFrame, score: Column, threshold: float) -> DataFrame:
+    keep = [c for c in starts.columns if c not in ("_len", "pos", "word", "size")]
+    cut = starts.select(*keep, F.expr("left(word, size)").alias("peptide"), F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end"))
+    return cut.withColumn("score", F.round(score, 9)).filter(F.col("score") >= threshold)
 
 
 def t_cell_epitopes(df: DataFrame, supertype: str = "A0201", sizes: Sequence[int] = (8, 9, 10, 11), threshold: float = 0.5, seq: str = "seq") -> DataFrame:
     """Peptides by anchor residues and hydropathy; the cheap anchor bound is tested before the full score."""
     second, last = V.SUPERTYPES[supertype]
-    p2, p9 = F.substring("peptide", 2, 1), F.expr("right(peptide, 1)")
+    p2, p9 = F.substring("word", 2, 1), F.expr("substring(word, size, 1)")
     anchors = (
         0.3 * _scale(p2, V.ANCHOR, 0.1)
         + 0.3 * _scale(p9, V.ANCHOR, 0.1)
         + 0.2 * (F.when(p2.isin(*second), 0.3).otherwise(0.0) + F.when(p9.isin(*last), 0.3).otherwise(0.0))
     )
     hydro = _mean(F.col("peptide"), lambda c: _scale(c, V.HYDROPATHY, 0.0))
-    score = anchors + 0.2 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (hydro + 4.5) / 9))
-    return (
-        peptides(df, sizes, seq)
-        .filter(anchors + 0.2 >= threshold - 1e-9)
-        .withColumn("score", F.round(score, 9))
-        .filter(F.col("score") >= threshold)
-    )
+    score = F.col("_anchors") + 0.2 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (hydro + 4.5) / 9))
+    near = _starts(df, sizes, seq).withColumn("_anchors", anchors).filter(F.col("_anchors") + 0.2 >= threshold - 1e-9)
+    return _peptides(near, score, threshold).drop("_anchors")
 
 
 def _combined(parts: Sequence[tuple[float, dict, float]]) -> tuple[dict, float]:
@@ -480,14 +479,14 @@ def b_cell_epitopes(df: DataFrame, window: int = 7, threshold: float = 1.0, seq:
     surface = _mean(F.col("peptide"), lambda c: _scale(c, table, other))
     hydro = _mean(F.col("peptide"), lambda c: _scale(c, V.HYDROPATHY, 0.0))
     score = surface + 0.2 * F.greatest(F.lit(0.0), -hydro / 4.5)
-    return peptides(df, [window], seq).withColumn("score", F.round(score, 9)).filter(F.col("score") >= threshold)
+    return _peptides(_starts(df, [window], seq), score, threshold)
 
 
 def linear_epitopes(df: DataFrame, sizes: Sequence[int] = (10, 12, 15), threshold: float = 0.6, seq: str = "seq") -> DataFrame:
     """Windows by the mean of hydrophilicity, accessibility and propensity."""
     table, other = _combined([(-1 / 13.5, V.HYDROPATHY, 0.0), (1 / 3, V.ACCESSIBILITY, 1.0), (1 / 3, V.PROPENSITY, 0.7)])
     score = _mean(F.col("peptide"), lambda c: _scale(c, table, other))
-    return peptides(df, sizes, seq).withColumn("score", F.round(score, 9)).filter(F.col("score") >= threshold)
+    return _peptides(_starts(df, sizes, seq), score, threshold)
 
 
 def cleavage_sites(df: DataFrame, seq: str = "seq") -> DataFrame:
