@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
+from ..functions import pairwise
 from ..operators import columns, search
 from .catalog import query
 from .matrix_queries import rounded
@@ -236,3 +237,27 @@ SELECT pos::INTEGER AS pos, letter, round(n * 1.0 / t * bits, 6) AS height, roun
 def _logo(t):
     df = t.dna.select(F.col("seq").alias("aligned"))
     return rounded(columns.logo(df), "pos", "letter", height="height", bits="bits", conservation="conservation")
+
+
+@query("aligned_hits")
+def _aligned_hits(t):
+    hits = search.search(t.probes, t.dna, "probe_id", "seq_id").select("probe_id", "seq_id")
+    pairs = hits.join(t.probes.withColumnRenamed("seq", "q"), "probe_id").join(t.dna.withColumnRenamed("seq", "s"), "seq_id")
+    return pairs.select("probe_id", "seq_id", pairwise.local_score("q", "s").alias("local_score"), pairwise.global_score("q", "s").alias("global_score"))
+
+
+@query("tag_alignments", """
+WITH u AS (SELECT event_id AS id, substr(translate(md5((event_id % 997)::VARCHAR), '0123456789abcdef', 'AAAACCCCGGGGTTTT'), 1, 12) AS a FROM events)
+SELECT id, 12::BIGINT AS self_score, a AS aligned FROM u
+""")
+def _tag_alignments(t):
+    al = tags(t).select("tag", pairwise.global_alignment("seq", "seq").alias("x"))
+    return al.select(F.col("tag").alias("id"), F.col("x.score").alias("self_score"), F.col("x.aligned1").alias("aligned"))
+
+
+@query("window_classification")
+def _window_classification(t):
+    references = {str(r["probe_id"]): r["seq"] for r in t.probes.collect()}
+    return t.dna.select("seq_id", pairwise.best_reference("seq", references).alias("b")).select(
+        "seq_id", "b.reference", "b.identity", F.when(F.col("b.identity") > 0.7, "classified").otherwise("low_confidence").alias("status")
+    )

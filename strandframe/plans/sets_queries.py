@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import genetics, ordered, sets, tables, variants
+from ..operators import ordered, sets, tables
 from . import sql_stats as S
 from .catalog import query
 from .coordinates_queries import points

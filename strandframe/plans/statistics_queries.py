@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import genetics, omics, ordered, testing, variants
+from ..operators import genetics, omics, ordered, tables, testing, traces
 from . import sql_stats as S
 from .catalog import query
 from .matrix_queries import rounded
@@ -342,6 +342,59 @@ length(seq) - length(regexp_replace(seq, '[GC]', '', 'g')) AS g FROM dna)
 SELECT count(*) AS contigs, sum(l)::BIGINT AS bases, max(l) AS longest, min(l) AS shortest, round(sum(g) * 100.0 / sum(l), 6) AS gc_percent, max(l) FILTER (c >= t / 2.0) AS n50, min(i) FILTER (c >= t / 2.0) AS l50 FROM s
 """, uses="dna")
 def _assembly(t):
-    from ..operators.tables import assembly_statistics
 
-    return rounded(assembly_statistics(t.dna), "contigs", "bases", "longest", "shortest", "n50", "l50", gc_percent="gc_percent")
+
+    return rounded(tables.assembly_statistics(t.dna), "contigs", "bases", "longest", "shortest", "n50", "l50", gc_percent="gc_percent")
+
+
+def trace(t):
+    return t.orders.select((F.col("o_orderkey") % 3).alias("sample"), F.floor(F.col("o_orderkey") / 3).alias("scan"), F.col("o_totalprice").alias("intensity"))
+
+
+_TRACE = "WITH t AS (SELECT o_orderkey % 3 AS sample, o_orderkey // 3 AS scan, o_totalprice AS v FROM orders), n AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM t WINDOW w AS (PARTITION BY sample ORDER BY scan))"
+
+
+@query("trace_peaks", _TRACE + """
+, m AS (SELECT sample, median(abs(v - l)) AS noise FROM n GROUP BY 1) SELECT sample, scan, v AS intensity, round(v / greatest(noise, 1e-10), 6) AS snr FROM n JOIN m USING (sample) WHERE v > l AND v > r AND v >= 3
+""")
+def _trace_peaks(t):
+    return rounded(traces.detect_peaks(trace(t)), "sample", "scan", "intensity", snr="snr")
+
+
+def backbone(t):
+    """Three atoms per residue from consecutive vectors."""
+    e = F.col("embedding")
+    rows = [
+        F.struct(F.lit(a).alias("atom"), *[(e[3 * k + i].cast("double") * 10 + k).alias(c) for i, c in enumerate("xyz")]) for k, a in enumerate(("N", "CA", "C"))
+    ]
+    return t.embeddings.select(F.col("label").alias("structure"), F.lit("A").alias("chain"), F.col("vec_id").alias("resseq"), F.inline(F.array(*rows)))
+
+
+def _dihedral_sql() -> str:
+    def pt(k):
+        return ", ".join(f"embedding[{3 * k + i + 1}]::DOUBLE * 10 + {k} AS {'nac'[k]}{c}" for i, c in enumerate("xyz"))
+
+    def angle(p, q, r, s):
+        b = [[f"({v}{c} - {u}{c})" for c in "xyz"] for u, v in ((p, q), (q, r), (r, s))]
+
+        def cross(a, d):
+            return [f"({a[1]} * {d[2]} - {a[2]} * {d[1]})", f"({a[2]} * {d[0]} - {a[0]} * {d[2]})", f"({a[0]} * {d[1]} - {a[1]} * {d[0]})"]
+
+        def dot(a, d):
+            return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, d)) + ")"
+
+        n1, n2 = cross(b[0], b[1]), cross(b[1], b[2])
+        return f"degrees(atan2(sqrt({dot(b[1], b[1])}) * {dot(b[0], n2)}, {dot(n1, n2)}))"
+
+    return (
+        f"WITH a AS (SELECT label AS structure, vec_id AS resseq, {pt(0)}, {pt(1)}, {pt(2)} FROM embeddings), "
+        "w AS (SELECT *, " + ", ".join(f"lag(c{c}) OVER o AS p{c}, lead(n{c}) OVER o AS m{c}" for c in "xyz") + " FROM a WINDOW o AS (PARTITION BY structure ORDER BY resseq)), "
+        f"g AS (SELECT structure, resseq, {angle('p', 'n', 'a', 'c')} AS phi, {angle('n', 'a', 'c', 'm')} AS psi FROM w) "
+        "SELECT structure, resseq, round(phi, 4) AS phi, round(psi, 4) AS psi, CASE WHEN phi > -150 AND phi < -30 AND psi > -75 AND psi < 50 THEN 'H' "
+        "WHEN phi > -180 AND phi < -40 AND psi > 90 AND psi < 180 THEN 'E' ELSE 'C' END AS ss FROM g"
+    )
+
+
+@query("backbone_dihedrals", _dihedral_sql())
+def _dihedrals(t):
+    return tables.dihedrals(backbone(t)).select("structure", "resseq", F.round("phi", 4).alias("phi"), F.round("psi", 4).alias("psi"), "ss")
