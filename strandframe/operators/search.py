@@ -210,7 +210,8 @@ def kmer_jaccard(df: DataFrame, id: str, k: int, min_similarity: float, seq: str
     sets = words(d.select(id, "seq"), k).select(id, "word").distinct()
     common = sets.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     ranked = sets.join(common, "word").groupBy(id).agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
-    ranked = ranked.select(id, F.col("w").alias("r"), F.transform("w", lambda x: x["word"]).alias("w")).withColumn("n", F.size("w"))
+    # the sorted sets are read by both sides of the join and by the final comparison
+    ranked = cut_lineage(ranked.select(id, F.col("w").alias("r"), F.transform("w", lambda x: x["word"]).alias("w")).withColumn("n", F.size("w")))
     head = (F.col("n") - F.ceil(F.lit(min_similarity) * F.col("n") - 1e-9) + 1).cast("int")
     heads = ranked.withColumn("h", head).withColumn("last", F.element_at("r", F.col("h")))
     probe = heads.select(id, "n", F.struct("h", "last").alias("end"), F.explode(F.slice("w", F.lit(1), F.col("h"))).alias("word"))

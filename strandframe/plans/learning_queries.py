@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import cells, learning, mapping
+from ..session import cut_lineage
 from ..streaming import queries as streaming
 from . import sql_stats as S
 from .catalog import query
@@ -172,9 +173,10 @@ def _cell_report(t):
 
 @query("cell_pipeline")
 def _pipeline(t):
-    values = cells.log_normalized(cells.quality_filter(cell_counts(t), 200, 3, 5.0, "7"))
+    values = cut_lineage(cells.log_normalized(cells.quality_filter(cell_counts(t), 200, 3, 5.0, "7")))
     genes = [r["gene"] for r in cells.highly_variable(values, 50).collect()]
-    features = learning.with_vector(cells.cell_vectors(cells.scaled(values), genes), "features", "v").select("cell", F.col("v").alias("features"))
+    wide = learning.with_vector(cells.cell_vectors(cells.scaled(values), genes), "features", "v")
+    features = cut_lineage(wide.select("cell", F.col("v").alias("features")))
     coordinates, _ = learning.principal_components(features, 10)
     return learning.kmeans(coordinates.select("cell", F.col("pc").alias("features")), 4).select("cell", "cluster")
 
