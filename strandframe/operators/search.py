@@ -214,13 +214,13 @@ def kmer_jaccard(df: DataFrame, id: str, k: int, min_similarity: float, seq: str
     ranked = cut_lineage(ranked.select(id, F.col("w").alias("r"), F.transform("w", lambda x: x["word"]).alias("w")).withColumn("n", F.size("w")))
     head = (F.col("n") - F.ceil(F.lit(min_similarity) * F.col("n") - 1e-9) + 1).cast("int")
     heads = ranked.withColumn("h", head).withColumn("last", F.element_at("r", F.col("h")))
-    probe = heads.select(id, "n", F.struct("h", "last").alias("end"), F.explode(F.slice("w", F.lit(1), F.col("h"))).alias("word"))
-    a = probe.select(F.col(id).alias("id1"), F.col("n").alias("n1"), F.col("end").alias("e1"), "word")
-    b = probe.select(F.col(id).alias("id2"), F.col("n").alias("n2"), F.col("end").alias("e2"), "word")
+    probe = heads.select(id, "n", F.explode(F.slice("w", F.lit(1), F.col("h"))).alias("word"))
+    a = probe.select(F.col(id).alias("id1"), F.col("n").alias("n1"), "word")
+    b = probe.select(F.col(id).alias("id2"), F.col("n").alias("n2"), "word")
     near = (F.col("id1") < F.col("id2")) & (F.least("n1", "n2") >= F.lit(min_similarity) * F.greatest("n1", "n2") - 1e-9)
-    met = a.join(b, "word").filter(near).groupBy("id1", "id2").agg(
-        F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n1", "n2", "e1", "e2")]
-    )
+    met = a.join(b, "word").filter(near).groupBy("id1", "id2", "n1", "n2").agg(F.count(F.lit(1)).alias("c"))
+    for i in (1, 2):
+        met = met.join(heads.select(F.col(id).alias(f"id{i}"), F.struct("h", "last").alias(f"e{i}")), f"id{i}")
     # beyond the prefix that ends first, only its own remaining words can still be shared
     rest = F.when(F.col("e1.last") < F.col("e2.last"), F.col("n1") - F.col("e1.h")).otherwise(F.col("n2") - F.col("e2.h"))
     needed = F.lit(min_similarity / (1 + min_similarity)) * (F.col("n1") + F.col("n2"))

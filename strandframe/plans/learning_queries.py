@@ -171,8 +171,8 @@ def _cell_report(t):
     return cells.report(raw, cells.quality_filter(raw, 255, 50, 4.0, "7"), cell_clusters(t))
 
 
-@query("cell_pipeline")
-def _pipeline(t):
+@query("cell_workflow")
+def _workflow(t):
     values = cut_lineage(cells.log_normalized(cells.quality_filter(cell_counts(t), 200, 3, 5.0, "7")))
     genes = [r["gene"] for r in cells.highly_variable(values, 50).collect()]
     wide = learning.with_vector(cells.cell_vectors(cells.scaled(values), genes), "features", "v")
