@@ -173,7 +173,7 @@ def _cell_report(t):
 
 @query("cell_workflow")
 def _workflow(t):
-    values = cut_lineage(cells.log_normalized(cells.quality_filter(cell_counts(t), 200, 3, 5.0, "7")))
+    values = cut_lineage(cells.log_normalized(cells.quality_filter(cell_counts(t), 100, 3, 5.0, "7")))
     genes = [r["gene"] for r in cells.highly_variable(values, 50).collect()]
     wide = learning.with_vector(cells.cell_vectors(cells.scaled(values), genes), "features", "v")
     features = cut_lineage(wide.select("cell", F.col("v").alias("features")))
