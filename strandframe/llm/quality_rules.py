@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ CLOSING = r"""[.!?…。！？:;,"'”’»)\]]$"""
 NAVIGATION = r"^(home|menu|next|previous|prev|back|login|log in|sign in|sign up|register|search|share|contact( us)?|about( us)?|read more|skip to content|sitemap|subscribe)$"
 BOILERPLATE = r"cookie policy|uses? cookies|terms of (use|service)|privacy policy|all rights reserved|enable javascript|lorem ipsum|powered by wordpress"
 
+#: every match of ``BOILERPLATE`` holds one of these
+HINTS = ("cookie", "terms of ", "privacy policy", "all rights reserved", "enable javascript", "lorem ipsum", "powered by wordpress")
+
 
 def _removed(x: Column, characters: str) -> Column:
     for c in characters:
@@ -25,11 +31,18 @@ def _removed(x: Column, characters: str) -> Column:
     return x
 
 
+def _joined_hashes(hashes: Column, size: int) -> Column:
+    """Hashes of runs twice as long as those of ``hashes``, which stand for ``size`` words each."""
+    rest = F.slice(hashes, F.lit(size + 1), F.greatest(F.size(hashes) - size, F.lit(0)))
+    return F.zip_with(F.slice(hashes, F.lit(1), F.size(rest)), rest, lambda a, b: F.xxhash64(a, b))
+
+
 def _repeated_words(words_: Column) -> Column:
-    """Words inside 8-word windows that are found twice or more in the text, the first find included."""
-    n = F.size(words_)
-    starts = F.sequence(F.lit(1), n - (WINDOW - 1))
-    windows = F.transform(starts, lambda i: F.xxhash64(F.slice(words_, i, WINDOW)))
+    """Words inside 8-word windows that are found twice or more in the text, the first find included.
+
+    Window hashes are made by doubling: words, pairs, fours, eights. A repeated window repeats five runs of four words, so
+    texts with fewer repeated fours are done early.
+    """
 
     def covered(grams: Column) -> Column:
         placed = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
@@ -42,21 +55,33 @@ def _repeated_words(words_: Column) -> Column:
             steps = F.transform(starts_, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(starts_, k + 1) - x, F.lit(WINDOW))))
             return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), 0).otherwise(let(let(placed, repeats), total))
+        return let(let(placed, repeats), total)
 
-    return F.when(n <= WINDOW, 0).otherwise(let(windows, covered))
+    def fours_judged(fours: Column) -> Column:
+        few = F.size(fours) - F.size(F.array_distinct(fours)) < WINDOW - 3
+        return F.when(few, 0).otherwise(let(_joined_hashes(fours, 4), covered))
 
+    pairs = let(F.transform(words_, lambda w: F.xxhash64(w)), lambda h: _joined_hashes(h, 1))
+    return F.when(F.size(words_) <= WINDOW, 0).otherwise(let(let(pairs, lambda h: _joined_hashes(h, 2)), fours_judged))
 
-def _line_fails(line: Column, words_: Column) -> Column:
-    """Navigation bars and menu entries, boilerplate phrases, lines of symbols, and short lines without closing punctuation."""
+
+def _line_fails(line: Column, words_: Column, marked: Column, phrased: Column) -> Column:
+    """Navigation bars and menu entries, boilerplate phrases, lines of symbols, and short lines without closing punctuation.
+
+    ``marked`` and ``phrased`` say whether the text holds any symbol or phrase at all; most texts hold none.
+    """
+
+    def crowded(s: Column) -> Column:
+        return ((F.char_length(line) - F.char_length(s.b)) * 2 > words_) | ((F.char_length(s.a) - F.char_length(_removed(s.b, "»"))) * 4 > words_)
+
+    a = _removed(line, "#*$%&")
+    bars = let(a, lambda a: let(F.struct(a.alias("a"), _removed(a, "|<>").alias("b")), crowded))
     low = ascii_lower(line)
-    bars = F.char_length(line) - F.char_length(_removed(line, "|<>»"))
-    symbols = F.char_length(line) - F.char_length(_removed(line, SYMBOLS))
     return (
-        (bars * 4 > words_)
-        | (symbols * 2 > words_)
-        | (F.char_length(line) < 200) & (low.rlike(NAVIGATION) | low.rlike(BOILERPLATE))
-        | ~line.rlike(CLOSING) & (words_ < 3)
+        F.when(marked, bars).otherwise(False)
+        | (F.char_length(line) < 40) & low.rlike(NAVIGATION)
+        | phrased & (F.char_length(line) < 200) & low.rlike(BOILERPLATE)
+        | (words_ < 3) & ~F.right(line, F.lit(1)).rlike(CLOSING)
     )
 
 
@@ -78,10 +103,14 @@ def quality_figures(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     split = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("w"))
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: x), lambda x: strip_blanks(x) != "")
+    lines = F.filter(F.split("text", "\n", -1), lambda x: strip_blanks(x) != "")
+
+    marked = F.char_length(_removed(F.col("text"), SYMBOLS + "»")) < F.char_length("text")
+    phrased = let(F.lower("text"), lambda t: reduce(or_, [F.contains(t, F.lit(p)) for p in HINTS]))
 
     def judged(kept: Column) -> Column:
-        lost = F.transform(F.transform(kept, strip_blanks), lambda x: let(_spaces(x), lambda n: F.when(_line_fails(x, n), n).otherwise(0)))
+        fails = lambda s: F.transform(F.transform(kept, strip_blanks), lambda x: let(_spaces(x), lambda n: F.when(_line_fails(x, n, s.marked, s.phrased), n).otherwise(0)))
+        lost = let(F.struct(marked.alias("marked"), phrased.alias("phrased")), fails)
         return F.struct(
             (F.size(kept) - F.size(F.array_distinct(kept))).alias("dup"),
             F.aggregate(lost, F.lit(0), lambda a, b: a + b).alias("lost"),
