@@ -135,3 +135,58 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     kept = drop_repeated_lines(_documents(spark, folder))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+#: the tokenizer whose ids are written, and the id that ends a document
+TOKENIZER = "byte_bpe_50k.json"
+END_ID = 2
+
+
+@_query()
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_store
+    from .text import shared_folder, written
+
+    target = shared_folder(spark)
+    index = written(token_store.write_tokens(_documents(spark, folder), target, public_tokenizers.path(TOKENIZER), END_ID))
+    read = written(token_store.read_tokens(index, target, "n_tokens long, ids_crc32 long", token_store.size_and_crc))
+    return token_store.starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+#: blocks of each source in a round, and of all sources without a target together
+SHARES = {f"src{i}": 1 + i % 4 for i in range(20)}
+OTHER_SHARE = 2
+BLOCK_CHARS = 1 << 16
+
+
+def _mixing_sql() -> str:
+    shares = ", ".join(f"('{s}', {a})" for s, a in {**SHARES, "": OTHER_SHARE}.items())
+    return f"""
+WITH RECURSIVE w AS (SELECT s, a::BIGINT AS a FROM (VALUES {shares}) AS t(s, a)),
+q AS (SELECT sum(a)::BIGINT AS q FROM w),
+run AS (
+  SELECT -1::BIGINT AS slot, NULL::VARCHAR AS pick, (SELECT list(struct_pack(s := s, a := a, done := 0::BIGINT)) FROM w) AS state
+  UNION ALL
+  SELECT slot + 1, best, list_transform(state, lambda x: CASE WHEN x.s = best THEN struct_pack(s := x.s, a := x.a, done := x.done + 1) ELSE x END)
+  FROM (
+    SELECT slot, state, list_sort(list_transform(
+      list_filter(state, lambda x: x.done < x.a AND (x.done * q) // x.a <= slot + 1),
+      lambda x: struct_pack(d := ((x.done + 1) * q + x.a - 1) // x.a, s := x.s)))[1].s AS best
+    FROM run, q WHERE slot + 1 < q)),
+round AS (SELECT slot, pick, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS j FROM run WHERE slot >= 0),
+d AS (
+  SELECT doc_id, source, CASE WHEN source IN (SELECT s FROM w) THEN source ELSE '' END AS ms, coalesce(len(text), 0) AS size FROM documents),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY ms ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "at" FROM d),
+p AS (SELECT doc_id, source, "at", ms, "at" // {BLOCK_CHARS} AS block, a, q FROM b JOIN w ON ms = s, q)
+SELECT doc_id, source, block, "at", (block // a) * q + slot AS slot,
+  (block // a) * q + ((block % a) * q) // a AS release, (block // a) * q + (((block % a) + 1) * q + a - 1) // a AS deadline
+FROM p JOIN round ON ms = pick AND block % a = j"""
+
+
+@_query(_mixing_sql())
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from .source_mixing import mix
+
+    return mix(_documents(spark, folder), SHARES, OTHER_SHARE, BLOCK_CHARS).drop("row")

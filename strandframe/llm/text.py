@@ -37,6 +37,12 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
+def pieces(docs: DataFrame, bytes_each: int) -> int:
+    """How many pieces of about ``bytes_each`` the texts of ``docs`` make; counted, so it grows with the table."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-total // bytes_each))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the storage named by ``spark.checkpoint.dir``, which driver and executors share.
 
