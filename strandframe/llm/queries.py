@@ -190,3 +190,24 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from .source_mixing import mix
 
     return mix(_documents(spark, folder), SHARES, OTHER_SHARE, BLOCK_CHARS).drop("row")
+
+
+@_query()
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from .language_id import identify_language
+
+    return identify_language(_documents(spark, folder))
+
+
+@_query()
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@_query()
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    from .ngram_join import similar_groups
+
+    return similar_groups(_documents(spark, folder))

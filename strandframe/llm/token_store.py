@@ -31,18 +31,25 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-# Runs of white space with what follows; a pre-token never crosses from a non-space to a space. U+001C to U+001F are no
-# white space for the tokenizer.
-_CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-_CACHED = 300_000
+# Stretches of white space and what follows it; U+001C to U+001F are no white space for the tokenizer. ``_PLAIN`` does for
+# texts without other white space than single blanks and line ends.
+_STRETCH = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+_PLAIN = re.compile(r" ?[^ \n]+|\n")
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_CACHED = 700_000
 #: text that goes to one file, and so to one task
-FILE_BYTES = 16 << 20
+FILE_BYTES = 32 << 20
+
+
+def _plain(text: str) -> bool:
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n") or _OTHER_SPACE.search(text))
 
 
 class Encoder:
-    """Byte-level BPE ids of whole texts, with a bounded cache of the ids of blank-separated stretches.
+    """Byte-level BPE ids of whole texts, with a bounded cache of the ids of stretches between blanks.
 
-    The tokenizer splits a text wherever white space follows another character, so the stretches can be encoded apart.
+    The tokenizer cuts a text before white space that follows another character, and between a letter or digit and a mark
+    like a full stop, so stretches can be encoded apart. New ones are encoded together, one to a line.
     """
 
     def __init__(self, path: str):
@@ -50,22 +57,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.line_end = np.frombuffer(self._ids("\n"), dtype="<u4")
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        cache, marked = self.cache, []
+        wanted = set()
+        for x in new:
+            body = x.rstrip(".,!?;:")
+            if len(body) < len(x) and body[-1:].isalnum():
+                marked.append((x, body, x[len(body) :]))
+                wanted.update((body, x[len(body) :]))
+            else:
+                wanted.add(x)
+        wanted = wanted.difference(cache)
+        lined = [x for x in wanted if "\n" not in x and (x[0] == " " or not x[0].isspace()) and not x[1:2].isspace() and not x[-1].isspace()]
+        if lined and len(self.line_end) == 1:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lined)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = 4 * np.flatnonzero(ids == self.line_end[0])
+            raw = ids.tobytes()
+            if len(cuts) == len(lined) - 1:
+                cache.update((x, raw[i:j]) for x, i, j in zip(lined, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))
+        for x in wanted.difference(cache):
+            cache[x] = self._ids(x)
+        cache.update((x, cache[body] + cache[marks]) for x, body, marks in marked)
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        chunks = [_CHUNK.findall(t) for t in texts]
+        stretches = [(_PLAIN if _plain(t) else _STRETCH).findall(t) for t in texts]
         if len(self.cache) > _CACHED:
             self.cache.clear()
-        cache = self.cache
-        new = list({c for doc in chunks for c in doc if c not in cache})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[c] = tuple(e.ids)
-        out = []
-        for doc in chunks:
-            ids = [i for c in doc for i in cache[c]]
-            ids.append(end)
-            out.append(np.array(ids, dtype="<u4"))
-        return out
+        self._learn(set().union(*stretches).difference(self.cache))
+        last, get = np.array([end], dtype="<u4").tobytes(), self.cache.__getitem__
+        return [np.frombuffer(b"".join(map(get, doc)) + last, dtype="<u4") for doc in stretches]
 
 
 def pack_frame(doc_ids: list[int], ids: list[np.ndarray]) -> bytes:
