@@ -211,3 +211,12 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     from .ngram_join import similar_groups
 
     return similar_groups(_documents(spark, folder))
+
+
+@_query()
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    from .lm_scoring import score_texts
+    from .text import crc_of_id
+
+    scored = score_texts(_documents(spark, folder), "crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
+    return scored.withColumn("held_out", crc_of_id() % 10 == 0)
