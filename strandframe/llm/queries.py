@@ -220,3 +220,11 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
     scored = score_texts(_documents(spark, folder), "crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
     return scored.withColumn("held_out", crc_of_id() % 10 == 0)
+
+
+@_query()
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    found = contaminated(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))

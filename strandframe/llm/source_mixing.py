@@ -89,3 +89,15 @@ def mix(docs: DataFrame, shares: Mapping[str, int], other: int = 1, block_chars:
         (F.col("round") + F.col("first")).cast("long").alias("slot"), (F.col("round") + F.col("r")).cast("long").alias("release"), (F.col("round") + F.col("d")).cast("long").alias("deadline"),
         "at",
     )
+
+
+def mixed_rows(docs: DataFrame, shares: Mapping[str, int], other: int = 1, block_chars: int = 1 << 16) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, in the order of ``mix``: over the partitions and so over the files they are written to.
+
+    Equal rows (same id and text) stand side by side.
+    """
+    placed = mix(docs, shares, other, block_chars).select(F.col("doc_id").alias("mix_id"), F.col("row").alias("mix_row"), F.struct("slot", "at", "doc_id", "row").alias("mix_place"))
+    first = placed.groupBy("mix_id", "mix_row").agg(F.min("mix_place").alias("mix_place"))
+    both = docs.join(first, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64("text") == F.col("mix_row")))
+    ordered = both.repartitionByRange(pieces(docs, 32 << 20), "mix_place").sortWithinPartitions("mix_place")
+    return ordered.select(*[f"`{c}`" for c in docs.columns])
