@@ -189,6 +189,24 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _members(tokens: DataFrame, percent: int) -> DataFrame:
+    """(pivot, doc_id): the blocks of every document, from its prefix shingles (rep, n, pos, t).
+
+    Documents with the shingle t are ordered by set size n. A document stays only if the next larger or the next smaller one
+    can reach the overlap with what is left of their sets from t on, which the first common shingle of linked sets always
+    allows; sizes too far apart break the group up. Groups of two and more have a pivot, their smallest document.
+    """
+    by_size = W.partitionBy("t").orderBy("n", "rep")
+    larger, smaller = F.lead("n").over(by_size), F.lag("n").over(by_size)
+    reach = percent * (F.col("n") + larger) <= (100 + percent) * (F.col("n") - F.col("pos"))
+    near = tokens.withColumn("fits", F.coalesce(reach, F.lit(False)) | F.coalesce(100 * smaller >= percent * F.col("n"), F.lit(False))).where("fits")
+    gap = F.coalesce(100 * smaller < percent * F.col("n"), F.lit(True)).cast("int")
+    runs = near.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_size.rowsBetween(W.unboundedPreceding, 0)))
+    run = W.partitionBy("t", "run")
+    shared = runs.select("rep", F.min("rep").over(run).alias("pivot"), F.max("rep").over(run).alias("last")).where("pivot < last")
+    return shared.select("pivot", F.col("rep").alias("doc_id")).distinct()
+
+
 def _searched(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) inside each group (pivot, part, slice) of ``rows``, whose ``asks`` tells queries; texts are joined by id."""
 
@@ -220,10 +238,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, block_docs
     """
     first = written(prefix_rows(docs, size, percent))
     some = first.where("n > 0 AND doc_id IS NOT NULL")
-    sets = some.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"))
-    same = W.partitionBy("t")
-    shared = sets.select("rep", F.explode("prefix").alias("t")).select("rep", F.min("rep").over(same).alias("pivot"), F.max("rep").over(same).alias("last")).where("pivot < last")
-    members = written(shared.select("pivot", F.col("rep").alias("doc_id")).distinct())
+    sets = some.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"), F.max("n").alias("n"))
+    members = written(_members(sets.select("rep", "n", F.posexplode("prefix").alias("pos", "t")), percent))
     blocks = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("k")).select("pivot", F.ceil(F.col("k") / block_docs).cast("int").alias("parts"))
     placed = members.join(blocks, "pivot").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0).cast("int"))
     placed = written(placed)
