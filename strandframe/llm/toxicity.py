@@ -73,7 +73,7 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def fit(texts: list[str], labels: list[int], size: int, epochs: int, rate: float, min_docs: int = 20, decay: float = 1e-4, seed: int = 7) -> SubwordModel:
+def fit(texts: list[str], labels: list[int], size: int, epochs: int, rate: float, min_docs: int = 20, decay: float = 1e-4, weigh: float = 1.0, seed: int = 7) -> SubwordModel:
     """Embeddings and softmax trained together by AdaGrad on the mean of word vectors, a word being the mean of its subwords.
 
     Subwords of fewer than ``min_docs`` training texts (fewer in samples of under 1,000) keep the zero vector: they would only memorise their texts.
@@ -98,7 +98,7 @@ def fit(texts: list[str], labels: list[int], size: int, epochs: int, rate: float
     table = rng.uniform(-1 / size, 1 / size, (1 << BUCKET_BITS, size)).astype(np.float32) * found[:, None]
     weights, bias = rng.normal(0, 0.1, (size, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
     past, past_w, past_b = np.full(1 << BUCKET_BITS, 1e-8, dtype=np.float32), np.full((size, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    balance = len(y) / (2 * np.bincount(y, minlength=2))
+    balance = (len(y) / (2 * np.bincount(y, minlength=2))) ** weigh
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(y)):
