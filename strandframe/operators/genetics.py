@@ -45,20 +45,19 @@ def hardy_weinberg(gt: DataFrame) -> DataFrame:
     )
 
 
-def fst(gt: DataFrame, max_populations: int = 500) -> DataFrame:
+def fst(gt: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Mean over shared sites of between-variance over total variance, per pair of populations.
 
-    The populations of one site are held in one array; more than ``max_populations`` of them is an error, since
-    the result has a row for every pair of populations.
+    ``pairs`` (pop1, pop2) names the pairs wanted; without it there is a row for every two populations that share a site.
+    Populations meet in a join per site, and pairs are combined over sites before they are shuffled.
     """
     freq = gt.groupBy("site", "pop").agg((F.avg("gt") / 2).alias("f"), F.count(F.lit(1)).alias("n"))
-    per_site = freq.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("pop", "f", "n"))).alias("a"))
-    checked = F.when(F.size("a") <= max_populations, F.col("a")).otherwise(F.raise_error(F.lit("too many populations for a pair table")))
-    pairs = (
-        per_site.select(checked.alias("a"))
-        .select("a", F.posexplode("a").alias("i", "x"))
-        .select("x", F.explode(F.slice("a", F.col("i") + 2, F.size("a"))).alias("y"))
-    )
+    one, two = (freq.select("site", F.struct("pop", "f", "n").alias(side)) for side in "xy")
+    if pairs is None:
+        met = one.join(two, "site").filter("x.pop < y.pop")
+    else:
+        met = one.join(pairs, F.col("x.pop") == F.col("pop1")).join(two.withColumnRenamed("site", "_site"), (F.col("site") == F.col("_site")) & (F.col("y.pop") == F.col("pop2")))
+    pairs = met.select("x", "y")
     n = F.col("x.n") + F.col("y.n")
     mean = (F.col("x.f") * F.col("x.n") + F.col("y.f") * F.col("y.n")) / n
     between = ((F.col("x.f") - mean) ** 2 * F.col("x.n") + (F.col("y.f") - mean) ** 2 * F.col("y.n")) / n
@@ -87,10 +86,18 @@ def tajimas_d(gt: DataFrame) -> DataFrame:
     chromosomes = F.col("m")
     m = gt.agg((F.countDistinct("sample") * 2).alias("m")).scalar()
     pairwise = F.sum(2 * F.col("p") * (1 - F.col("p")) * 2 * F.col("n") / (2 * F.col("n") - 1))
-    base = d.agg(F.count_if("segregating").alias("s"), pairwise.alias("k")).withColumn("m", m.cast("int"))
-    steps = F.sequence(F.lit(1), chromosomes - 1)
-    base = base.withColumn("a1", F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.lit(1.0) / i)).withColumn(
-        "a2", F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))
+    base = d.agg(F.count_if("segregating").alias("s"), pairwise.alias("k")).withColumn("m", m)
+    # sums of 1/i and 1/i^2 up to m - 1: term by term to 64, from there by the Euler-Maclaurin formula
+    first, last = 64, F.greatest(chromosomes - 1, F.lit(64)).cast("double")
+    steps = F.transform(F.sequence(F.lit(1), F.least(chromosomes - 1, F.lit(first)).cast("int")), lambda i: i.cast("double"))
+
+    def tail(f) -> Column:
+        return f(last) - f(F.lit(float(first)))
+
+    a1_tail = tail(lambda x: F.ln(x) + 0.5 / x - 1 / (12 * x * x) + 1 / (120 * x**4))
+    a2_tail = tail(lambda x: -1 / x + 0.5 / (x * x) - 1 / (6 * x**3) + 1 / (30 * x**5))
+    base = base.withColumn("a1", F.aggregate(steps, F.lit(0.0), lambda a, i: a + 1 / i) + a1_tail).withColumn(
+        "a2", F.aggregate(steps, F.lit(0.0), lambda a, i: a + 1 / (i * i)) + a2_tail
     )
     a1, a2, s = F.col("a1"), F.col("a2"), F.col("s")
     n = chromosomes.cast("double")

@@ -23,11 +23,20 @@ def position_tile(pos: str) -> Column:
     return F.floor(F.col(pos) / POSITION_TILE)
 
 
-def quantile_tile(df: DataFrame, key: str, tiles: int = 32) -> Column:
-    """Tile number of ``key`` between approximate quantiles, which come from a scalar subquery."""
+def real(value: str) -> Column:
+    """Neither NULL nor NaN."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
+def quantile_tile(df: DataFrame, key: str, tiles: int | None = None) -> Column:
+    """Tile number of ``key`` between approximate quantiles, which come from a scalar subquery.
+
+    Four tiles for each shuffle partition, the number that a cluster sets by the size of its data, and 32 at least.
+    """
     x = F.col(key).cast("double")
+    tiles = tiles or max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     steps = [i / tiles for i in range(1, tiles)]
-    bounds = df.agg(F.percentile_approx(x, steps, 1000)).scalar()
+    bounds = df.agg(F.percentile_approx(x, steps, max(1000, 10 * tiles))).scalar()
     return F.array_position(F.sort_array(F.array_append(bounds, x)), x)
 
 
@@ -74,8 +83,8 @@ def prefix_sums(
 
 
 def average_ranks(df: DataFrame, value: str, part: Sequence[str] = (), tile: Column | None = None) -> DataFrame:
-    """Distinct values with ``n``, ``n_total`` and their average rank ``avg_rank``: the rank table of ``value``."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("n"))
+    """Distinct values with ``n``, ``n_total`` and their average rank ``avg_rank``: the rank table of ``value`` (NULL and NaN have none)."""
+    counts = df.filter(real(value)).groupBy(*part, value).agg(F.count(F.lit(1)).alias("n"))
     out = prefix_sums(counts, value, ["n"], part, tile)
     return out.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2).drop("n_before")
 
@@ -83,8 +92,8 @@ def average_ranks(df: DataFrame, value: str, part: Sequence[str] = (), tile: Col
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], part: Sequence[str] = (), tile: Column | None = None
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles ``q0, q1, ..`` per part, from the value histogram."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("n"))
+    """Exact, linearly interpolated quantiles ``q0, q1, ..`` per part, from the value histogram; NULL and NaN are left out."""
+    counts = df.filter(real(value)).groupBy(*part, value).agg(F.count(F.lit(1)).alias("n"))
     return histogram_quantiles(counts, value, "n", probs, part, tile)
 
 
@@ -119,14 +128,14 @@ def histogram_quantiles(
 def benjamini_hochberg(
     df: DataFrame, p: str = "p_value", out: str = "p_adjusted", part: Sequence[str] = (), materialize: bool = True
 ) -> DataFrame:
-    """Step-up adjusted p-values; a NULL p stays NULL and is not counted.
+    """Step-up adjusted p-values; a NULL p stays NULL, a NaN p stays NaN, and neither is counted.
 
     Equal p-values share one adjusted value, so the work runs over distinct p with their counts. The table of
     tests is read several times, so by default it is checkpointed and the tests behind it run once.
     """
     part = list(part)
     df = cut_lineage(df) if materialize else df
-    counts = df.filter(F.col(p).isNotNull()).groupBy(*part, p).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.filter(real(p)).groupBy(*part, p).agg(F.count(F.lit(1)).alias("n"))
     ranked = prefix_sums(counts, p, ["n"], part, keep_tile=True).withColumn(
         "_raw", F.col(p) * F.col("n_total") / (F.col("n_before") + F.col("n"))
     )
@@ -139,12 +148,13 @@ def benjamini_hochberg(
     adjusted = ranked.join(later, [*part, "_tile"]).select(
         *part, p, F.least(F.lit(1.0), F.min("_raw").over(inside), F.col("_later")).alias(out)
     )
-    return df.join(adjusted, [*part, p], "left").select(*df.columns, out)
+    shown = F.when(F.isnan(p), F.col(p)).otherwise(F.col(out)).alias(out)
+    return df.join(adjusted, [*part, p], "left").select(*df.columns, shown)
 
 
 def bonferroni(df: DataFrame, p: str = "p_value", out: str = "p_adjusted") -> DataFrame:
-    n = df.agg(F.count(p)).scalar()
-    return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * n))
+    n = df.agg(F.count_if(real(p))).scalar()
+    return df.withColumn(out, F.when(real(p), F.least(F.lit(1.0), F.col(p) * n)).otherwise(F.col(p)))
 
 
 def n50(df: DataFrame, length: str, part: Sequence[str] = ()) -> DataFrame:

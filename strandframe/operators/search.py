@@ -44,17 +44,17 @@ def matches(a: Column, b: Column) -> Column:
     return F.aggregate(same, F.lit(0), lambda s, v: s + v)
 
 
-def search(queries: DataFrame, subjects: DataFrame, query_id: str, subject_id: str, k: int = 15, evalue: float = 1e-5, span: int = 500) -> DataFrame:
+def search(queries: DataFrame, subjects: DataFrame, query_id: str, subject_id: str, k: int = 15, evalue: float = 1e-5, span: int | None = None) -> DataFrame:
     """Ungapped hits along the best seed diagonal of each (query, subject), kept by estimated E-value.
 
-    The score is matches less mismatches over at most ``span`` letters from the first seed on.
+    The score is matches less mismatches from the first seed on to the end of the shorter sequence, or over ``span`` letters.
     """
     best = best_diagonals(diagonals(queries, subjects, query_id, subject_id, k), query_id, subject_id)
     space = subjects.agg(F.sum(F.length("seq"))).scalar()
     q = queries.select(query_id, F.col("seq").alias("_qs"))
     s = subjects.select(subject_id, F.col("seq").alias("_ss"))
     at = best.join(q, query_id).join(s, subject_id).withColumn("subject_start", F.col("first_pos") + F.col("diagonal"))
-    n = F.least(F.length("_qs") - F.col("first_pos"), F.length("_ss") - F.col("subject_start"), F.lit(span))
+    n = F.least(F.length("_qs") - F.col("first_pos"), F.length("_ss") - F.col("subject_start"), *([F.lit(span)] if span else []))
     cut = at.withColumn("aligned", n.cast("int")).withColumn("query_length", F.length("_qs"))
     qs, ss = (F.substring(c, (F.col(p) + 1).cast("int"), F.col("aligned")) for c, p in (("_qs", "first_pos"), ("_ss", "subject_start")))
     scored = cut.withColumn("matches", matches(F.upper(qs), F.upper(ss))).withColumn("score", 2 * F.col("matches") - F.col("aligned"))
@@ -139,10 +139,20 @@ def dotplot(first: DataFrame, second: DataFrame, first_id: str, second_id: str,
 
 
 def distinct_sequences(df: DataFrame, id: str, seq: str = "seq") -> DataFrame:
-    """One row per distinct sequence: smallest id and number of copies. Copies would only repeat every edge."""
+    """One row per distinct sequence: smallest id and number of copies. ``copies`` names the row that stands for each."""
     return df.groupBy(F.col(seq).alias("seq")).agg(F.min(id).alias(id), F.count(F.lit(1)).alias("copies"))
 
 
+def copies(df: DataFrame, id: str, seq: str = "seq") -> DataFrame:
+    """(id, representative) of every row: the smallest id with the same sequence.
+
+    Distance, similarity and overlap joins return edges between representatives; with this table they hold for all copies,
+    which are at distance 0 of each other, without a row for every pair of them.
+    """
+    d = distinct_sequences(df, id, seq).select(F.col("seq").alias(seq), F.col(id).alias("representative"))
+    return df.select(id, seq).join(d, seq).select(id, "representative")
+
+
 def overlaps(df: DataFrame, id: str, min_overlap: int = 15, seq: str = "seq") -> DataFrame:
     """Longest suffix-prefix overlap of each ordered pair of distinct sequences, at least ``min_overlap``.
 

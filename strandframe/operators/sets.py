@@ -16,18 +16,23 @@ from . import ordered
 # ---- named sets: set_name, element ---------------------------------------------------------------------------
 
 
+def combinations(df: DataFrame) -> DataFrame:
+    """Each distinct sorted array ``s`` of sets that hold some element together, and how many elements do so."""
+    return df.groupBy("element").agg(F.sort_array(F.collect_set("set_name")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("elements"))
+
+
 def memberships(df: DataFrame) -> DataFrame:
     """Exclusive intersections: each element's sorted list of sets joined by '&', and how many elements share it."""
-    combos = df.groupBy("element").agg(F.array_join(F.sort_array(F.collect_set("set_name")), "&").alias("combination"))
-    return combos.groupBy("combination").agg(F.count(F.lit(1)).alias("elements"))
+    return combinations(df).select(F.array_join("s", "&").alias("combination"), "elements")
 
 
-def set_pairs(df: DataFrame) -> DataFrame:
-    """Shared elements, union and Jaccard index of each pair of sets, from the exclusive combinations.
+def set_pairs(df: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Shared elements, union and Jaccard index of each pair of sets (set1, set2), also of those that share nothing.
 
     Pairs are formed once per distinct combination of sets and weighted by its element count, never per element.
+    ``pairs`` names the pairs wanted; without it there is a row for every two sets.
     """
-    combos = memberships(df).withColumn("s", F.split("combination", "&"))
+    combos = combinations(df)
     sizes = combos.select(F.explode("s").alias("set_name"), "elements").groupBy("set_name").agg(F.sum("elements").alias("n"))
     shared = (
         combos.select("elements", "s", F.posexplode("s").alias("i", "set1"))
@@ -37,12 +42,17 @@ def set_pairs(df: DataFrame) -> DataFrame:
     )
     one, two = (sizes.select(F.col("set_name").alias(f"set{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
     union = F.col("n1") + F.col("n2") - F.col("shared")
-    return shared.join(one, "set1").join(two, "set2").select("set1", "set2", "shared", union.alias("union"), (F.col("shared") / union).alias("jaccard"))
+    if pairs is None:
+        # the names of all sets in one row: the result has a row for every two of them
+        names = sizes.agg(F.sort_array(F.collect_list("set_name")).alias("s"))
+        pairs = names.select("s", F.posexplode("s").alias("i", "set1")).select("set1", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("set2"))
+    counted = pairs.join(shared, ["set1", "set2"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return counted.join(one, "set1").join(two, "set2").select("set1", "set2", "shared", union.alias("union"), (F.col("shared") / union).alias("jaccard"))
 
 
 def set_sizes(df: DataFrame) -> DataFrame:
     """Size of each set and the elements found in no other set."""
-    per = memberships(df).withColumn("s", F.split("combination", "&"))
+    per = combinations(df)
     return per.select(F.explode("s").alias("set_name"), "elements", (F.size("s") == 1).alias("_alone")).groupBy("set_name").agg(
         F.sum("elements").alias("size"), F.sum(F.when(F.col("_alone"), F.col("elements")).otherwise(0)).alias("unique")
     )

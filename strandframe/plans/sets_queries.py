@@ -12,10 +12,12 @@ from .matrix_queries import rounded
 
 
 def named(t):
-    return t.lineitem.select(F.concat("l_returnflag", "l_linestatus").alias("set_name"), F.col("l_orderkey").alias("element"))
+    """Sets of orders by flags, one of orders no other set holds; names hold the sign that joins them in the result."""
+    flags = t.lineitem.select(F.concat_ws("&", "l_returnflag", "l_linestatus").alias("set_name"), F.col("l_orderkey").alias("element"))
+    return flags.unionByName(t.lineitem.select(F.lit("none & other").alias("set_name"), (-F.col("l_orderkey")).alias("element")))
 
 
-_SETS = "WITH s AS (SELECT DISTINCT l_returnflag || l_linestatus AS set_name, l_orderkey AS element FROM lineitem)"
+_SETS = "WITH s AS (SELECT DISTINCT l_returnflag || '&' || l_linestatus AS set_name, l_orderkey AS element FROM lineitem UNION SELECT 'none & other', -l_orderkey FROM lineitem)"
 
 
 @query("set_memberships", _SETS + ", c AS (SELECT element, string_agg(set_name, '&' ORDER BY set_name) AS combination FROM s GROUP BY 1) SELECT combination, count(*) AS elements FROM c GROUP BY 1")
@@ -25,7 +27,8 @@ def _memberships(t):
 
 @query("set_pairs", _SETS + """
 , n AS (SELECT set_name, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.set_name AS set1, b.set_name AS set2, count(*) AS shared FROM s a JOIN s b ON a.element = b.element AND a.set_name < b.set_name GROUP BY 1, 2)
+q AS (SELECT a.set_name AS set1, b.set_name AS set2, count(*) AS shared FROM s a JOIN s b ON a.element = b.element AND a.set_name < b.set_name GROUP BY 1, 2),
+p AS (SELECT a.set_name AS set1, b.set_name AS set2, coalesce(shared, 0) AS shared FROM n a JOIN n b ON a.set_name < b.set_name LEFT JOIN q ON set1 = a.set_name AND set2 = b.set_name)
 SELECT set1, set2, shared, x.n + y.n - shared AS "union", round(shared * 1.0 / (x.n + y.n - shared), 6) AS jaccard FROM p JOIN n x ON x.set_name = set1 JOIN n y ON y.set_name = set2
 """)
 def _pairs(t):
@@ -39,21 +42,21 @@ def _sizes(t):
     return sets.set_sizes(named(t))
 
 
-@query("set_intersection", "SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'A' AND l_discount > .09 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > .09")
+@query("set_intersection", "SELECT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def _intersection(t):
-    a, b = (t.lineitem.filter((F.col("l_returnflag") == f) & (F.col("l_discount") > 0.09)).select(F.col("l_partkey").alias("id")) for f in "AR")
+    a, b = (t.lineitem.filter(F.col("l_returnflag") == f).select(F.col("l_orderkey").alias("id")) for f in "AR")
     return a.intersect(b)
 
 
-@query("set_difference", "SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'A' AND l_discount > .09 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > .09")
+@query("set_difference", "SELECT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def _difference(t):
-    a, b = (t.lineitem.filter((F.col("l_returnflag") == f) & (F.col("l_discount") > 0.09)).select(F.col("l_partkey").alias("id")) for f in "AR")
+    a, b = (t.lineitem.filter(F.col("l_returnflag") == f).select(F.col("l_orderkey").alias("id")) for f in "AR")
     return a.subtract(b)
 
 
-@query("set_union", "SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'A' AND l_discount > .09 UNION SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > .09")
+@query("set_union", "SELECT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'A' UNION SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def _union(t):
-    a, b = (t.lineitem.filter((F.col("l_returnflag") == f) & (F.col("l_discount") > 0.09)).select(F.col("l_partkey").alias("id")) for f in "AR")
+    a, b = (t.lineitem.filter(F.col("l_returnflag") == f).select(F.col("l_orderkey").alias("id")) for f in "AR")
     return a.unionByName(b).distinct()
 
 

@@ -315,12 +315,12 @@ _CHAINS = "WITH c AS (SELECT o_orderkey % 4 AS chain, o_orderkey // 4 AS step, o
 
 
 @query("effective_sample_size", _CHAINS + """
-, l AS (SELECT a.chain, b.step - a.step AS lag, sum((a.value - mu) * (b.value - mu)) / any_value(n * var) AS rho FROM c a JOIN c b ON a.chain = b.chain AND b.step > a.step AND b.step < a.step + 30 JOIN m ON m.chain = a.chain GROUP BY 1, 2),
-s AS (SELECT chain, coalesce(min(lag) FILTER (rho <= 0), 30) AS stop FROM l GROUP BY 1)
-SELECT m.chain, n, round(n / (1 + 2 * coalesce((SELECT sum(rho) FROM l WHERE l.chain = m.chain AND lag < s.stop), 0)), 5) AS ess FROM m JOIN s ON s.chain = m.chain
+, l AS (SELECT a.chain, b.step - a.step AS lag, sum((a.value - mu) * (b.value - mu)) / any_value(n * var) AS rho FROM c a JOIN m ON m.chain = a.chain JOIN c b ON a.chain = b.chain AND b.step > a.step AND b.step < a.step + 500 AND b.step - a.step < n // 2 GROUP BY 1, 2),
+s AS (SELECT chain, coalesce(min(lag) FILTER (rho <= 0), 500) AS stop FROM l GROUP BY 1)
+SELECT m.chain, n, round(CASE WHEN n < 20 THEN n ELSE n / (1 + 2 * coalesce((SELECT sum(rho) FROM l WHERE l.chain = m.chain AND lag < s.stop), 0)) END, 5) AS ess FROM m JOIN s ON s.chain = m.chain
 """)
 def _ess(t):
-    return rounded(omics.effective_sample_size(chains(t), 30), "chain", "n", digits=5, ess="ess")
+    return rounded(omics.effective_sample_size(chains(t)), "chain", "n", digits=5, ess="ess")
 
 
 @query("scale_reduction", _CHAINS + ", g AS (SELECT avg(n) AS n, var_samp(mu) AS b, avg(var) AS w FROM m) SELECT round(sqrt(((n - 1) / n * w + b) / w), 6) AS psrf FROM g")

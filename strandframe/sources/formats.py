@@ -26,9 +26,17 @@ def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with a running number in file order; Hadoop splits keep that order, file scans need not."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex()
-    return spark.createDataFrame(rows, "line string, n long").withColumn("line", F.regexp_replace("line", "\\r$", ""))
+    """Lines with a running number in file order.
+
+    Lines are counted per split; a split is known by its file and offset, and only its count takes part in the running sum.
+    """
+    rows = spark.read.text(path).select(
+        F.regexp_replace("value", "\\r$", "").alias("line"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_i"),
+    )
+    splits = rows.groupBy("_f", "_b").agg(F.min("_i").alias("_low"), F.count(F.lit(1)).alias("_lines"))
+    before = F.coalesce(F.sum("_lines").over(W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(splits.withColumn("_before", before), ["_f", "_b"]).select("line", (F.col("_before") + F.col("_i") - F.col("_low")).alias("n"))
 
 
 def _fields(lines: DataFrame, least: int, sep: str = "\t", comment: str = "#") -> DataFrame:
@@ -140,7 +148,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
     """``record`` (HD, SQ, RG, PG) and its ``fields`` map."""
     head = _lines(spark, path).filter(F.col("line").rlike("^@(HD|SQ|RG|PG)\t"))
-    pairs = F.transform(F.slice(F.split("line", "\t"), F.lit(2), F.lit(1000)), lambda x: F.struct(F.substring_index(x, ":", 1), F.regexp_replace(x, "^[^:]*:", "")))
+    pairs = F.transform(F.slice(F.split("line", "\t"), F.lit(2), F.size(F.split("line", "\t"))), lambda x: F.struct(F.substring_index(x, ":", 1), F.regexp_replace(x, "^[^:]*:", "")))
     return head.select(F.substring("line", 2, 2).alias("record"), F.map_from_entries(pairs).alias("fields"))
 
 
@@ -187,9 +195,9 @@ def read_saf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bisulfite(spark: SparkSession, path: str) -> DataFrame:
-    """``chrom, pos, context, methylated, coverage, level``."""
-    out = _fields(_lines(spark, path), 5).select(
-        _at(0).alias("chrom"), _number(1, "bigint").alias("pos"), _at(2).alias("context"), _number(3, "int").alias("methylated"), _number(4, "int").alias("coverage")
+    """``chrom, pos, context, methylated, coverage, level`` of lines chrom, start, end, methylated, total, context."""
+    out = _fields(_lines(spark, path), 6).select(
+        _at(0).alias("chrom"), _number(1, "bigint").alias("pos"), _at(5).alias("context"), _number(3, "int").alias("methylated"), _number(4, "int").alias("coverage")
     )
     return out.filter("pos IS NOT NULL").withColumn("level", F.col("methylated") / F.greatest("coverage", F.lit(1)))
 
@@ -203,7 +211,9 @@ def read_peaks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_counts(spark: SparkSession, path: str, sep: str | None = None, feature: str = "feature") -> DataFrame:
     """Count matrix in long form ``feature, sample, count``; sample names are those of the header."""
-    sep = sep or ("," if path.rstrip("/").removesuffix(".gz").endswith(".csv") else "\t")
+    if sep is None:
+        head = _lines(spark, path).filter((F.trim("line") != "") & ~F.col("line").startswith("#")).first()
+        sep = max("\t,; ", key=head["line"].count) if head else ","
     wide = spark.read.option("comment", "#").csv(path, sep=sep, header=True)
     first, *samples = wide.columns
     typed = wide.select(F.col(f"`{first}`").alias(feature), *[F.col(f"`{s}`").try_cast("double").alias(s) for s in samples])
@@ -300,11 +310,10 @@ def read_mtx(spark: SparkSession, folder: str) -> DataFrame:
         rows = _numbered(spark, f"{folder}/{kind}.tsv*")
         return rows.select((F.col("n") + 1).alias(f"_{kind}"), F.get(F.split("line", "\t"), F.lit(column)).alias(kind))
 
-    triplets = _fields(_lines(spark, f"{folder}/matrix.mtx*"), 3, sep="\\s+", comment="%")
-    # the size line holds the three dimensions and is the only one before the entries
-    size = _numbered(spark, f"{folder}/matrix.mtx*").filter("line NOT LIKE '%\\%%'").agg(F.min_by("line", "n")).scalar()
-    entries = triplets.select(_number(0, "bigint").alias("_features"), _number(1, "bigint").alias("_barcodes"), _number(2, "double").alias("count"), F.concat_ws(" ", "f").alias("_l"))
-    entries = entries.filter(F.col("_l") != F.regexp_replace(size, "\\s+", " ")).drop("_l")
+    # the first line that is no comment holds the dimensions; it is known by its place, as an entry may look the same
+    lines = _numbered(spark, f"{folder}/matrix.mtx*").filter(~F.col("line").startswith("%") & (F.trim("line") != ""))
+    triplets = _fields(lines.filter(F.col("n") > lines.agg(F.min("n")).scalar()), 3, sep="\\s+", comment="%")
+    entries = triplets.select(_number(0, "bigint").alias("_features"), _number(1, "bigint").alias("_barcodes"), _number(2, "double").alias("count"))
     out = entries.join(names("features", 0), "_features").join(names("barcodes", 0), "_barcodes")
     return out.select(F.col("barcodes").alias("cell"), F.col("features").alias("gene"), "count")
 

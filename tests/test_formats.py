@@ -80,10 +80,13 @@ def test_stockholm(spark, tmp_path):
 
 
 def test_bisulfite_and_counts(spark, tmp_path):
-    path = put(tmp_path, "m.bed", "#c\nchr1\t10\tCpG\t8\t10\nchr1\t20\tCHG\t0\t0\n")
-    assert rows(formats.read_bisulfite(spark, path), "pos", "level") == [(10, 0.8), (20, 0.0)]
+    path = put(tmp_path, "m.bed", "#c\nchr1\t10\t11\t8\t10\tCpG\nchr1\t20\t21\t0\t0\tCHG\n")
+    assert rows(formats.read_bisulfite(spark, path), "pos", "context", "level") == [(10, "CpG", 0.8), (20, "CHG", 0.0)]
     counts = put(tmp_path, "c.csv", "#note\ngene,S1,S2\nG1,10,20\nG2,30,40\n")
     assert rows(formats.read_counts(spark, counts), "feature", "sample", "count") == [("G1", "S1", 10.0), ("G1", "S2", 20.0), ("G2", "S1", 30.0), ("G2", "S2", 40.0)]
+    for sign in (" ", ";", "\t"):
+        other = put(tmp_path, f"c{ord(sign)}.txt", "gene,S1,S2\nG1,10,20\n".replace(",", sign))
+        assert rows(formats.read_counts(spark, other), "feature", "sample", "count") == [("G1", "S1", 10.0), ("G1", "S2", 20.0)]
 
 
 def test_tables(spark, tmp_path):
@@ -121,10 +124,10 @@ def test_sbml(spark, tmp_path):
 
 
 def test_mtx(spark, tmp_path):
-    put(tmp_path, "matrix.mtx", "%%MatrixMarket\n%x\n2 2 3\n1 1 5\n2 1 1\n2 2 7\n")
+    put(tmp_path, "matrix.mtx", "%%MatrixMarket\n%x\n2 2 3\n1 1 5\n2 1 1\n2 2 3\n")
     put(tmp_path, "barcodes.tsv", "c1\nc2\n")
     put(tmp_path, "features.tsv", "g1\tG1\ng2\tG2\n")
-    assert rows(formats.read_mtx(spark, str(tmp_path)), "cell", "gene", "count") == [("c1", "g1", 5.0), ("c1", "g2", 1.0), ("c2", "g2", 7.0)]
+    assert rows(formats.read_mtx(spark, str(tmp_path)), "cell", "gene", "count") == [("c1", "g1", 5.0), ("c1", "g2", 1.0), ("c2", "g2", 3.0)]
 
 
 def test_newick(spark):
@@ -168,3 +171,19 @@ def test_run_log(spark, tmp_path):
     assert [r.step_id for r in sinks.read_steps(spark, path, "s1").collect()] == [1, 3]
     sinks.export_steps(sinks.read_steps(spark, path), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).filter("params.k = '2'").count() == 2
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    for name, low, high in (("a.txt", 0, 400), ("b.txt", 400, 700)):
+        put(tmp_path, name, "".join(f"line {i}\n" for i in range(low, high)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = {r.n: r.line for r in formats._numbered(spark, str(tmp_path / "*.txt")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: f"line {i}" for i in range(700)}
+
+
+def test_long_sam_header(spark, tmp_path):
+    path = put(tmp_path, "h.sam", "@RG\t" + "\t".join(f"k{i}:v{i}" for i in range(1500)) + "\n")
+    assert len(formats.read_sam_header(spark, path).first().fields) == 1500

@@ -147,8 +147,58 @@ def test_diversity_edges(spark):
     df = table(spark, [("one", "x", 100)] + [("many", f"t{i}", 1) for i in range(100)], "sample string, taxon string, count long")
     r = {x.sample: x for x in omics.alpha_diversity(df).collect()}
     assert r["one"].chao1 == 1 and r["one"].shannon == 0 and r["many"].simpson == 1
-    with pytest.raises(ValueError, match="samples"):
-        omics.beta_diversity(df, max_samples=1)
+    wanted = table(spark, [("many", "one")], "sample1 string, sample2 string")
+    assert [(x.sample1, x.sample2, x.distance) for x in omics.beta_diversity(df, pairs=wanted).collect()] == [("many", "one", 1.0)]
+    assert omics.beta_diversity(df).count() == 1
+
+
+def test_beta_diversity_has_no_limit_on_samples(spark):
+    df = table(spark, [(f"s{i}", f"t{i % 2}", 1) for i in range(5000)], "sample string, taxon string, count long")
+    wanted = df.selectExpr("sample AS sample1", "'s0' AS sample2")
+    assert {x.distance: x["count"] for x in omics.beta_diversity(df, pairs=wanted).groupBy("distance").count().collect()} == {0.0: 2500, 1.0: 2500}
+
+
+def test_fst_has_no_limit_on_populations(spark):
+    df = table(spark, [(s, f"p{i:04d}", f"p{i}.{s}", (i + s) % 3) for i in range(600) for s in (1, 2)], "site int, pop string, sample string, gt int")
+    assert genetics.fst(df).count() == 600 * 599 // 2
+    wanted = table(spark, [("p0001", "p0002")], "pop1 string, pop2 string")
+    whole = genetics.fst(df).filter("pop1 = 'p0001' AND pop2 = 'p0002'").first().fst
+    assert [x.fst for x in genetics.fst(df, wanted).collect()] == [whole]
+
+
+def test_nan_p_values_are_not_counted(spark):
+    df = table(spark, [(1, 0.01), (2, 0.02), (3, float("nan")), (4, float("nan")), (5, None)], "id int, p_value double")
+    for adjust, want in ((ordered.benjamini_hochberg, (0.02, 0.02)), (ordered.bonferroni, (0.02, 0.04))):
+        got = {r.id: r.p_adjusted for r in adjust(df).collect()}
+        assert (got[1], got[2]) == want and got[3] != got[3] and got[4] != got[4] and got[5] is None
+    ranks = {r.p_value: r.avg_rank for r in ordered.average_ranks(df, "p_value").collect()}
+    assert ranks == {0.01: 1.0, 0.02: 2.0}
+
+
+def test_tajima_over_many_samples(spark):
+    gt = spark.range(30_000).selectExpr("concat('s', id) AS sample", "1 AS site", "CAST(id % 3 AS INT) AS gt", "'p' AS pop")
+    n = 60_000
+    a1, a2 = sum(1 / i for i in range(1, n)), sum(1 / i**2 for i in range(1, n))
+    e1 = ((n + 1) / (3 * (n - 1)) - 1 / a1) / a1
+    k = 2 * 0.5 * 0.5 * n / (n - 1)
+    assert abs(genetics.tajimas_d(gt).first().tajimas_d - (k - 1 / a1) / e1**0.5) < 1e-9 and a2 > 1
+
+
+def test_sets_with_joining_signs_and_without_shared_elements(spark):
+    df = table(spark, [("R&D", 1), ("R&D", 2), ("X", 2), ("R", 3), ("D", 4)], "set_name string, element int")
+    got = {(r.set1, r.set2): (r.shared, r.union, r.jaccard) for r in sets.set_pairs(df).collect()}
+    assert len(got) == 6 and got[("R&D", "X")] == (1, 2, 0.5) and got[("D", "R")] == (0, 2, 0.0)
+    assert {r.set_name: (r.size, r.unique) for r in sets.set_sizes(df).collect()} == {"R&D": (2, 1), "X": (1, 0), "R": (1, 1), "D": (1, 1)}
+
+
+def test_copies_name_their_representative(spark):
+    df = table(spark, [(1, "ACGT"), (2, "ACGT"), (3, "ACGA"), (4, None)], "id int, seq string")
+    assert {(r.id, r.representative) for r in search.copies(df, "id").collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_short_chains_count_whole(spark):
+    df = table(spark, [("c", i, float(i % 2)) for i in range(19)], "chain string, step int, value double")
+    assert omics.effective_sample_size(df).first().ess == 19
 
 
 def test_n50(spark):
