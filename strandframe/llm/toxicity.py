@@ -73,7 +73,7 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def fit(texts: list[str], labels: list[int], size: int, epochs: int, rate: float, min_docs: int = 20, decay: float = 1e-4, weigh: float = 1.0, seed: int = 7) -> SubwordModel:
+def fit(texts: list[str], labels: list[int], size: int, epochs: int, rate: float, min_docs: int = 40, decay: float = 3e-4, weigh: float = 1.0, seed: int = 7) -> SubwordModel:
     """Embeddings and softmax trained together by AdaGrad on the mean of word vectors, a word being the mean of its subwords.
 
     Subwords of fewer than ``min_docs`` training texts (fewer in samples of under 1,000) keep the zero vector: they would only memorise their texts.
@@ -133,7 +133,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_chars:
     return usable.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("toxic", "place", "text")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_chars: int = 10_000, size: int = 8, epochs: int = 6, rate: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_chars: int = 10_000, size: int = 8, epochs: int = 10, rate: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Learns from at most ``per_class`` labelled texts of up to ``max_chars`` characters of either class, of documents whose
