@@ -54,6 +54,20 @@ def _grams(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit integers byte plane by byte plane: the planes of small numbers are zero and vanish in the shuffle's compression."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def _shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     edges = np.array([(s << 64) // shards for s in range(1, shards)], dtype=np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
@@ -119,37 +133,37 @@ def score_texts(docs: DataFrame, train: str, order: int = 2, smoothing: float =
             bounds = _shard_bounds(k, shards)
             for s in np.flatnonzero(np.diff(bounds)).tolist():
                 part = slice(bounds[s], bounds[s + 1])
-                for name, value in (("shard", s), ("gram", n), ("keys", k[part].view(np.int64)), ("counts", c[part])):
+                for name, value in (("shard", s), ("gram", n), ("keys", _packed(_steps(k[part]))), ("counts", _packed(c[part]))):
                     out[name].append(value)
-        kinds = {"shard": pa.int32(), "gram": pa.int32(), "keys": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+        kinds = {"shard": pa.int32(), "gram": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
         return pa.table({"block": pa.array([key[0].as_py()] * len(out["shard"]), pa.int32()), **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, shard int, gram int, keys array<long>, counts array<long>").repartition(shards, "shard")
+    asked = dealt.groupBy("block").applyInArrow(ask, "block int, shard int, gram int, keys binary, counts binary").repartition(shards, "shard")
 
-    def flat(group: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
-        column = group[name].combine_chunks()
-        return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    def flat(column: pa.ChunkedArray) -> list[np.ndarray]:
+        return [_unpacked(x) for x in column.to_pylist()]
+
+    def totals(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Distinct keys, their training counts over all blocks, the place of every key asked for, and how many each row asked."""
+        keys = [np.cumsum(x.view(np.uint64)) for x in flat(group["keys"])]
+        values, place = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_inverse=True)
+        counts = np.concatenate(flat(group["counts"])) if keys else np.zeros(0, np.int64)
+        return values, np.bincount(place, counts, len(values)).astype(np.int64), place, [len(k) for k in keys]
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
-        keys, at = flat(group, "keys", np.int64)
-        counts, _ = flat(group, "counts", np.int64)
-        _, place = np.unique(keys, return_inverse=True)
-        totals = np.bincount(place, counts).astype(np.int64)[place] if len(keys) else keys
-        answers = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(totals))
-        return pa.table({"block": group["block"], "shard": group["shard"], "gram": group["gram"], "totals": answers})
+        _, sums, place, sizes = totals(group)
+        parts = np.split(sums[place], np.cumsum(sizes)[:-1])
+        return pa.table({"block": group["block"], "shard": group["shard"], "gram": group["gram"], "totals": pa.array([_packed(x) for x in parts], pa.binary())})
 
     def measure(key: tuple, group: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
         group = group.filter(pc.equal(group["gram"], 1))
-        keys, _ = flat(group, "keys", np.int64)
-        counts, _ = flat(group, "counts", np.int64)
-        values, place = np.unique(keys, return_inverse=True)
-        totals = np.bincount(place, counts, len(values)).astype(np.int64)
-        start = values == mixed(np.array([_START + np.uint64(1)])).view(np.int64)[0]
-        return pa.table({"tokens": pa.array([int(totals[~start].sum())]), "known": pa.array([int((totals[~start] > 0).sum())])})
-
-    answers = asked.groupBy("shard").applyInArrow(answer, "block int, shard int, gram int, totals array<long>")
+        values, sums, _, _ = totals(group)
+        start = values == mixed(np.array([_START + np.uint64(1)]))[0]
+        return pa.table({"tokens": pa.array([int(sums[~start].sum())]), "known": pa.array([int((sums[~start] > 0).sum())])})
+
+    answers = asked.groupBy("shard").applyInArrow(answer, "block int, shard int, gram int, totals binary")
     corpus = asked.groupBy("shard").applyInArrow(measure, "tokens long, known long")
     total = corpus.agg(F.struct(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")).alias("corpus"))
 
@@ -157,12 +171,13 @@ def score_texts(docs: DataFrame, train: str, order: int = 2, smoothing: float =
         texts = texts.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         replies = replies.sort_by([("gram", "ascending"), ("shard", "ascending")])
         streams, at, (keys, _) = _block_keys(texts["text"].to_pylist(), texts["train"].to_numpy(zero_copy_only=False), order, WordHashes())
-        found, _ = flat(replies, "totals", np.int64)
+        answered = flat(replies["totals"])
+        found = np.concatenate(answered) if answered else np.zeros(0, np.int64)
         ends = np.cumsum([len(k) for k in keys])
         counts = []
         for stream, k, end in zip(streams, keys, ends):
-            totals = np.append(found[end - len(k) : end], 0)
-            counts.append(totals[np.where(stream > 0, np.searchsorted(k, stream), len(k))].astype(np.float64))
+            own = np.append(found[end - len(k) : end], 0)
+            counts.append(own[np.where(stream > 0, np.searchsorted(k, stream), len(k))].astype(np.float64))
         n_train, known = (texts["corpus"][0].as_py()[x] for x in ("tokens", "known")) if texts.num_rows else (0, 0)
         base = (counts[0] + add) / (n_train + add * (known + 1))
         arcs, fails, below = [np.log10(base)], [np.zeros(len(base))], base
