@@ -86,56 +86,3 @@ def global_alignment(a, b, match: int = 1, mismatch: int = -1, gap: int = -2) ->
         return pd.DataFrame([traced(p, q, match, mismatch, gap) for p, q in zip(x, y)], columns=["score", "aligned1", "aligned2"])
 
     return F.pandas_udf(align, "score long, aligned1 string, aligned2 string")(col(a), col(b))
-
-
-def window_identity(a: str, b: str, window: int) -> float:
-    """Best share of equal letters over all pairs of windows of the two texts; short texts are compared from the start."""
-    x, y = _codes(a), _codes(b)
-    if min(len(x), len(y)) < window:
-        n = min(len(x), len(y))
-        return float((x[:n] == y[:n]).mean()) if n else 0.0
-    best = 0
-    # blocks of the longer text bound the size of the comparison table
-    step = 4096
-    for start in range(0, len(x) - window + 1, step):
-        runs = {1: (x[start : start + step + window - 1, None] == y[None, :]).astype(np.uint8)}
-        size = 1
-        while size * 2 <= window:
-            r = runs[size]
-            runs[size * 2] = r[:-size, :-size] + r[size:, size:]
-            size *= 2
-        total, done = None, 0
-        n, m = runs[1].shape[0] - window + 1, runs[1].shape[1] - window + 1
-        for size in sorted(runs, reverse=True):
-            if done + size <= window:
-                part = runs[size][done : done + n, done : done + m]
-                total = part if total is None else total + part
-                done += size
-        best = max(best, int(total.max()))
-        if best == window:
-            break
-    return best / window
-
-
-def best_reference(seq, references: dict[str, str], window: int = 20) -> Column:
-    """STRUCT<reference, identity> of the best window match among a bounded set of named references."""
-    if len(references) > 10_000:
-        raise ValueError("too many references for a scan: block them by k-mers first")
-    named = sorted((n, s.upper()) for n, s in references.items())
-
-    def pick(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            name, top = "Unclassified", 0.0
-            words = {text[i : i + window] for i in range(len(text) - window + 1)}
-            for n, s in named:
-                exact = any(s[i : i + window] in words for i in range(len(s) - window + 1))
-                found = 1.0 if exact else window_identity(text, s, window)
-                if found > top:
-                    name, top = n, found
-                if top == 1.0:
-                    break
-            out.append((name, top))
-        return pd.DataFrame(out, columns=["reference", "identity"])
-
-    return F.pandas_udf(pick, "reference string, identity double")(F.upper(col(seq)))

@@ -1,4 +1,4 @@
-"""User functions over rows and samples, with failures kept as rows."""
+"""User functions over rows, with failures kept as rows."""
 
 from __future__ import annotations
 
@@ -33,28 +33,3 @@ def map_items(df: DataFrame, func: Callable, result_type: str, column: str) -> D
 
 def outcome_counts(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("error").isNull()).alias("completed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
-
-
-def map_samples(df: DataFrame, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str, sample: str = "sample") -> DataFrame:
-    """One call of ``func`` per sample; a failed sample gives one row with its error.
-
-    A sample is handed over whole, as the caller's function asks; use aggregates for samples of any size.
-    """
-    from pyspark.sql.types import _parse_datatype_string
-
-    names = [f.name for f in _parse_datatype_string(schema).fields]
-    kind = dict(df.dtypes)[sample]
-
-    def run(key, pdf):
-        import time
-
-        start = time.monotonic()
-        try:
-            out = func(pdf)[names]
-            status, error = "ok", None
-        except Exception as e:  # kept as data
-            out = pd.DataFrame([[None] * len(names)], columns=names)
-            status, error = "error", f"{type(e).__name__}: {e}"
-        return out.assign(**{sample: key[0]}, status=status, error=error, elapsed_ms=(time.monotonic() - start) * 1000)
-
-    return df.groupBy(sample).applyInPandas(run, f"{schema}, `{sample}` {kind}, status string, error string, elapsed_ms double")

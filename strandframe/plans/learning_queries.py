@@ -222,14 +222,3 @@ SELECT count(*) AS items, count(*) FILTER (CAST(json_extract(props, '$.k') AS BI
 def _map_items(t):
     df = t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
     return mapping.outcome_counts(mapping.map_items(df, lambda k: 100.0 / int(k), "double", "k"))
-
-
-@query("map_samples", "SELECT event_type AS sample, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
-def _map_samples(t):
-    def total(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"n": [len(pdf)], "total": [float(pdf["value"].sum())]})
-
-    df = t.events.select(F.col("event_type").alias("sample"), "value")
-    return mapping.map_samples(df, total, "n long, total double").select("sample", "n", F.round("total", 4).alias("total"))

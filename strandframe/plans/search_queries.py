@@ -246,18 +246,8 @@ def _aligned_hits(t):
     return pairs.select("probe_id", "seq_id", pairwise.local_score("q", "s").alias("local_score"), pairwise.global_score("q", "s").alias("global_score"))
 
 
-@query("tag_alignments", """
-WITH u AS (SELECT event_id AS id, substr(translate(md5((event_id % 997)::VARCHAR), '0123456789abcdef', 'AAAACCCCGGGGTTTT'), 1, 12) AS a FROM events)
-SELECT id, 12::BIGINT AS self_score, a AS aligned FROM u
+@query("sequence_copies", """
+SELECT event_id AS id, min(event_id) OVER (PARTITION BY substr(translate(md5((event_id % 997)::VARCHAR), '0123456789abcdef', 'AAAACCCCGGGGTTTT'), 1, 12)) AS representative FROM events
 """)
-def _tag_alignments(t):
-    al = tags(t).select("tag", pairwise.global_alignment("seq", "seq").alias("x"))
-    return al.select(F.col("tag").alias("id"), F.col("x.score").alias("self_score"), F.col("x.aligned1").alias("aligned"))
-
-
-@query("window_classification")
-def _window_classification(t):
-    references = {str(r["probe_id"]): r["seq"] for r in t.probes.collect()}
-    return t.dna.select("seq_id", pairwise.best_reference("seq", references).alias("b")).select(
-        "seq_id", "b.reference", "b.identity", F.when(F.col("b.identity") > 0.7, "classified").otherwise("low_confidence").alias("status")
-    )
+def _copies(t):
+    return search.copies(tags(t).withColumnRenamed("tag", "id"), "id")

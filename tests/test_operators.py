@@ -261,21 +261,6 @@ def test_pairwise_scores(spark):
     assert out[0].l == 4 and out[1].g == 160
 
 
-def test_window_identity(spark):
-    rng = random.Random(6)
-    for _ in range(5):
-        a, b = ("".join(rng.choice("ACGT") for _ in range(rng.randrange(15, 70))) for _ in range(2))
-        if min(len(a), len(b)) >= 20:
-            want = max(sum(x == y for x, y in zip(a[i : i + 20], b[j : j + 20])) for i in range(len(a) - 19) for j in range(len(b) - 19)) / 20
-        else:
-            n = min(len(a), len(b))
-            want = sum(x == y for x, y in zip(a, b)) / n
-        assert abs(pairwise.window_identity(a, b, 20) - want) < 1e-12
-    df = table(spark, [("ACGT" * 10,)], "seq string")
-    r = df.select(pairwise.best_reference("seq", {"x": "TTTT" * 10, "y": "ACGT" * 6}).alias("b")).first().b
-    assert (r.reference, r.identity) == ("y", 1.0)
-
-
 def test_similarity_joins_equal_all_pairs(spark):
     rng = random.Random(9)
     base = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(6)]
@@ -326,14 +311,6 @@ def test_mapping_keeps_failures(spark):
     out = {r.id: (r.result, r.error) for r in mapping.map_items(df, lambda v: float(int(v)), "double", "v").collect()}
     assert out[1] == (2.0, None) and out[2][0] is None and out[2][1].startswith("ValueError")
 
-    def total(pdf):
-        if pdf["v"].iloc[0] == "x":
-            raise RuntimeError("bad sample")
-        return pdf.agg({"id": ["sum"]}).reset_index(drop=True).rename(columns={"id": "total"})
-
-    got = {r.sample: (r.total, r.status) for r in mapping.map_samples(df.withColumn("sample", F.col("id")), total, "total long").collect()}
-    assert got == {1: (1, "ok"), 2: (None, "error")}
-
 
 def test_trace_prominence(spark):
     y = [0, 3, 1, 5, 2, 4, 0]
@@ -356,5 +333,10 @@ def test_neighbours_are_true_distances(spark):
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
     df = learning.with_vector(table(spark, rows, "id int, v array<double>"), "v")
     at = dict(rows)
+    rare = learning.nearest_neighbours(df, "id", 3, radius=0.05, bucket=0.05).collect()
+    assert len(rare) == 180 and {r.src for r in rare} == set(at)
+    assert learning.nearest_neighbours(df.filter("id < 3"), "id", 15).count() == 6 and learning.nearest_neighbours(df.filter("id < 1"), "id").count() == 0
     out = learning.nearest_neighbours(df, "id", 3, radius=3.0).collect()
+    truth = {i: set(sorted((j for j in at if j != i), key=lambda j: math.dist(at[i], at[j]))[:3]) for i in at}
+    assert len(out) == 180 and sum(r.dst in truth[r.src] for r in out) >= 0.9 * 180
     assert out and all(abs(r.distance - math.dist(at[r.src], at[r.dst])) < 1e-9 for r in out)
