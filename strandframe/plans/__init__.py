@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("matrix", "sequences", "coordinates", "statistics", "sets", "search", "learning")
+FAMILIES = ("matrix", "sequences", "coordinates", "statistics", "sets", "search", "learning", "formats")
 
 
 def load() -> None:

@@ -64,9 +64,9 @@ def read_fasta(spark: SparkSession, path: str, first_token: bool = False) -> Dat
     return rec.select((F.substring_index(head, " ", 1) if first_token else head).alias("seq_id"), F.regexp_replace(body, "\\s", "").alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+def parse_fastq(lines: DataFrame) -> DataFrame:
     """``read_id, seq, qual`` of four-line records."""
-    lines = _numbered(spark, path).filter("line <> ''").select(F.floor(F.col("n") / 4).alias("rec"), (F.col("n") % 4).alias("role"), "line")
+    lines = lines.filter("line <> ''").select(F.floor(F.col("n") / 4).alias("rec"), (F.col("n") % 4).alias("role"), "line")
 
     def role(k: int) -> Column:
         return F.max(F.when(F.col("role") == k, F.col("line")))
@@ -76,6 +76,11 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     ).drop("rec")
 
 
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_fastq`` of the lines of files."""
+    return parse_fastq(_numbered(spark, path))
+
+
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     """``id, seq, features`` with type, location and qualifiers per feature."""
     rec = _records(spark, path, "\n//").filter(F.col("record").contains("LOCUS"))
@@ -98,15 +103,20 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     return rec.select(F.coalesce(*found).alias("id"), seq.alias("seq"), F.transform(parts, feature).alias("features"))
 
 
-def read_stockholm(spark: SparkSession, path: str) -> DataFrame:
+def parse_stockholm(lines: DataFrame) -> DataFrame:
     """``name, aligned`` with the blocks of a name joined in file order."""
-    rows = _numbered(spark, path).filter("line <> '' AND line NOT LIKE '#%' AND line NOT LIKE '//%'").select(
+    rows = lines.filter("line <> '' AND line NOT LIKE '#%' AND line NOT LIKE '//%'").select(
         "n", F.split(F.trim("line"), "\\s+").alias("f")
     ).filter("size(f) >= 2")
     parts = rows.groupBy(F.col("f")[0].alias("name")).agg(F.array_sort(F.collect_list(F.struct("n", F.col("f")[1].alias("t")))).alias("p"))
     return parts.select("name", F.array_join(F.transform("p", lambda x: x["t"]), "").alias("aligned"))
 
 
+def read_stockholm(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_stockholm`` of the lines of files."""
+    return parse_stockholm(_numbered(spark, path))
+
+
 def stockholm_metadata(spark: SparkSession, path: str) -> DataFrame:
     """``key, value`` of the #=GF lines."""
     gf = _lines(spark, path).filter("line LIKE '#=GF%'")
@@ -116,15 +126,20 @@ def stockholm_metadata(spark: SparkSession, path: str) -> DataFrame:
 # ---- alignments and variants -------------------------------------------------------------------------------------
 
 
-def read_vcf(spark: SparkSession, path: str, max_variants: int | None = None) -> DataFrame:
+def parse_vcf(lines: DataFrame, max_variants: int | None = None) -> DataFrame:
     """Eight VCF columns; lines of fewer fields are dropped and an unreadable QUAL is NULL."""
-    out = _fields(_lines(spark, path), 8).select(
+    out = _fields(lines, 8).select(
         _at(0).alias("chrom"), _number(1, "bigint").alias("pos"), _at(2).alias("id"), _at(3).alias("ref"), _at(4).alias("alt"),
         _number(5, "double").alias("qual"), _at(6).alias("filter"), _at(7).alias("info"),
     )
     return out if max_variants is None else out.limit(max_variants)
 
 
+def read_vcf(spark: SparkSession, path: str, max_variants: int | None = None) -> DataFrame:
+    """``parse_vcf`` of the lines of files."""
+    return parse_vcf(_lines(spark, path), max_variants)
+
+
 def variant_intervals(vcf: DataFrame) -> DataFrame:
     """0-based intervals of one base."""
     return vcf.select("chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), "id")
@@ -136,28 +151,38 @@ SAM_COLUMNS = (
 )
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
+def parse_sam(lines: DataFrame) -> DataFrame:
     """Eleven typed SAM columns and ``tags``, a map from tag to value."""
-    f = _fields(_lines(spark, path), 11, comment="@")
+    f = _fields(lines, 11, comment="@")
     tags = F.map_from_entries(
         F.transform(F.filter(F.slice("f", F.lit(12), F.size("f")), lambda x: F.length(x) >= 5), lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, 6, 1 << 30)))
     )
     return f.select(*[(_at(i) if t == "string" else _number(i, t)).alias(n) for i, (n, t) in enumerate(SAM_COLUMNS)], tags.alias("tags"))
 
 
-def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
+def read_sam(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_sam`` of the lines of files."""
+    return parse_sam(_lines(spark, path))
+
+
+def parse_sam_header(lines: DataFrame) -> DataFrame:
     """``record`` (HD, SQ, RG, PG) and its ``fields`` map."""
-    head = _lines(spark, path).filter(F.col("line").rlike("^@(HD|SQ|RG|PG)\t"))
+    head = lines.filter(F.col("line").rlike("^@(HD|SQ|RG|PG)\t"))
     pairs = F.transform(F.slice(F.split("line", "\t"), F.lit(2), F.size(F.split("line", "\t"))), lambda x: F.struct(F.substring_index(x, ":", 1), F.regexp_replace(x, "^[^:]*:", "")))
     return head.select(F.substring("line", 2, 2).alias("record"), F.map_from_entries(pairs).alias("fields"))
 
 
+def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_sam_header`` of the lines of files."""
+    return parse_sam_header(_lines(spark, path))
+
+
 # ---- intervals and annotations -----------------------------------------------------------------------------------
 
 
-def read_bed(spark: SparkSession, path: str, max_regions: int | None = None) -> DataFrame:
+def parse_bed(lines: DataFrame, max_regions: int | None = None) -> DataFrame:
     """BED3 to BED9: absent columns are NULL; track and browser lines are left out."""
-    lines = _lines(spark, path).filter(~F.col("line").rlike("^(track|browser)"))
+    lines = lines.filter(~F.col("line").rlike("^(track|browser)"))
     out = _fields(lines, 3).select(
         _at(0).alias("chrom"), _number(1, "bigint").alias("start"), _number(2, "bigint").alias("end"), _at(3).alias("name"), _number(4, "double").alias("score"),
         _at(5).alias("strand"), _number(6, "bigint").alias("thick_start"), _number(7, "bigint").alias("thick_end"), _at(8).alias("item_rgb"),
@@ -165,43 +190,68 @@ def read_bed(spark: SparkSession, path: str, max_regions: int | None = None) ->
     return out if max_regions is None else out.limit(max_regions)
 
 
-def _annotation(spark: SparkSession, path: str, attributes: Column) -> DataFrame:
-    return _fields(_lines(spark, path), 9).select(
+def read_bed(spark: SparkSession, path: str, max_regions: int | None = None) -> DataFrame:
+    """``parse_bed`` of the lines of files."""
+    return parse_bed(_lines(spark, path), max_regions)
+
+
+def _annotation(lines: DataFrame, attributes: Column) -> DataFrame:
+    return _fields(lines, 9).select(
         _at(0).alias("chrom"), _at(1).alias("source"), _at(2).alias("feature"), _number(3, "bigint").alias("start"), _number(4, "bigint").alias("end"),
         _number(5, "double").alias("score"), _at(6).alias("strand"), _at(7).alias("phase"), attributes.alias("attributes"),
     )
 
 
-def read_gff(spark: SparkSession, path: str) -> DataFrame:
+def parse_gff(lines: DataFrame) -> DataFrame:
     """GFF3 with its ``key=value;`` attributes as a map."""
-    items = F.filter(F.transform(F.split(_at(8), ";"), F.trim), lambda x: x.contains("="))
-    return _annotation(spark, path, F.map_from_entries(F.transform(items, lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", "")))))
+    items = F.filter(F.transform(F.split(_at(8), ";"), lambda x: F.trim(x)), lambda x: x.contains("="))
+    return _annotation(lines, F.map_from_entries(F.transform(items, lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", "")))))
 
 
-def read_gtf(spark: SparkSession, path: str) -> DataFrame:
+def read_gff(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_gff`` of the lines of files."""
+    return parse_gff(_lines(spark, path))
+
+
+def parse_gtf(lines: DataFrame) -> DataFrame:
     """GTF with its ``key "value";`` attributes as a map; of a repeated key the first is kept."""
     pattern = F.lit('(\\w+) "([^"]*)"')
     keys, values = (F.regexp_extract_all(_at(8), pattern, F.lit(k)) for k in (1, 2))
     firsts = F.filter(F.transform(keys, lambda k, i: F.when(F.array_position(keys, k) == i + 1, F.struct(k.alias("key"), F.get(values, i).alias("value")))), lambda x: x.isNotNull())
-    return _annotation(spark, path, F.map_from_entries(firsts))
+    return _annotation(lines, F.map_from_entries(firsts))
 
 
-def read_saf(spark: SparkSession, path: str) -> DataFrame:
+def read_gtf(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_gtf`` of the lines of files."""
+    return parse_gtf(_lines(spark, path))
+
+
+def parse_saf(lines: DataFrame) -> DataFrame:
     """SAF regions; the strand defaults to '+' and the header line is left out."""
-    out = _fields(_lines(spark, path), 4).select(
+    out = _fields(lines, 4).select(
         _at(0).alias("gene_id"), _at(1).alias("chrom"), _number(2, "bigint").alias("start"), _number(3, "bigint").alias("end"), F.coalesce(_at(4), F.lit("+")).alias("strand")
     )
     return out.filter("start IS NOT NULL")
 
 
-def read_bisulfite(spark: SparkSession, path: str) -> DataFrame:
+def read_saf(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_saf`` of the lines of files."""
+    return parse_saf(_lines(spark, path))
+
+
+def parse_bisulfite(lines: DataFrame) -> DataFrame:
     """``chrom, pos, context, methylated, coverage, level`` of lines chrom, start, end, methylated, total, context."""
-    out = _fields(_lines(spark, path), 6).select(
+    out = _fields(lines, 6).select(
         _at(0).alias("chrom"), _number(1, "bigint").alias("pos"), _at(5).alias("context"), _number(3, "int").alias("methylated"), _number(4, "int").alias("coverage")
     )
     return out.filter("pos IS NOT NULL").withColumn("level", F.col("methylated") / F.greatest("coverage", F.lit(1)))
 
 
+def read_bisulfite(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_bisulfite`` of the lines of files."""
+    return parse_bisulfite(_lines(spark, path))
+
+
 def read_peaks(spark: SparkSession, path: str) -> DataFrame:
     return read_bed(spark, path).select("chrom", "start", "end", "name", "score")
 
@@ -230,9 +280,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, sep="," if name.endswith(".csv") else "\t", inferSchema=True)
 
 
-def read_kraken(spark: SparkSession, path: str) -> DataFrame:
+def parse_kraken(lines: DataFrame) -> DataFrame:
     """Per-read classification ``status, read_id, taxon``."""
-    return _fields(_lines(spark, path), 3).select(_at(0).alias("status"), _at(1).alias("read_id"), _at(2).alias("taxon"))
+    return _fields(lines, 3).select(_at(0).alias("status"), _at(1).alias("read_id"), _at(2).alias("taxon"))
+
+
+def read_kraken(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_kraken`` of the lines of files."""
+    return parse_kraken(_lines(spark, path))
 
 
 def read_quantification(spark: SparkSession, path: str) -> DataFrame:
@@ -242,11 +297,16 @@ def read_quantification(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col(name).alias("transcript_id"), F.col(tpm).try_cast("double").alias("tpm"), F.col(reads).try_cast("double").alias("num_reads"))
 
 
-def read_associations(spark: SparkSession, path: str, taxon: int | None = None) -> DataFrame:
+def parse_associations(lines: DataFrame, taxon: int | None = None) -> DataFrame:
     """``gene, term`` of a two-column table, or of a gene2go table cut to one taxon."""
     if taxon is None:
-        return _fields(_lines(spark, path), 2).select(_at(0).alias("gene"), _at(1).alias("term")).distinct()
-    return _fields(_lines(spark, path), 3).filter(_number(0, "int") == taxon).select(_at(1).alias("gene"), _at(2).alias("term")).distinct()
+        return _fields(lines, 2).select(_at(0).alias("gene"), _at(1).alias("term")).distinct()
+    return _fields(lines, 3).filter(_number(0, "int") == taxon).select(_at(1).alias("gene"), _at(2).alias("term")).distinct()
+
+
+def read_associations(spark: SparkSession, path: str, taxon: int | None = None) -> DataFrame:
+    """``parse_associations`` of the lines of files."""
+    return parse_associations(_lines(spark, path), taxon)
 
 
 def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
