@@ -207,8 +207,8 @@ def _members(tokens: DataFrame, percent: int) -> DataFrame:
     return shared.select("pivot", F.col("rep").alias("doc_id")).distinct()
 
 
-def _searched(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) inside each group (pivot, part, slice) of ``rows``, whose ``asks`` tells queries; texts are joined by id."""
+def _searched(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) inside each group (pivot, part, slice) of ``rows`` (with doc_id and text), whose ``asks`` tells queries."""
 
     def find(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # the pivot first: it is the document most likely to be linked with the others
@@ -218,8 +218,7 @@ def _searched(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
         links = search(sets, np.flatnonzero(group["asks"].to_numpy()).tolist(), percent)
         return pd.DataFrame([(ids[a], ids[b]) for a, b in links], columns=["a", "b"]).astype("int64")
 
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(texts, "doc_id").groupBy("pivot", "part", "slice").applyInPandas(find, "a long, b long")
+    return rows.groupBy("pivot", "part", "slice").applyInPandas(find, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -246,7 +245,10 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, block_docs
     # a copy of the pivot for every other part of its block
     guests = blocks.where("parts > 1").select("pivot", F.col("pivot").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     whole = placed.select("pivot", "doc_id", "part").unionByName(guests).distinct()
-    links = written(_searched(whole.withColumn("slice", F.lit(0)).withColumn("asks", F.lit(True)), docs, size, percent))
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # one exchange of the texts by id; the parts with their texts are read again if large blocks have more to ask
+    shipped = written(whole.join(texts.hint("merge"), "doc_id"))
+    links = written(_searched(shipped.withColumn("slice", F.lit(0)).withColumn("asks", F.lit(True)), size, percent))
     labels = components(links)
 
     large = placed.where("parts > 1")
@@ -260,7 +262,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, block_docs
         )
         data = large.join(slices, "pivot").select("pivot", "doc_id", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asks"))
         both = asked.unionByName(data).groupBy("pivot", "part", "slice", "doc_id").agg(F.max("asks").alias("asks"))
-        labels = components(links.unionByName(_searched(both, docs, size, percent)))
+        held = shipped.join(slices.select("pivot"), "pivot").select("pivot", "doc_id", "text").distinct()
+        labels = components(links.unionByName(_searched(both.join(held, ["pivot", "doc_id"]), size, percent)))
 
     marks = sets.select("mark", "rep")
     named = some.join(marks, "mark").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
