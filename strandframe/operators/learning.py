@@ -83,12 +83,15 @@ def principal_components(df: DataFrame, k: int = 2, features: str = "features")
     return model.transform(centre.transform(df)).drop("_centred"), model.explainedVariance.toArray().tolist()
 
 
-def feature_covariance(df: DataFrame, array: str, size: int) -> DataFrame:
-    """Sample covariance of each pair of the first ``size`` positions of an array column, in one aggregate."""
-    e = F.col(array)
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    row = df.agg(*[F.covar_samp(e[i].cast("double"), e[j].cast("double")).alias(f"c{n}") for n, (i, j) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{n}").alias("covariance")) for n, (i, j) in enumerate(pairs)])))
+def feature_covariance(df: DataFrame, array: str) -> DataFrame:
+    """Sample covariance (i, j, covariance) of each pair i <= j of positions of an array column.
+
+    A row gives its pairs of positions, which are combined in the map tasks; what is shuffled is one row per pair and task.
+    """
+    left = df.select(F.col(array).alias("a"), F.posexplode(array).alias("i", "x"))
+    pairs = left.select("i", "x", F.posexplode(F.slice("a", F.col("i") + 1, F.size("a"))).alias("k", "y"))
+    value = F.covar_samp(F.col("x").cast("double"), F.col("y").cast("double"))
+    return pairs.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg(value.alias("covariance"))
 
 
 def nearest_neighbours(df: DataFrame, id: str, k: int = 15, radius: float = 2.0, bucket: float = 2.0, tables: int = 5, features: str = "features") -> DataFrame:

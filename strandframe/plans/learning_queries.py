@@ -60,10 +60,12 @@ def _pca(t):
     return out.select("vec_id", "pc").withColumn("explained", F.array(*[F.lit(s) for s in shares]))
 
 
-@query("feature_covariance", " UNION ALL ".join(
-    f"SELECT {i} AS i, {j} AS j, round(covar_samp(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE), 8) AS covariance FROM embeddings" for i in range(8) for j in range(i, 8)))
+@query("feature_covariance", """
+SELECT i, j, round(covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 8) AS covariance
+FROM embeddings, (SELECT a.range::INT AS i, b.range::INT AS j FROM range(64) a, range(64) b WHERE a.range <= b.range) GROUP BY i, j
+""")
 def _covariance(t):
-    return rounded(learning.feature_covariance(t.embeddings, "embedding", 8), "i", "j", digits=8, covariance="covariance")
+    return rounded(learning.feature_covariance(t.embeddings, "embedding"), "i", "j", digits=8, covariance="covariance")
 
 
 @query("nearest_neighbours")

@@ -124,7 +124,7 @@ def _overlaps(t):
 
 @query("unitigs")
 def _unitigs(t):
-    e = t.events.filter("value > 20").select(F.col("event_id").alias("src"), (F.col("event_id") + 1 + F.col("user_id") % 2).alias("dst"))
+    e = t.events.select(F.col("event_id").alias("src"), (F.col("event_id") + 1 + F.col("user_id") % 2).alias("dst"))
     return search.unitigs(e)
 
 

@@ -191,11 +191,11 @@ def _components(t):
 
 
 @query("pathway_overlay", """
-WITH x AS (SELECT l_partkey AS node, sum(l_quantity) / 1000 AS e FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+WITH x AS (SELECT l_partkey AS node, sum(l_quantity) / 4000 AS e FROM lineitem GROUP BY 1)
 SELECT p_partkey AS node, round(greatest(0, least(1, coalesce(e, 0)))::DOUBLE, 6) AS expression FROM part LEFT JOIN x ON node = p_partkey
 """)
 def _overlay(t):
-    x = t.lineitem.filter("l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("node")).agg((F.sum("l_quantity") / 1000).alias("expression"))
+    x = t.lineitem.groupBy(F.col("l_partkey").alias("node")).agg((F.sum("l_quantity") / 4000).alias("expression"))
     return rounded(sets.overlay(t.part.select(F.col("p_partkey").alias("node")), x), "node", expression="expression")
 
 
