@@ -177,4 +177,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 3, window: i
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, columns unchanged, in whose text no benchmark item was found."""
     found = contaminated(docs, benchmark, least=least).select(F.col("doc_id").alias("found_id"), F.col("row").alias("found_row")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("text") == F.col("found_row")), "left_anti")
+    # a list that grows with the table is never sent to every task
+    return docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("text") == F.col("found_row")), "left_anti")

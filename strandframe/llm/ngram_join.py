@@ -276,4 +276,5 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     """The rows of ``docs`` whose document is the smallest of its component; rows without ``doc_id`` stay."""
     groups = similar_groups(docs, size, percent)
     dropped = groups.where("component_id < doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    # a list that grows with the table is never sent to every task
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
