@@ -22,11 +22,20 @@ MATCH, MISMATCH = 2, -1
 _CACHED = 500_000
 
 
+class _Hashes(dict):
+    """Word to the hash of its letters and digits, 0 without any; a new word is hashed when it is first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        plain = Words.plain(word)
+        h = self[word] = max(1, xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass"))) if plain else 0
+        return h
+
+
 class Words:
     """Lower-cased words with everything but letters and digits taken out; words of nothing else are passed over."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
 
     @staticmethod
     def plain(word: str) -> str:
@@ -36,12 +45,8 @@ class Words:
         """The words as written (lower-cased) and their hashes."""
         if len(self.known) > _CACHED:
             self.known.clear()
-        words, known = text.lower().split(), self.known
-        for w in words:
-            if w not in known:
-                p = self.plain(w)
-                known[w] = max(1, xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"))) if p else 0
-        hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        words = text.lower().split()
+        hashes = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
         if not hashes.all():
             words = [w for w, h in zip(words, hashes.tolist()) if h]
             hashes = hashes[hashes > 0]

@@ -15,11 +15,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class _Hashes(dict):
+    """Word to hash; a new word is hashed when it is first looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class WordHashes:
     """64-bit hashes of words, kept for words seen before up to a bound. Words are runs outside the six ASCII blanks, A-Z lowered."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Hashes()
 
     def words(self, text: str) -> list[bytes]:
         return text.encode("utf-8", "surrogatepass").lower().split()
@@ -27,11 +35,7 @@ class WordHashes:
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > _CACHED:
             self.known.clear()
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
