@@ -113,7 +113,7 @@ def linkage(gt: DataFrame, span: int = 20) -> DataFrame:
     left = gt.select("sample", F.col("site").alias("site1"), F.col("gt").alias("a"), F.explode(ahead).alias("site2"))
     right = gt.select("sample", F.col("site").alias("site2"), F.col("gt").alias("b"))
     r = left.join(right, ["sample", "site2"]).groupBy("site1", "site2").agg(
-        F.corr("a", "b").alias("r"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1")
+        F.try_divide(F.covar_pop("a", "b"), F.sqrt(F.var_pop("a") * F.var_pop("b"))).alias("r"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1")
     )
     return r.filter("a0 < a1 AND b0 < b1").select("site1", "site2", (F.col("r") * F.col("r")).alias("r2"))
 
