@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them against test items."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them against test items."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .shingles import ngrams
 from .text import written
@@ -65,6 +63,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
+def ceiling(item: np.ndarray, passage: np.ndarray) -> int:
+    """No less than ``align`` gives: each word of an aligned stretch adds MATCH at most, and MISMATCH if the item lacks it."""
+    shared = np.where(np.isin(passage, item), MATCH, MISMATCH).cumsum()
+    before = np.minimum.accumulate(np.append(0, shared[:-1]))
+    return min(int((shared - before).max(initial=0)), MATCH * int(np.isin(item, passage).sum()))
+
+
 def _bitmap(grams: DataFrame) -> np.ndarray:
     """Bits of the low part of ``gram``: of a fixed size, so it can go to every task; bits set by chance are joined away."""
     low = F.col("gram").bitwiseAND((1 << SEED_BITS) - 1)
@@ -97,23 +102,6 @@ def item_grams(benchmark: DataFrame, size: int) -> DataFrame:
     return items.mapInPandas(rows, f"item_id {kind}, place int, gram long, n_words int")
 
 
-def frequencies(docs: DataFrame, bitmap: np.ndarray, size: int) -> DataFrame:
-    """(gram, found): in how many texts each gram is, for those whose bit is set; counted per batch before the shuffle."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                grams = ngrams(words.of(text)[1], size).view(np.int64)
-                found.append(np.unique(grams[_marked(bitmap, grams)]))
-            values, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], names=["gram", "found"])
-
-    counted = docs.where("text IS NOT NULL").select("text").mapInArrow(rows, "gram long, found long")
-    return counted.groupBy("gram").agg(F.sum("found").alias("found"))
-
-
 def _passages(docs: DataFrame, bitmap: np.ndarray, size: int, reach: int) -> DataFrame:
     """Passages around seeds: (doc_id, row, passage, grams, words). Seeds less than ``reach`` words apart share a passage."""
 
@@ -135,28 +123,26 @@ def _passages(docs: DataFrame, bitmap: np.ndarray, size: int, reach: int) -> Dat
     return texts.mapInPandas(rows, "doc_id string, row long, passage int, grams array<long>, words string")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 3, window: int = 4, least: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 3, least: float = 0.5) -> DataFrame:
     """``doc_id, row, item_id, score``: texts (by id and hash of the text) that hold a passage like a benchmark item.
 
     ``score`` is the best local alignment of words over the score of the whole item, kept from ``least`` on; it is 1 for an
     exact copy and stays high with words replaced, put in or left out. Words are compared lower-cased without punctuation.
 
-    Seeds are runs of ``size`` words; of every ``window`` consecutive ones in an item the one in the fewest texts is taken, so
-    that frequent phrases seed nothing where a rarer one is near, and yet every stretch of an item has a seed, also of an
-    item that many documents copied. Items of under ``size`` words have none and are not looked for. Null texts hold
-    nothing. Rows that repeat are found alike; rows without ``doc_id`` are found with a null id. Of items that repeat an id
-    one is taken. Other columns are not looked at.
+    Every run of ``size`` words of an item is a seed, however frequent: a copy is found if any ``size`` of its words in a row
+    are the item's. One without such a run is not found, though with every third word replaced it still scores 0.5. Items of
+    under ``size`` words have no seeds and are not looked for. Null texts hold nothing. Rows that repeat are found alike; rows
+    without ``doc_id`` are found with a null id. Of items that repeat an id one is taken. Other columns are not looked at.
 
     Only passages around seeds leave the scan. A passage is aligned once with each item it shares a seed with, wherever
     that item's other copies are, so a passage in a third of all documents costs that many alignments and no pairs.
     """
     items = written(item_grams(benchmark, size))
     longest = items.agg(F.max("n_words")).first()[0] or 0
-    known = frequencies(docs, _bitmap(items.select("gram")), size)
-    near = W.partitionBy("item_id").orderBy("place").rowsBetween(0, window - 1)
-    rarest = F.min(F.struct(F.coalesce("found", F.lit(0)).alias("found"), "gram")).over(near)
-    seeds = written(items.join(known, "gram", "left").select("item_id", rarest.alias("best")).select("item_id", F.col("best.gram").alias("gram")).distinct())
-    passages = written(_passages(docs, _bitmap(seeds.select("gram")), size, longest + longest // 4 + 1))
+    seeds = written(items.select("item_id", "gram").distinct())
+    # as far as an alignment that scores ``least`` can reach from a seed within it
+    reach = longest + int(MATCH * longest * (1 - least)) + 1
+    passages = written(_passages(docs, _bitmap(seeds.select("gram")), size, reach))
 
     pairs = passages.select("doc_id", "row", "passage", F.explode("grams").alias("gram")).join(seeds, "gram").select("doc_id", "row", "passage", "item_id").distinct()
     texts = benchmark.where("text IS NOT NULL").select("item_id", F.col("text").alias("item")).dropDuplicates(["item_id"])
@@ -169,8 +155,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 3, window: i
         for frame in frames:
             values = []
             for item, passage in zip(frame["item"], frame["words"]):
-                own = words.of(item)[1]
-                values.append(align(own, words.of(passage)[1]) / (MATCH * len(own)))
+                own, there = words.of(item)[1], words.of(passage)[1]
+                whole = MATCH * len(own)
+                values.append(align(own, there) / whole if ceiling(own, there) >= least * whole else 0.0)
             yield frame[["doc_id", "row", "item_id"]].assign(score=np.array(values, dtype=float))
 
     kind = dict(texts.dtypes)["item_id"]

@@ -131,6 +131,31 @@ def test_decontamination_finds_copies_and_leaves_the_rest(spark):
     assert decontamination.contaminated(docs.where("doc_id < 0"), bench).count() == 0
 
 
+def test_decontamination_finds_every_kth_word_replaced(spark):
+    edits = [(every, at) for every in (4, 5, 6) for at in range(every)]
+    items, fill, rows = sentences(40, len(edits), 48, 4000), sentences(41, len(edits), 120, 4000), []
+    for i, (every, at) in enumerate(edits):  # one edited copy an item, so that no other copy counts for its runs
+        body = [f"new{i}" if i % every == at else w for i, w in enumerate(items[i].split())]
+        rows.append((i, " ".join([*fill[i].split()[:60], *body, *fill[i].split()[60:]])))
+    rows += [(500 + i, text) for i, text in enumerate(items[::2])]  # exact copies, by which the runs left intact are the more frequent ones
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(frame(spark, rows), bench).collect()}
+    words, want = decontamination.Words(), {}
+    for doc_id, text in rows:
+        for item, own in enumerate(words.of(text)[1] for text in items):
+            score = brute_align(own.tolist(), words.of(text)[1].tolist()) / (2 * len(own))
+            if score >= 0.5:
+                want[doc_id, item] = score
+    assert len(want) == len(rows) and found == pytest.approx(want)
+
+
+def test_ceiling_is_never_under_the_alignment():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = rng.integers(0, 9, rng.integers(1, 12)), rng.integers(0, 9, rng.integers(1, 25))
+        assert decontamination.ceiling(a, b) >= decontamination.align(a, b)
+
+
 def brute_scores(rows, order, smoothing):
     learn = [d is not None and zlib.crc32(str(d).encode()) % 10 != 0 for d, _ in rows]
     tokens = [["<s>", *(t or "").encode().lower().split(), "</s>"] for _, t in rows]
