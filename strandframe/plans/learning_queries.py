@@ -19,13 +19,13 @@ def vectors(t):
 
 @query("forest_classifier")
 def _forest(t):
-    _, predicted, cv = learning.forest_classifier(vectors(t), "label", trees=20, folds=5)
+    _, predicted, cv = learning.forest_classifier(vectors(t), "label")
     return learning.accuracy(predicted).withColumn("cv_accuracy", F.lit(cv))
 
 
 @query("forest_confusion")
 def _confusion(t):
-    _, predicted, _ = learning.forest_classifier(vectors(t), "label", trees=10, folds=2)
+    _, predicted, _ = learning.forest_classifier(vectors(t), "label")
     return learning.confusion(predicted)
 
 
@@ -38,14 +38,14 @@ def _svm(t):
 @query("forest_regressor")
 def _regressor(t):
     df = learning.with_vector(t.embeddings, "embedding").withColumn("target", F.col("embedding")[0].cast("double") * 2 + F.col("embedding")[1])
-    _, predicted = learning.forest_regressor(df, "target", trees=20)
+    _, predicted = learning.forest_regressor(df, "target")
     return learning.regression_scores(predicted, "target")
 
 
 @query("forest_importances")
 def _importances(t):
     df = learning.with_vector(t.embeddings, "embedding").withColumn("target", F.col("embedding")[0].cast("double"))
-    model, _ = learning.forest_regressor(df, "target", trees=10)
+    model, _ = learning.forest_regressor(df, "target")
     return learning.importances(model, 20)
 
 
