@@ -73,10 +73,11 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def fit(texts: list[str], labels: list[int], size: int, epochs: int, rate: float, min_docs: int = 40, decay: float = 3e-4, weigh: float = 1.0, seed: int = 7) -> SubwordModel:
+def fit(texts: list[str], labels: list[int], size: int, epochs: int, rate: float, min_docs: int = 40, few: int = 3, decay: float = 3e-4, weigh: float = 1.0, seed: int = 7) -> SubwordModel:
     """Embeddings and softmax trained together by AdaGrad on the mean of word vectors, a word being the mean of its subwords.
 
-    Subwords of fewer than ``min_docs`` training texts (fewer in samples of under 1,000) keep the zero vector: they would only memorise their texts.
+    Subwords of fewer than ``min_docs`` training texts (2 % of them in samples of under 1,950) and of fewer than ``few`` texts
+    of the smaller class keep the zero vector: they would only memorise their texts.
     """
     y = np.array(labels)
     if len(set(labels)) < 2:
@@ -93,7 +94,9 @@ def fit(texts: list[str], labels: list[int], size: int, epochs: int, rate: float
         share = np.repeat(counts / counts.sum() / np.diff(at), np.diff(at))
         ids, place = np.unique(buckets, return_inverse=True)
         bags.append((ids, np.bincount(place, share).astype(np.float32)))
-    found = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=1 << BUCKET_BITS) >= min(min_docs, 1 + len(y) // 50)
+    scarce = int(y.sum() * 2 <= len(y))
+    held = [np.bincount(np.concatenate([ids for (ids, _), label in zip(bags, y) if label == k]), minlength=1 << BUCKET_BITS) for k in (0, 1)]
+    found = (held[0] + held[1] >= min(min_docs, 1 + len(y) // 50)) | (held[scarce] >= few)
     bags = [(ids[found[ids]], share[found[ids]]) for ids, share in bags]
     table = rng.uniform(-1 / size, 1 / size, (1 << BUCKET_BITS, size)).astype(np.float32) * found[:, None]
     weights, bias = rng.normal(0, 0.1, (size, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)

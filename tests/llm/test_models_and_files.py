@@ -70,6 +70,23 @@ def test_toxicity_on_held_out_texts_and_misspellings(spark):
     assert toxicity.score_toxicity(frame(spark, rows).where("doc_id < 0"), table).count() == 0
 
 
+def test_toxic_words_count_where_toxic_texts_are_scarce():
+    rng, clean = random.Random(9), sentences(50, 2060, 20, 500)
+    toxic, words = clean[2000:], ["grumblefool", "snarkbeast", "blitherskunk", "dolthump", "vexgoblin"]
+    for i, text in enumerate(toxic):
+        own = text.split()
+        for at in rng.sample(range(20), 4):
+            own[at] = words[i % 5]
+        toxic[i] = " ".join(own)
+    model = toxicity.fit(clean[:2000] + toxic, [0] * 2000 + [1] * 60, 8, 10, 0.3)
+    for word in words:  # each in 12 of 2,060 texts
+        buckets, _ = toxicity.subwords([word])
+        assert np.count_nonzero(model.table[buckets]) == len(buckets)
+    plain = model.scores(sentences(51, 100, 20, 500), {})
+    marked = model.scores([f"{words[i % 5]} " * 4 + t for i, t in enumerate(sentences(51, 100, 20, 500))], {})
+    assert np.mean(marked[:, None] > plain) > 0.7
+
+
 @pytest.mark.parametrize("shares", [{"a": 5, "b": 3, "c": 1}, {f"s{i}": 1 + i % 4 for i in range(20)}, {"one": 7}])
 def test_schedule_deviates_by_less_than_a_block(shares):
     slots, q = source_mixing.schedule(shares), sum(shares.values())
