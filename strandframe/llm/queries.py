@@ -228,3 +228,16 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
     found = contaminated(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+
+
+#: the vocabulary of the SentencePiece query
+PIECES = "piece_bpe_32k.model"
+
+
+@_query()
+def op11_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentence_pieces import digest, encode_pieces
+
+    return encode_pieces(_documents(spark, folder), public_tokenizers.path(PIECES), "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
