@@ -12,6 +12,3 @@ def spark():
     from strandframe.session import build_session
 
     return build_session("tests")
-
-
-SMALL = "/root/testdata/sf0.001"

@@ -3,8 +3,7 @@
 import os
 
 import pytest
-from compare import check, connect
-from conftest import SMALL
+from compare import SMALL, check, connect
 
 import __spark_entry__ as entry
 from strandframe.operators import ordered

@@ -1,6 +1,6 @@
 """Components of a graph with an edge for every event, against brute force."""
 
-from conftest import SMALL
+from compare import SMALL
 
 import __spark_entry__ as entry
 

@@ -3,7 +3,7 @@
 import inspect
 
 import pytest
-from conftest import SMALL
+from compare import SMALL
 
 import __spark_entry__ as entry
 from strandframe.operators import learning, sets
