@@ -241,3 +241,72 @@ def op11_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     from .sentence_pieces import digest, encode_pieces
 
     return encode_pieces(_documents(spark, folder), public_tokenizers.path(PIECES), "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
+
+
+_AUDIT_SQL = rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: translate(w, {_LOWER})) AS w FROM documents),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 30),
+occurs AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(held, 0) AS held FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS held FROM occurs GROUP BY lang, source) USING (lang, source)),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (held + 5 * v) AS p
+  FROM groups JOIN kept USING (lang) LEFT JOIN occurs USING (lang, source, term)),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM occurs GROUP BY lang, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) AS f
+    ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+@_query(_AUDIT_SQL)
+def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from .source_audit import audit_sources
+
+    return audit_sources(_documents(spark, folder))
+
+
+# CRC-32 of a text of digits, one step per byte and per bit
+_CRC_SQL = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(x, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),"
+    " lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"
+)
+_TRIE_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS said, len(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC_SQL.replace("(x,", "(conv_id::VARCHAR,")} % 6 AS h, conv_id - conv_id % 100 AS base FROM (SELECT DISTINCT conv_id FROM t)),
+head AS (SELECT c.conv_id, pos AS d, said, chars FROM c JOIN t ON t.conv_id = base AND pos <= h),
+k AS (SELECT conv_id, count(*) AS k FROM head GROUP BY conv_id),
+rebuilt AS (SELECT * FROM head UNION ALL SELECT t.conv_id, pos - h + coalesce(k, 0), said, chars FROM t JOIN c USING (conv_id) LEFT JOIN k USING (conv_id) WHERE pos > h),
+path AS (
+  SELECT conv_id, d, list(said) OVER (PARTITION BY conv_id ORDER BY d) AS key, chars FROM rebuilt UNION ALL SELECT conv_id, 0, []::BIGINT[], 0 FROM c),
+ended AS (SELECT conv_id, max_by(key, d) AS key FROM path GROUP BY conv_id),
+ends AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM ended GROUP BY key),
+node AS (SELECT key, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM path GROUP BY key, d),
+children AS (SELECT key[:depth - 1] AS key, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+below AS (
+  SELECT p.key, count(*) FILTER (children.n IS NULL) AS n_leaves, sum((node.n_convs - 1) * node.chars) AS saved
+  FROM node JOIN path AS p ON p.conv_id = node.conv_id AND p.d <= node.depth LEFT JOIN children ON children.key = node.key GROUP BY p.key)
+SELECT node.conv_id, node.depth, parent.conv_id AS parent_conv_id, node.n_convs, coalesce(children.n, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN below ON below.key = node.key LEFT JOIN children ON children.key = node.key LEFT JOIN ends ON ends.key = node.key
+LEFT JOIN node AS parent ON node.depth > 0 AND parent.key = node.key[:node.depth - 1]"""
+
+
+@_query(_TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    nodes = prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
