@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,10 +64,26 @@ def codons(seq, frame: int = 1) -> Column:
     return F.regexp_extract_all(F.substring(s, abs(frame), 2147483647), F.lit("([\\s\\S]{3})"), F.lit(1))
 
 
+def _slots(keys: Sequence[str]) -> int:
+    """The smallest number of slots in which no two keys meet by CRC-32."""
+    n = len(keys)
+    while len({zlib.crc32(k.encode()) % n for k in keys}) < len(keys):
+        n += 1
+    return n
+
+
+def residue(codon: Column) -> Column:
+    """Residue of a codon, NULL for other texts: one look into a slot, where a map would be searched from its start."""
+    n = _slots(list(CODONS))
+    slots = {zlib.crc32(c.encode()) % n: (c, aa) for c, aa in CODONS.items()}
+    names, letters = (F.array(*[F.lit(slots[i][k] if i in slots else "") for i in range(n)]) for k in (0, 1))
+    at = (F.crc32(codon.cast("binary")) % n).cast("int")
+    return F.when(F.get(names, at) == codon, F.get(letters, at))
+
+
 def translate(seq, frame: int = 1) -> Column:
     """Residue letters of a reading frame; unknown codons give X, stops give *."""
-    table = literal_map(CODONS)
-    return F.array_join(F.transform(codons(seq, frame), lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
+    return F.array_join(F.transform(codons(seq, frame), lambda c: F.coalesce(residue(c), F.lit("X"))), "")
 
 
 def composition(seq) -> dict[str, Column]:

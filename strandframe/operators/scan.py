@@ -16,17 +16,19 @@ from pyspark.sql.window import Window as W
 
 from ..functions import dna
 from ..functions import fixed_values as V
-from . import ordered
+from . import pieces
 
 PIECE = 1 << 16
 WORD_PIECE = 128
+#: sites of the whole catalogue begin at every fourth letter or so, and each costs time in proportion to those before it
+SITE_PIECE = 1024
 
 
 def chunks(df: DataFrame, seq: str = "seq", overlap: int = 0, size: int = PIECE) -> DataFrame:
     """Replace ``seq`` by ``piece`` with its 0-based ``offset``; each piece carries ``overlap`` letters of the next."""
-    pieces = F.regexp_extract_all(F.col(seq), F.lit(f"[\\s\\S]{{1,{size}}}"), F.lit(0))
+    stretches = F.regexp_extract_all(F.col(seq), F.lit(f"[\\s\\S]{{1,{size}}}"), F.lit(0))
     keep = [c for c in df.columns if c != seq]
-    cut = df.select(*keep, pieces.alias("_pieces"))
+    cut = df.select(*keep, stretches.alias("_pieces"))
     parts = F.transform(
         F.col("_pieces"),
         lambda p, i: F.concat(p, F.substring(F.coalesce(F.get(F.col("_pieces"), i + 1), F.lit("")), 1, overlap)),
@@ -44,8 +46,8 @@ def words(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """
     size = max(WORD_PIECE, k)
     keep = [c for c in df.columns if c != seq]
-    pieces = chunks(df, seq, overlap=k - 1, size=size).filter(F.length("piece") >= k)
-    at = pieces.select(*keep, "offset", "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(size), F.length("piece") - (k - 1)))).alias("_p"))
+    short = chunks(df, seq, overlap=k - 1, size=size).filter(F.length("piece") >= k)
+    at = short.select(*keep, "offset", "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(size), F.length("piece") - (k - 1)))).alias("_p"))
     return at.select(*keep, (F.col("offset") + F.col("_p") - 1).alias("pos"), F.substring("piece", F.col("_p"), F.lit(k)).alias("word"))
 
 
@@ -65,10 +67,10 @@ def codon_usage(df: DataFrame, frame: int = 1, by: Sequence[str] = (), seq: str
     """Count, residue and percentage of each known codon, and its percentage within the residue."""
     by = list(by)
     sizes = (
-        df.select(*by, F.explode(dna.codons(seq, frame)).alias("codon"))
+        pieces.codons(pieces.cut(df.select(*by, F.upper(seq).alias("seq")), ahead=2), by, frame)
         .groupBy(*by, "codon")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("residue", F.element_at(dna.literal_map(dna.CODONS), F.col("codon")))
+        .withColumn("residue", dna.residue(F.col("codon")))
         .filter(F.col("residue").isNotNull())
     )
     total = F.sum("n").over(W.partitionBy(*by))
@@ -212,47 +214,8 @@ def read_quality(df: DataFrame, seq: str = "seq", qual: str = "qual") -> DataFra
 
 
 def orfs(df: DataFrame, min_aa: int = 30, reverse: bool = False, id: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """Open reading frames ATG..stop of three frames, and of the reverse strand with forward coordinates.
-
-    ``start`` is 0-based and ``end`` is where the stop codon begins (or the sequence end); on the minus strand the
-    same range is given on the forward axis. A frame's tail without a stop is kept once.
-    """
-    s = F.translate(F.upper(seq), "U", "T")
-    strands = [("+", s)] + ([("-", dna.reverse_complement(s))] if reverse else [])
-    rows = [
-        F.struct(F.lit(st).alias("strand"), F.lit(f).alias("frame"), dna.translate(text, f).alias("protein"))
-        for st, text in strands
-        for f in (1, 2, 3)
-    ]
-    frames = df.select(id, F.length(seq).cast("long").alias("_len"), F.inline(F.array(*rows)))
-    pattern = F.lit("\\G([^M]*+)(M[^*]*+\\*?)")
-    hits = frames.select(
-        id, "_len", "strand", "frame",
-        F.posexplode(
-            F.arrays_zip(
-                F.regexp_extract_all("protein", pattern, F.lit(1)).alias("skip"),
-                F.regexp_extract_all("protein", pattern, F.lit(2)).alias("orf"),
-            )
-        ).alias("_i", "_m"),
-    ).select(id, "_len", "strand", "frame", "_i", F.length("_m.skip").alias("_skip"), F.col("_m.orf").alias("_orf"))
-    w = W.partitionBy(id, "strand", "frame").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
-    placed = hits.withColumn("_to", F.sum(F.col("_skip") + F.length("_orf")).over(w)).withColumn(
-        "_start", (F.col("_to") - F.length("_orf")) * 3 + F.col("frame") - 1
-    )
-    protein = F.rtrim("_orf", F.lit("*"))
-    has_stop = F.col("_orf").endswith("*")
-    found = placed.select(
-        id, "_len", "strand", "frame", "_start",
-        F.when(has_stop, F.col("_start") + F.length(protein) * 3).otherwise(F.col("_len")).alias("_end"),
-        F.length(protein).cast("long").alias("length"), protein.alias("protein"), has_stop.alias("has_stop"),
-    ).filter(F.col("length") >= min_aa)
-    minus = F.col("strand") == "-"
-    return found.select(
-        id, "strand", "frame",
-        F.when(minus, F.col("_len") - F.col("_end")).otherwise(F.col("_start")).cast("long").alias("start"),
-        F.when(minus, F.col("_len") - F.col("_start")).otherwise(F.col("_end")).cast("long").alias("end"),
-        "length", "protein", "has_stop",
-    )
+    """``pieces.orfs`` of whole sequences; U reads as T."""
+    return pieces.orfs(pieces.cut(df.select(id, F.translate(F.upper(seq), "U", "T").alias("seq")), ahead=2), min_aa, reverse, id)
 
 
 def site_table(enzymes: Iterable[str] | None = None, both_strands: bool = True, literal: bool = False) -> list[tuple]:
@@ -283,23 +246,30 @@ def _spellings(site: str, literal: bool) -> list[tuple[str, str, int, str]]:
 
 
 def restriction_sites(df: DataFrame, enzymes: Iterable[str] | None = None, both_strands: bool = True, literal: bool = False, seq: str = "seq") -> DataFrame:
-    """Every site of every enzyme with 0-based ``pos``; IUPAC letters are expanded unless ``literal``.
+    """Every site of every enzyme with 0-based ``pos``; IUPAC letters are expanded unless ``literal``."""
+    table = site_table(enzymes, both_strands, literal)
+    return sites_of(pieces.cut(df.withColumn(seq, F.upper(seq)), seq, longest_site(table) - 1, SITE_PIECE), table, literal)
+
 
-    Each position is looked up by its first four letters in the spelled-out catalogue (a fixed small table, so the
-    join is broadcast) and the rest of the site is compared; the text is read once for all enzymes.
+def longest_site(table: list[tuple]) -> int:
+    return max(len(site) for _, _, site, _, _ in table)
+
+
+def sites_of(cut: DataFrame, table: list[tuple], literal: bool = False) -> DataFrame:
+    """Sites of a ``site_table`` in pieces that go on for its longest site less one letter.
+
+    One expression finds where any site begins; only those places are looked up by their first four letters in the
+    spelled-out catalogue (a fixed small table, so the join is broadcast) and the rest of the site is compared.
     """
-    table = site_table(enzymes, both_strands, literal)
-    keep = [c for c in df.columns if c != seq]
-    longest = max(len(site) for _, _, site, _, _ in table)
+    keep = [c for c in cut.columns if c not in pieces.OWN]
     rows = [
-        (head, left, end, right, name, strand, site, cut)
-        for name, strand, site, cut, _ in table
+        (head, left, end, right, name, strand, site, cut_at)
+        for name, strand, site, cut_at, _ in table
         for head, left, end, right in _spellings(site, literal)
     ]
     schema = "head string, left string, run_end int, right string, enzyme string, strand string, site string, cut int"
-    catalogue = df.sparkSession.createDataFrame(rows, schema)
-    padded = F.concat(F.upper(seq), F.lit("-" * (longest - 1)))
-    at = words(df.withColumn(seq, padded), longest, seq).withColumn("head", F.substring("word", 1, 4))
+    catalogue = cut.sparkSession.createDataFrame(rows, schema)
+    at = pieces.places(cut, [pattern for *_, pattern in table], longest_site(table)).withColumn("head", F.substring("word", 1, 4))
     same = F.startswith("word", "left") & (F.expr("substring(word, run_end + 1, length(right))") == F.col("right"))
     return at.join(F.broadcast(catalogue), "head").filter(same).select(*keep, "enzyme", "strand", "site", "cut", "pos")
 
@@ -314,28 +284,9 @@ def overhang(enzyme: str) -> str:
 
 def digest(df: DataFrame, enzymes: Sequence[str], circular: bool = True, id: str = "seq_id", seq: str = "seq") -> DataFrame:
     """Fragments ``start, end, size`` between distinct cuts; a sequence without a cut is one fragment."""
-    cuts = (
-        restriction_sites(df.select(id, seq), enzymes, both_strands=False, seq=seq)
-        .select(id, (F.col("pos") + F.col("cut")).alias("at"))
-        .distinct()
-    )
-    whole = df.select(id, F.length(seq).cast("long").alias("_len"))
-    w = W.partitionBy(id).orderBy("at")
-    placed = whole.join(cuts, id, "left").select(
-        id, "_len", "at", F.lead("at").over(w).alias("_next"), F.first("at").over(w).alias("_first"), F.row_number().over(w).alias("_i")
-    )
-    if circular:
-        start = F.coalesce("at", F.lit(0))
-        end = F.when(F.col("at").isNull(), F.col("_len")).otherwise(F.coalesce("_next", "_first"))
-        out = placed.select(id, "_len", start.alias("start"), end.alias("end"))
-        size = F.when(F.col("end") > F.col("start"), F.col("end") - F.col("start")).otherwise(F.col("_len") - F.col("start") + F.col("end"))
-    else:
-        lead = F.struct(F.lit(0).cast("long").alias("start"), F.coalesce("at", "_len").alias("end"))
-        body = F.struct(F.col("at").alias("start"), F.coalesce("_next", "_len").alias("end"))
-        parts = F.when(F.col("at").isNull(), F.array(lead)).when(F.col("_i") == 1, F.array(lead, body)).otherwise(F.array(body))
-        out = placed.select(id, "_len", F.inline(parts)).filter(F.col("end") > F.col("start"))
-        size = F.col("end") - F.col("start")
-    return out.select(id, "start", "end", size.alias("size"))
+    sites = restriction_sites(df.select(id, seq), enzymes, both_strands=False, seq=seq)
+    lengths = df.select(id, F.length(seq).cast("long").alias("seq_len"))
+    return pieces.fragments(sites.select(id, (F.col("pos") + F.col("cut")).alias("at")), lengths, circular, id)
 
 
 def guides(df: DataFrame, nuclease: str = "SpCas9", guide_length: int = 20, seq: str = "seq") -> DataFrame:

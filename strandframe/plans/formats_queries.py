@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import pieces
 from ..sources import formats
 from .catalog import query
+from .sequences_queries import _orf_sql
 
 _KEPT = "FROM events WHERE event_id % 10 <> 0 AND event_id % 11 <> 0"
 
@@ -73,3 +75,24 @@ def _associations(t):
 def _fastq(t):
     lines = t.events.select(F.posexplode(F.array(F.concat(F.lit("@r"), "event_id"), "event_type", F.lit("+"), F.concat(F.lit("q"), "user_id"))).alias("k", "line"), "event_id")
     return formats.parse_fastq(lines.select("line", (F.col("event_id") * 4 + F.col("k")).alias("n")))
+
+
+def _fasta_lines(t):
+    """The sequences as FASTA: a header line, then lines of 60 letters."""
+    lines = F.concat(F.array(F.concat(F.lit(">"), "seq_id")), F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)))
+    return t.dna.select("seq_id", F.posexplode(lines).alias("i", "line")).select(F.lit("f").alias("file"), (F.col("seq_id") * 1_000_000 + F.col("i")).alias("n"), "line")
+
+
+@query("parse_fasta_pieces", """
+, p AS (SELECT seq_id, seq, unnest(range(0, length(seq), 6144)) AS o FROM dna)
+SELECT seq_id::VARCHAR AS seq_id, o // 6144 AS piece, o AS "offset", least(6144, length(seq) - o)::BIGINT AS size, length(seq)::BIGINT AS seq_len, md5(substr(seq, o + 1, 6144)) AS digest FROM p
+""", uses="dna")
+def _fasta(t):
+    out = formats.fasta_pieces(_fasta_lines(t), pieces.SIZE)
+    return out.select("seq_id", "piece", "offset", F.col("size").cast("long").alias("size"), "seq_len", F.md5("text").alias("digest"))
+
+
+@query("fasta_open_reading_frames", _orf_sql(), uses="dna")
+def _fasta_orfs(t):
+    long = pieces.with_ahead(formats.fasta_pieces(_fasta_lines(t), pieces.SIZE), "seq_id", 2)
+    return pieces.orfs(long.withColumn("seq_id", F.col("seq_id").cast("long")), 30, reverse=True)

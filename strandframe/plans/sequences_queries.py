@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions import fixed_values as V
+from ..functions.frames import all_frames
 from ..operators import scan
 from .catalog import query
 from .matrix_queries import rounded
@@ -43,10 +44,9 @@ def _frame_sql(f: int) -> str:
 
 @query("translate_frames", ", f AS (" + " UNION ALL ".join(_frame_sql(f) for f in (1, 2, 3, -1, -2, -3)) + ") SELECT seq_id, frame, md5(protein) AS digest, length(protein) AS residues FROM f", uses="dna")
 def _translate(t):
-    rows = [F.struct(F.lit(f).alias("frame"), dna.translate("seq", f).alias("protein")) for f in (1, 2, 3, -1, -2, -3)]
-    return t.dna.select("seq_id", F.inline(F.array(*rows))).select(
-        "seq_id", "frame", F.md5("protein").alias("digest"), F.length("protein").cast("long").alias("residues")
-    )
+    proteins = t.dna.select("seq_id", F.posexplode(all_frames("seq")).alias("i", "protein"))
+    frame = F.get(F.array(*[F.lit(f) for f in (1, 2, 3, -1, -2, -3)]), F.col("i"))
+    return proteins.select("seq_id", frame.alias("frame"), F.md5("protein").alias("digest"), F.length("protein").cast("long").alias("residues"))
 
 
 @query("base_composition", f"""

@@ -36,7 +36,9 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     )
     splits = rows.groupBy("_f", "_b").agg(F.min("_i").alias("_low"), F.count(F.lit(1)).alias("_lines"))
     before = F.coalesce(F.sum("_lines").over(W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(splits.withColumn("_before", before), ["_f", "_b"]).select("line", (F.col("_before") + F.col("_i") - F.col("_low")).alias("n"))
+    return rows.join(splits.withColumn("_before", before), ["_f", "_b"]).select(
+        "line", (F.col("_before") + F.col("_i") - F.col("_low")).alias("n"), F.col("_f").alias("file")
+    )
 
 
 def _fields(lines: DataFrame, least: int, sep: str = "\t", comment: str = "#") -> DataFrame:
@@ -64,6 +66,65 @@ def read_fasta(spark: SparkSession, path: str, first_token: bool = False) -> Dat
     return rec.select((F.substring_index(head, " ", 1) if first_token else head).alias("seq_id"), F.regexp_replace(body, "\\s", "").alias("seq"))
 
 
+LINE_TILE = 1 << 16
+
+
+def fasta_pieces(lines: DataFrame, size: int, first_token: bool = False) -> DataFrame:
+    """``record, seq_id, piece, offset, size, seq_len, text``: sequences of any length in pieces of ``size`` letters, from single lines.
+
+    ``lines`` has ``file, n, line``, ``n`` rising in file order. The number of the record, its name and the place where it begins
+    are carried from line to line: running values inside tiles of lines, and one row for each tile along the whole input. A
+    line is cut where pieces meet and sent to its (record, piece), so no row is longer than a piece or a line. Letters before the
+    first header of a file belong to no record; a record without letters has no piece (``read_fasta`` lists it). ``record`` tells
+    sequences of one name apart. ``operators.pieces`` scans the result.
+    """
+    head = F.col("line").startswith(">")
+    name = F.trim(F.substring("line", 2, 2147483647))
+    letters = F.when(head, F.lit("")).otherwise(F.regexp_replace("line", "\\s", ""))
+    rows = lines.select(
+        "file", "n", F.floor(F.col("n") / LINE_TILE).alias("_tile"), letters.alias("_letters"), F.length(letters).cast("long").alias("_len"),
+        F.when(head, F.substring_index(name, " ", 1) if first_token else name).alias("_name"), head.alias("_head"),
+    )
+    inside = W.partitionBy("_tile").orderBy("n")
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    # a file begins a record without a name, so that a record never goes on from the file before
+    opens = F.col("_head") | (F.lag("file").over(inside) != F.col("file"))
+    summed = rows.withColumn("_opens", F.coalesce(opens, F.col("_head"))).withColumn("_in", F.sum("_len").over(upto))
+    last = F.last(F.when(F.col("_opens"), F.struct((F.col("_in") - F.col("_len")).alias("start"), F.col("_name").alias("name"))), ignorenulls=True)
+    local = summed.select("file", "n", "_tile", "_letters", "_len", "_in", last.over(upto).alias("_own"), F.sum(F.col("_opens").cast("long")).over(upto).alias("_records"))
+
+    tiles = local.groupBy("_tile").agg(
+        F.max("_in").alias("_letters_in"), F.max("_records").alias("_records_in"), F.max_by("_own", "n").alias("_last"), F.min_by("file", "n").alias("_first_file"), F.max_by("file", "n").alias("_last_file")
+    )
+    before = W.orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
+    counted = tiles.select(
+        "_tile", "_last", F.coalesce(F.sum("_letters_in").over(before), F.lit(0)).alias("_at"), F.coalesce(F.sum("_records_in").over(before), F.lit(0)).alias("_no"),
+        (F.lag("_last_file").over(W.orderBy("_tile")) == F.col("_first_file")).alias("_same"),
+    )
+    ended = F.when(F.col("_last").isNotNull(), F.struct((F.col("_at") + F.col("_last.start")).alias("start"), F.col("_last.name").alias("name"))).when(
+        ~F.col("_same"), F.struct(F.col("_at").alias("start"), F.lit(None).cast("string").alias("name"))
+    )
+    carried = counted.withColumn("_carry", F.last(ended, ignorenulls=True).over(before)).select("_tile", "_at", "_no", F.when(F.col("_same"), F.col("_carry")).alias("_carry"))
+
+    start = F.coalesce(F.col("_at") + F.col("_own.start"), F.col("_carry.start"))
+    placed = local.join(carried, "_tile").select(
+        (F.col("_no") + F.col("_records")).alias("record"), F.when(F.col("_own").isNotNull(), F.col("_own.name")).otherwise(F.col("_carry.name")).alias("seq_id"),
+        "_letters", "_len", (F.col("_at") + F.col("_in") - F.col("_len") - start).alias("_offset"),
+    ).where("seq_id IS NOT NULL AND _len > 0")
+    lengths = placed.groupBy("record").agg(F.sum("_len").alias("seq_len"))
+    cut = placed.select("*", F.explode(F.sequence(F.floor(F.col("_offset") / size), F.floor((F.col("_offset") + F.col("_len") - 1) / size))).alias("piece"))
+    low = F.greatest(F.col("_offset"), F.col("piece") * size)
+    high = F.least(F.col("_offset") + F.col("_len"), (F.col("piece") + 1) * size)
+    part = F.struct(low.alias("at"), F.substring("_letters", (low - F.col("_offset")).cast("int") + 1, (high - low).cast("int")).alias("text"))
+    joined = cut.groupBy("record", "seq_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "").alias("text"))
+    return joined.join(lengths, "record").select("record", "seq_id", "piece", (F.col("piece") * size).alias("offset"), F.length("text").alias("size"), "seq_len", "text")
+
+
+def read_fasta_pieces(spark: SparkSession, path: str, size: int, first_token: bool = False) -> DataFrame:
+    """``fasta_pieces`` of the lines of files."""
+    return fasta_pieces(_numbered(spark, path), size, first_token)
+
+
 def parse_fastq(lines: DataFrame) -> DataFrame:
     """``read_id, seq, qual`` of four-line records."""
     lines = lines.filter("line <> ''").select(F.floor(F.col("n") / 4).alias("rec"), (F.col("n") % 4).alias("role"), "line")
