@@ -6,15 +6,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, StandardScaler, StringIndexer, UnivariateFeatureSelector
+from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, UnivariateFeatureSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..session import cut_lineage
 from . import testing
 
 
@@ -94,31 +92,6 @@ def feature_covariance(df: DataFrame, array: str) -> DataFrame:
     return pairs.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg(value.alias("covariance"))
 
 
-def nearest_neighbours(df: DataFrame, id: str, k: int = 15, radius: float = 2.0, bucket: float = 2.0, tables: int = 5, features: str = "features") -> DataFrame:
-    """``k`` nearest rows of every row by random-projection hashing (approximate: hashing may miss a nearer one).
-
-    The first round looks within ``radius``; rows that find fewer than ``k`` others ask again with radius and buckets
-    doubled, until every row has ``k`` (or all there are). Only the rows that are left ask, and late rounds are exact, as
-    their buckets hold the whole table.
-    """
-    rows = cut_lineage(df.select(id, features))
-    wanted = min(k, rows.count() - 1)
-    left, found, scale = rows, None, 1.0
-    while wanted > 0 and not left.isEmpty():
-        model = BucketedRandomProjectionLSH(inputCol=features, outputCol="_hash", bucketLength=bucket * scale, numHashTables=tables, seed=42).fit(rows)
-        pairs = model.approxSimilarityJoin(left, rows, radius * scale, distCol="distance").select(
-            F.col(f"datasetA.{id}").alias("src"), F.col(f"datasetB.{id}").alias("dst"), "distance"
-        ).filter("src <> dst")
-        w = W.partitionBy("src").orderBy("distance", "dst")
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= wanted)
-        full = F.count(F.lit(1)).over(W.partitionBy("src")) == wanted
-        near = cut_lineage(ranked.withColumn("_full", full).filter("_full").drop("_full"))
-        found = near if found is None else found.unionByName(near)
-        left = cut_lineage(left.join(near.select(F.col("src").alias(id)).distinct(), id, "left_anti"))
-        scale *= 2
-    return found if found is not None else rows.select(F.col(id).alias("src"), F.col(id).alias("dst"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
-
-
 def graph_clusters(edges: DataFrame, k: int, iterations: int = 20) -> DataFrame:
     """Power-iteration clusters of a neighbour graph, closer pairs weighing more."""
     w = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (1 / (1 + F.col("distance"))).alias("weight")).distinct()

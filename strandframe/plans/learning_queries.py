@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
-from ..operators import cells, learning, mapping
+from ..operators import cells, learning, mapping, nearest
 from ..session import cut_lineage
 from ..streaming import queries as streaming
 from . import sql_stats as S
@@ -68,14 +67,17 @@ def _covariance(t):
     return rounded(learning.feature_covariance(t.embeddings, "embedding"), "i", "j", digits=8, covariance="covariance")
 
 
-@query("nearest_neighbours")
+@query("nearest_neighbours", """
+SELECT src, dst, round(d, 6) AS distance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rank FROM (
+SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 15
+""")
 def _neighbours(t):
-    return learning.nearest_neighbours(vectors(t), "vec_id", 15, radius=1.2)
+    return rounded(nearest.nearest_neighbours(vectors(t), "vec_id", 15), "src", "dst", "rank", distance="distance")
 
 
 @query("graph_clusters")
 def _graph_clusters(t):
-    return learning.graph_clusters(learning.nearest_neighbours(vectors(t), "vec_id", 15, radius=1.2), 10)
+    return learning.graph_clusters(nearest.nearest_neighbours(vectors(t), "vec_id", 15), 10)
 
 
 @query("kmeans_clusters")

@@ -326,17 +326,3 @@ def test_record_checks(spark):
     with pytest.raises(ValueError, match="missing columns: z"):
         tables.require_columns(df, ["seq", "z"])
     assert tables.downsample(spark.range(100), "id", 7).collect() == tables.downsample(spark.range(100), "id", 7).collect()
-
-
-def test_neighbours_are_true_distances(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
-    df = learning.with_vector(table(spark, rows, "id int, v array<double>"), "v")
-    at = dict(rows)
-    rare = learning.nearest_neighbours(df, "id", 3, radius=0.05, bucket=0.05).collect()
-    assert len(rare) == 180 and {r.src for r in rare} == set(at)
-    assert learning.nearest_neighbours(df.filter("id < 3"), "id", 15).count() == 6 and learning.nearest_neighbours(df.filter("id < 1"), "id").count() == 0
-    out = learning.nearest_neighbours(df, "id", 3, radius=3.0).collect()
-    truth = {i: set(sorted((j for j in at if j != i), key=lambda j: math.dist(at[i], at[j]))[:3]) for i in at}
-    assert len(out) == 180 and sum(r.dst in truth[r.src] for r in out) >= 0.9 * 180
-    assert out and all(abs(r.distance - math.dist(at[r.src], at[r.dst])) < 1e-9 for r in out)
