@@ -1,7 +1,6 @@
 """Sequence search as k-mer joins: seed hits, read mapping, pseudo-alignment, classification, overlaps.
 
-Common k-mers make heavy join keys. The joins are plain equi-joins, so a small side is broadcast by its size and
-adaptive execution splits skewed keys otherwise; votes are summed before they are shuffled.
+Common k-mers make heavy join keys: joins on words go through ``heavy.word_join``, and votes are summed before they are shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +11,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import dna
 from ..session import cut_lineage
-from . import ordered
+from . import ordered, pieces
+from .heavy import word_join
 from .scan import words
 
 
@@ -21,11 +21,30 @@ def seed_words(df: DataFrame, id: str, k: int, seq: str = "seq") -> DataFrame:
     return words(df.select(id, F.translate(F.upper(seq), "U", "T").alias(seq)), k, seq).filter(~F.col("word").contains("N"))
 
 
-def diagonals(queries: DataFrame, subjects: DataFrame, query_id: str, subject_id: str, k: int = 15) -> DataFrame:
-    """Seed hits per (query, subject, diagonal): ``seeds`` and the first query position."""
-    q = seed_words(queries, query_id, k).withColumnRenamed("pos", "_q")
-    s = seed_words(subjects, subject_id, k).withColumnRenamed("pos", "_s")
-    return q.join(s, "word").groupBy(query_id, subject_id, (F.col("_s") - F.col("_q")).alias("diagonal")).agg(
+def minimizers(df: DataFrame, id: str, k: int, window: int, seq: str = "seq") -> DataFrame:
+    """``id, pos, word``: of every ``window`` neighbouring k-mers the one of smallest hash, the first of equal ones.
+
+    Two sequences that share ``window + k - 1`` letters in a row share a minimizer there, while only about two words in
+    ``window + 1`` are kept. A shorter sequence, of one k-mer at least, has the smallest of all. Windows are looked at in pieces
+    that go on for what the last window of a piece needs. Words with N are k-mers like others here, and left out at the end.
+    """
+    upper = df.select(id, F.translate(F.upper(seq), "U", "T").alias("seq"))
+    cut = pieces.cut(upper, ahead=window + k - 2)
+    at = words(cut.select(id, F.col("piece").alias("_piece"), F.col("offset").alias("_at"), F.col("size").alias("_size"), F.greatest(F.lit(1), F.col("seq_len") - (window + k - 2)).alias("_windows"), F.col("text").alias("seq")), k)
+    hashed = at.withColumn("_h", F.struct(F.xxhash64("word").alias("h"), (F.col("_at") + F.col("pos")).alias("pos"), "word"))
+    ahead = W.partitionBy(id, "_piece").orderBy("pos").rowsBetween(0, window - 1)
+    least = hashed.withColumn("_m", F.min("_h").over(ahead)).where((F.col("pos") < F.col("_size")) & (F.col("_at") + F.col("pos") < F.col("_windows")))
+    return least.select(id, "_m.pos", "_m.word").distinct().where(~F.col("word").contains("N"))
+
+
+def diagonals(queries: DataFrame, subjects: DataFrame, query_id: str, subject_id: str, k: int = 15, window: int | None = None) -> DataFrame:
+    """Seed hits per (query, subject, diagonal): ``seeds`` and the first query position.
+
+    Every k-mer is a seed, or with ``window`` only ``minimizers``: several times fewer rows, and still a seed in every run of
+    ``window + k - 1`` equal letters.
+    """
+    q, s = (seed_words(df, id, k) if window is None else minimizers(df, id, k, window) for df, id in ((queries, query_id), (subjects, subject_id)))
+    return word_join(q.withColumnRenamed("pos", "_q"), s.withColumnRenamed("pos", "_s"), "word").groupBy(query_id, subject_id, (F.col("_s") - F.col("_q")).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("seeds"), F.min("_q").alias("first_pos")
     )
 
@@ -97,7 +116,7 @@ def mapping_report(mapped: DataFrame) -> DataFrame:
 def votes(reads: DataFrame, markers: DataFrame, read_id: str, label: str, k: int) -> DataFrame:
     """k-mer votes per (read, label); ``markers`` has ``word, label`` with its multiplicity ``times``."""
     mine = words(reads.select(read_id, F.upper("seq").alias("seq")), k).select(read_id, "word")
-    return mine.join(markers, "word").groupBy(read_id, label).agg(F.sum("times").alias("votes"))
+    return word_join(markers, mine, "word").groupBy(read_id, label).agg(F.sum("times").alias("votes"))
 
 
 def marker_words(sequences: DataFrame, label: str, k: int) -> DataFrame:
@@ -135,7 +154,7 @@ def dotplot(first: DataFrame, second: DataFrame, first_id: str, second_id: str,
     """Positions ``i, j`` of equal words at every ``step``-th place."""
     a = words(first.select(first_id, F.upper("seq").alias("seq")), word_size).filter(F.col("pos") % step == 0).withColumnRenamed("pos", "i")
     b = words(second.select(second_id, F.upper("seq").alias("seq")), word_size).filter(F.col("pos") % step == 0).withColumnRenamed("pos", "j")
-    return a.join(b, "word").select(first_id, second_id, "i", "j")
+    return word_join(a, b, "word").select(first_id, second_id, "i", "j")
 
 
 def distinct_sequences(df: DataFrame, id: str, seq: str = "seq") -> DataFrame:
@@ -162,7 +181,7 @@ def overlaps(df: DataFrame, id: str, min_overlap: int = 15, seq: str = "seq") ->
     d = distinct_sequences(df, id, seq).filter(F.length("seq") >= min_overlap)
     left = words(d.select(F.col(id).alias("src"), "seq"), min_overlap)
     right = d.select(F.col(id).alias("dst"), F.substring("seq", 1, min_overlap).alias("word"))
-    candidates = left.join(right, "word").filter("src <> dst").select("src", "pos", "dst")
+    candidates = word_join(right, left, "word").filter("src <> dst").select("src", "pos", "dst")
     texts = [d.select(F.col(id).alias(end), F.col("seq").alias(f"_{end}")) for end in ("src", "dst")]
     tail = F.expr("substring(_src, pos + 1)")
     return (
