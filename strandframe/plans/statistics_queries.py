@@ -361,6 +361,29 @@ def _trace_peaks(t):
     return rounded(traces.detect_peaks(trace(t)), "sample", "scan", "intensity", snr="snr")
 
 
+@query("prominent_peaks", """
+WITH t AS (SELECT o_orderkey % 3 AS sample, o_orderkey // 3 AS scan, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) - 1 AS i, abs(o_orderkey // 3 % 40 - 20) * 5000 + o_totalprice / 50 AS v FROM orders),
+s AS MATERIALIZED (SELECT sample, i, scan, v FROM t),
+n AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM s WINDOW w AS (PARTITION BY sample ORDER BY i)),
+k AS (SELECT * FROM n WHERE v > l AND v > r),
+h AS (SELECT k.sample, k.i, max(s.i) FILTER (s.i < k.i) AS a, min(s.i) FILTER (s.i > k.i) AS b FROM k LEFT JOIN s ON s.sample = k.sample AND s.v > k.v GROUP BY 1, 2),
+m AS (SELECT k.sample, k.i, any_value(k.v) AS v, any_value(k.scan) AS scan, min(s.v) FILTER (s.i < k.i) AS lo, min(s.v) FILTER (s.i > k.i) AS hi
+  FROM k JOIN h USING (sample, i) JOIN s ON s.sample = k.sample AND s.i > coalesce(a, -1) AND s.i < coalesce(b, 1e15) GROUP BY 1, 2),
+p AS (SELECT *, v - greatest(lo, hi) AS prom FROM m), q AS (SELECT *, v - prom / 2 AS line FROM p JOIN (SELECT sample, stddev_pop(v) AS sd FROM s GROUP BY 1) USING (sample) WHERE prom >= 1.5 * sd AND v >= 3),
+c AS (SELECT q.sample, q.i, max(s.i) FILTER (s.i < q.i) AS a, min(s.i) FILTER (s.i > q.i) AS b FROM q JOIN s ON s.sample = q.sample AND s.v <= q.line GROUP BY 1, 2),
+w AS (SELECT q.*, (b - (line - y.v) / (y1.v - y.v)) - (a + (line - x.v) / (x1.v - x.v)) AS width FROM q JOIN c USING (sample, i) JOIN s x ON x.sample = q.sample AND x.i = a JOIN s x1 ON x1.sample = q.sample AND x1.i = a + 1
+  JOIN s y ON y.sample = q.sample AND y.i = b JOIN s y1 ON y1.sample = q.sample AND y1.i = b - 1),
+z AS (SELECT sample, median(abs(v - l)) AS noise FROM n GROUP BY 1)
+SELECT sample, scan, round(v, 4) AS intensity, round(prom, 4) AS prominence, round(width, 4) AS width, round(v / greatest(noise, 1e-10), 4) AS snr FROM w JOIN z USING (sample) WHERE width >= 5
+""")
+def _prominent(t):
+    # order prices have no shape of their own: they are the noise on a wave of forty scans
+    wave = F.abs(F.col("scan") % 40 - 20) * 5000 + F.col("intensity") / 50
+    smooth = trace(t).withColumn("intensity", wave)
+    out = traces.prominent_peaks(smooth)
+    return rounded(out, "sample", "scan", digits=4, intensity="intensity", prominence="prominence", width="width", snr="snr")
+
+
 def backbone(t):
     """Three atoms per residue from consecutive vectors."""
     e = F.col("embedding")
