@@ -281,21 +281,40 @@ def p_distance_within(df: DataFrame, id: str, max_mismatches: int, seq: str = "s
     ).drop("_n")
 
 
-def amplicons(templates: DataFrame, primers: DataFrame, template_id: str) -> DataFrame:
-    """In-silico PCR of every template with every primer pair of a small table ``pair, forward, reverse``.
+def primer_places(templates: DataFrame, primers: DataFrame, template_id: str) -> DataFrame:
+    """``template_id, pair, fwd, rev``: the first place of the forward primer and of the reverse primer's complement, NULL where there is none.
 
-    Primer pairs are turned into one array per row by the caller's list, so the template is read once; misses are
-    kept with their ``reason``.
+    Both are looked up by their first letters among the words of the templates, then compared in full; primers of any number
+    are a table that is joined. A template and pair that share neither primer have no row.
     """
-    rows = [tuple(r) for r in primers.select("pair", "forward", "reverse").limit(1001).collect()]
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 primer pairs: split the primer table")
-    pairs = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(f.upper()).alias("forward"), F.lit(r.upper()).alias("reverse")) for p, f, r in rows])
-    at = templates.select(template_id, F.upper("seq").alias("_s"), F.inline(pairs))
-    at = at.withColumn("_rc", dna.reverse_complement("reverse")).withColumn("_f", F.expr("instr(_s, forward)")).withColumn("_r", F.expr("instr(_s, _rc)"))
-    reason = F.when(F.col("_f") == 0, "forward primer not found").when(F.col("_r") == 0, "reverse primer not found").when(F.col("_f") >= F.col("_r"), "primer orientation")
-    size = F.when(reason.isNull(), F.col("_r") - F.col("_f") + F.length("_rc"))
-    out = at.select(template_id, "pair", (F.col("_f") - 1).alias("fwd_pos"), (F.col("_r") - 1).alias("rev_pos"), size.cast("long").alias("size"), reason.alias("reason"))
+    ends = primers.select("pair", F.inline(F.array(
+        F.struct(F.lit("fwd").alias("side"), F.upper("forward").alias("text")),
+        F.struct(F.lit("rev").alias("side"), dna.reverse_complement(F.upper("reverse")).alias("text")),
+    ))).where("text <> ''")
+    shortest, longest = ends.agg(F.min(F.length("text")), F.max(F.length("text"))).first()
+    if shortest is None:
+        shortest = longest = 1
+    seeds = ends.withColumn("head", F.substring("text", 1, min(shortest, 12)))
+    padded = templates.select(template_id, F.concat(F.upper("seq"), F.lit("-" * (longest - 1))).alias("seq"))
+    at = words(padded, longest).withColumn("head", F.substring("word", 1, min(shortest, 12)))
+    found = word_join(seeds, at, "head").where(F.startswith("word", "text"))
+    place = lambda side: F.min(F.when(F.col("side") == side, F.col("pos"))).alias(side)
+    return found.groupBy(template_id, "pair").agg(place("fwd"), place("rev"))
+
+
+def amplicons(templates: DataFrame, primers: DataFrame, template_id: str, wanted: DataFrame | None = None) -> DataFrame:
+    """In-silico PCR with a table ``pair, forward, reverse`` of any size.
+
+    There is a row for each template and pair of ``wanted`` (``template_id, pair``), with its ``reason`` where there is no
+    product; without ``wanted``, for those that share at least one primer. Primers without letters are not found.
+    """
+    places = primer_places(templates, primers, template_id)
+    asked = places if wanted is None else wanted.select(template_id, "pair").join(places, [template_id, "pair"], "left")
+    at = asked.join(primers.select("pair", F.length("reverse").alias("_n")), "pair")
+    reason = F.when(F.col("fwd").isNull(), "forward primer not found").when(F.col("rev").isNull(), "reverse primer not found").when(F.col("fwd") >= F.col("rev"), "primer orientation")
+    size = F.when(reason.isNull(), F.col("rev") - F.col("fwd") + F.col("_n"))
+    missing = F.lit(-1).cast("long")
+    out = at.select(template_id, "pair", F.coalesce("fwd", missing).alias("fwd_pos"), F.coalesce("rev", missing).alias("rev_pos"), size.cast("long").alias("size"), reason.alias("reason"))
     n = F.col("size")
     return out.withColumn("efficiency", F.when(n < 500, 0.95).when(n < 2000, 0.90).when(n < 5000, 0.80).when(n.isNotNull(), 0.65))
 

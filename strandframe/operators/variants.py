@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import cut_lineage
 from . import ordered
 
 
@@ -70,22 +71,25 @@ def manhattan(df: DataFrame, p: str, gap: int = 0) -> DataFrame:
 def lead_snps(df: DataFrame, p_threshold: float = 5e-8, window: int = 500_000) -> DataFrame:
     """Lead rows by position: the first significant row, then the first one beyond ``window`` of each lead.
 
-    Coverage restarts at every lead, so the choice depends on the lead before; but rows further than ``window``
-    from the row before always start afresh. The axis is therefore split at such gaps into loci, found with tiled
-    scans, and only the rows of one locus are walked in order, as a fold over sorted positions.
+    Every row names its successor, the first row beyond its window. Rows further than ``window`` from the row before are leads
+    whatever came before them; from these starts, leads are what successors reach. Each round doubles the steps that a
+    pointer takes, so a chain of n leads needs log2(n) rounds, and no task holds a locus.
     """
     hits = df.filter(F.col("p_value") < p_threshold)
-    spots = hits.groupBy("chrom", "pos").agg(F.min_by(F.struct(*[c for c in df.columns if c not in ("chrom", "pos")]), F.col("snp_id")).alias("row"))
-    loci = ordered.islands(
-        spots, "pos", F.col("pos") - F.col("prev_pos") > window, ["chrom"], ordered.position_tile("pos"), ["pos"]
-    )
-    walk = F.aggregate(
-        F.array_sort(F.collect_list("pos")),
-        F.struct(F.lit(None).cast("long").alias("lead"), F.array().cast("array<bigint>").alias("leads")),
-        lambda a, x: F.when(
-            a["lead"].isNull() | (x > a["lead"] + window),
-            F.struct(x.alias("lead"), F.array_append(a["leads"], x).alias("leads")),
-        ).otherwise(a),
-    )["leads"]
-    chosen = loci.groupBy("chrom", "island").agg(walk.alias("_leads")).select("chrom", F.explode("_leads").alias("pos"))
-    return spots.join(chosen, ["chrom", "pos"]).select("chrom", "pos", "row.*")
+    spots = cut_lineage(hits.groupBy("chrom", "pos").agg(F.min_by(F.struct(*[c for c in df.columns if c not in ("chrom", "pos")]), F.col("snp_id")).alias("row")))
+    tile, places = ordered.position_tile("pos"), spots.select("chrom", "pos")
+    behind = ordered.previous_row(places, "pos", ["pos"], ["chrom"], tile)
+    reached = cut_lineage(behind.where(F.col("prev_pos").isNull() | (F.col("pos") - F.col("prev_pos") > window)).select("chrom", "pos"))
+    beyond = places.select("chrom", (F.col("pos") + window + 1).alias("pos"))
+    after = ordered.neighbours(places.withColumn("name", F.lit(0)), beyond, "pos", "name", ["chrom"], tile).where("after IS NOT NULL")
+    steps = after.select("chrom", (F.col("pos") - window - 1).alias("pos"), F.col("after.pos").alias("next"))
+    # a start needs no pointer to it
+    pointers = cut_lineage(steps.join(reached.withColumnRenamed("pos", "next"), ["chrom", "next"], "left_anti"))
+    while True:
+        new = cut_lineage(reached.join(pointers, ["chrom", "pos"]).select("chrom", F.col("next").alias("pos")))
+        if new.isEmpty():
+            break
+        reached = cut_lineage(reached.unionByName(new))
+        far = pointers.select("chrom", F.col("pos").alias("next"), F.col("next").alias("_next"))
+        pointers = cut_lineage(pointers.join(far, ["chrom", "next"]).select("chrom", "pos", F.col("_next").alias("next")))
+    return spots.join(reached, ["chrom", "pos"]).select("chrom", "pos", "row.*")

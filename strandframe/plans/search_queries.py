@@ -175,7 +175,23 @@ SELECT seq_id, pair, fwd_pos, rev_pos, CASE WHEN reason IS NULL THEN n ELSE -1 E
 
 @query("amplicons", _pcr_sql(), uses="dna")
 def _pcr(t):
-    return search.amplicons(t.dna, t.spark.createDataFrame(PRIMERS, "pair string, forward string, reverse string"), "seq_id").fillna(-1, ["size"])
+    primers = t.spark.createDataFrame(PRIMERS, "pair string, forward string, reverse string")
+    wanted = t.dna.select("seq_id", F.explode(F.array(*[F.lit(p) for p, _, _ in PRIMERS])).alias("pair"))
+    return search.amplicons(t.dna, primers, "seq_id", wanted).fillna(-1, ["size"])
+
+
+_PROBE_PCR = """
+, pr AS MATERIALIZED (SELECT probe_id::VARCHAR AS pair, left(seq, 6) AS f, right(seq, 6) AS r, reverse(translate(right(seq, 6), 'ACGT', 'TGCA')) AS reverse FROM probes WHERE length(seq) >= 12),
+a AS (SELECT seq_id, pair, instr(seq, f) AS x, instr(seq, r) AS y FROM dna, pr)
+SELECT seq_id, pair, (x - 1)::BIGINT AS fwd_pos, (y - 1)::BIGINT AS rev_pos, (y - x + 6)::BIGINT AS size FROM a WHERE x > 0 AND y > x
+"""
+
+
+@query("probe_amplicons", _PROBE_PCR, uses="dna probes")
+def _probe_pcr(t):
+    """A primer pair from the ends of every probe, over every sequence."""
+    ends = t.probes.where(F.length("seq") >= 12).select(F.col("probe_id").cast("string").alias("pair"), F.expr("left(seq, 6)").alias("forward"), D.reverse_complement(F.expr("right(seq, 6)")).alias("reverse"))
+    return search.amplicons(t.dna, ends, "seq_id").where("reason IS NULL").select("seq_id", "pair", "fwd_pos", "rev_pos", "size")
 
 
 @query("verify_inserts", """

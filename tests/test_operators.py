@@ -137,6 +137,20 @@ def test_lead_snps(spark):
     assert variants.lead_snps(table(spark, [("1", 1, "a", 0.5)], schema)).count() == 0
 
 
+def test_lead_snps_of_long_loci(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, int(p), f"{c}{i}", float(rng.choice([1e-9, 1e-3], p=[0.8, 0.2]))) for c in "ab" for i, p in enumerate(rng.choice(np.concatenate([np.arange(0, 3000), np.arange(50_000, 50_100)]), 700))]
+    want = []
+    for c in "ab":
+        lead = None
+        for p in sorted({r[1] for r in rows if r[0] == c and r[3] < 5e-8}):
+            if lead is None or p > lead + 25:
+                lead = p
+                want.append((c, p, min(r[2] for r in rows if r[:2] == (c, p) and r[3] < 5e-8)))
+    got = variants.lead_snps(table(spark, rows, "chrom string, pos long, snp_id string, p_value double"), window=25).select("chrom", "pos", "snp_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+
+
 def test_case_control_direction(spark):
     df = table(spark, [("1", 1, "rs1", 80, 120, 50, 150), ("1", 2, "rs2", 50, 150, 50, 150), ("1", 3, "rs3", 0, 0, 5, 5)], "chrom string, pos long, snp_id string, case_alt long, case_ref long, ctrl_alt long, ctrl_ref long")
     r = {x.snp_id: x for x in genetics.case_control(df).collect()}
