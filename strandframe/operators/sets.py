@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,6 +16,8 @@ from ..functions import stats
 from ..session import cut_lineage
 from . import ordered
 
+# functions that run in Python workers travel with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # ---- named sets: set_name, element ---------------------------------------------------------------------------
 
@@ -107,39 +113,54 @@ def enrichment_score(annotations: DataFrame, ranking: DataFrame, min_size: int =
     return peaks.select("term", F.col("k").alias("size"), F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("es"))
 
 
-def preranked_gsea(annotations: DataFrame, ranking: DataFrame, permutations: int = 1000, seed: int = 42, min_size: int = 15, max_size: int = 500) -> DataFrame:
-    """ES, normalised ES, permutation p and FDR per term; the null permutes gene labels by a seeded hash order.
+def null_scores(ranking: DataFrame, sizes: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
+    """``size, null``: for each ``size`` the enrichment scores of as many random sets of that size as there are permutations.
 
-    Each permutation re-ranks the genes; term members pick up their permuted rank and weight by a join.
+    A permutation is the order of ranks by the MD5 of ``seed:permutation:rank``, and its set of size k is the first k of them, so
+    one draw serves all sizes, and the scores of a size all terms of that size. Ranks beyond the largest size are cut off in the
+    tasks, before anything is sorted as a whole.
     """
-    genes = ranking = cut_lineage(ranking.select("gene", "rank", "score"))
-    shuffles = genes.select("gene", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    keyed = shuffles.withColumn("key", F.xxhash64(F.col("gene").cast("string"), "perm", F.lit(seed))).withColumn("one", F.lit(1))
-    # hash keys are evenly spread, so their leading bits cut each permutation into even tiles
-    placed = ordered.prefix_sums(keyed, "key", ["one"], ["perm"], F.shiftright("key", 54)).select(
-        "gene", "perm", (F.col("one_before") + 1).alias("rank")
-    )
-    null_rank = placed.join(genes.select("rank", "score"), "rank")
+    most = sizes.agg(F.max("size")).scalar()
+    wanted = sizes.agg(F.array_sort(F.collect_set(F.col("size").cast("long")))).scalar()
     n = ranking.agg(F.count(F.lit(1))).scalar()
-    hits = annotations.select("term", "gene").distinct().join(null_rank, "gene").withColumn("w", F.abs("score"))
-    w = W.partitionBy("term", "perm").orderBy("rank")
-    whole = W.partitionBy("term", "perm")
-    walk = hits.select(
-        "term", "perm", "rank", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(whole).alias("k"),
-        (F.sum("w").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum("w").over(whole)).alias("up"), (F.col("w") / F.sum("w").over(whole)).alias("step"),
-    ).filter(F.col("k").between(min_size, max_size)).withColumn("n", n)
-    miss = F.col("n") - F.col("k")
-    fall = (F.col("rank") - F.col("i")) / miss
-    null = walk.groupBy("term", "perm").agg(F.max(F.col("up") - fall).alias("hi"), F.min(F.col("up") - F.col("step") - fall).alias("lo")).select(
-        "term", F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("null_es")
-    )
-    observed = enrichment_score(annotations, ranking, min_size, max_size)
-    same = F.signum("null_es") == F.signum("es")
-    out = observed.join(null, "term").groupBy("term", "size", "es").agg(
-        F.avg(F.when(same, F.abs("null_es"))).alias("_m"), F.count_if(same).alias("_c"), F.count_if(same & (F.abs("null_es") >= F.abs("es"))).alias("_x")
-    )
+    drawn = ranking.select("rank", F.abs("score").cast("double").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    keyed = drawn.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "perm", "rank").cast("binary")))
+    first = keyed.withColumn("place", F.row_number().over(W.partitionBy("perm").orderBy("key"))).where(F.col("place") <= most)
+    # one row for each permutation, as long as the largest set
+    sets = first.groupBy("perm").agg(F.array_sort(F.collect_list(F.struct("place", "rank", "w"))).alias("d"))
+    rows = sets.select(F.transform("d", lambda x: x["rank"].cast("long")).alias("ranks"), F.transform("d", lambda x: x["w"]).alias("w"), wanted.alias("sizes"), n.alias("n"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for ranks, w, wanted_sizes, total in zip(batch["ranks"], batch["w"], batch["sizes"], batch["n"]):
+                for k in wanted_sizes:
+                    order = np.argsort(ranks[:k])
+                    step = np.asarray(w[:k])[order]
+                    up = np.cumsum(step) / step.sum() if step.sum() else np.zeros(k)
+                    fall = (np.asarray(ranks[:k])[order] - np.arange(1, k + 1)) / (total - k) if total > k else np.zeros(k)
+                    high, low = (up - fall).max(), (np.concatenate([[0.0], up[:-1]]) - fall).min()
+                    out.append((int(k), high if high >= -low else low))
+            yield pd.DataFrame(out, columns=["size", "es"])
+
+    return rows.mapInPandas(score, "size long, es double").groupBy("size").agg(F.collect_list("es").alias("null"))
+
+
+def preranked_gsea(annotations: DataFrame, ranking: DataFrame, permutations: int = 1000, seed: int = 42, min_size: int = 15, max_size: int = 500) -> DataFrame:
+    """ES, normalised ES, permutation p and FDR per term.
+
+    The p-value is the share of ``null_scores`` of the term's size and sign that are as far from zero; NES divides by their mean.
+    Scores of a size are one list that its terms look through, so no row is made for a term and permutation.
+    """
+    ranking = cut_lineage(ranking.select("gene", "rank", "score"))
+    observed = cut_lineage(enrichment_score(annotations, ranking, min_size, max_size))
+    null = null_scores(ranking, observed.select("size").distinct(), permutations, seed)
+    same = F.filter("null", lambda x: F.signum(x) == F.signum(F.col("es")))
+    with_null = observed.join(null, "size").withColumn("_same", same)
+    far = F.size(F.filter("_same", lambda x: F.abs(x) >= F.abs(F.col("es"))))
+    mean = F.aggregate("_same", F.lit(0.0), lambda a, x: a + F.abs(x)) / F.nullif(F.size("_same"), F.lit(0))
     return ordered.benjamini_hochberg(
-        out.select("term", "size", "es", (F.col("es") / F.col("_m")).alias("nes"), (F.col("_x") / F.greatest("_c", F.lit(1))).alias("p_value")), out="fdr"
+        with_null.select("term", "size", "es", (F.col("es") / mean).alias("nes"), (far / F.greatest(F.size("_same"), F.lit(1))).alias("p_value")), out="fdr"
     )
 
 

@@ -114,9 +114,24 @@ def _es(t):
     return rounded(sets.enrichment_score(annotations(t), ranking(t), 1, 1_000_000), "term", "size", es="es")
 
 
-@query("preranked_enrichment")
+_GSEA = _RANKING + """
+, tm AS (SELECT p_brand AS term, count(*) AS k, sum(abs(score)) AS mass FROM part JOIN q ON gene = p_partkey GROUP BY 1), total AS (SELECT count(*) AS n FROM q),
+ow AS (SELECT p_brand AS term, k, rank, row_number() OVER w AS i, abs(score) / mass AS step, sum(abs(score)) OVER w / mass AS up FROM part JOIN rk ON gene = p_partkey JOIN tm ON p_brand = term WINDOW w AS (PARTITION BY p_brand ORDER BY rank)),
+oe AS (SELECT term, k, max(up - (rank - i) / (n - k)) AS hi, min(up - step - (rank - i) / (n - k)) AS lo FROM ow, total GROUP BY 1, 2), es AS (SELECT term, k, CASE WHEN hi >= -lo THEN hi ELSE lo END AS es FROM oe),
+d AS (SELECT perm, rank, abs(score) AS w, row_number() OVER (PARTITION BY perm ORDER BY md5('42:' || perm || ':' || rank)) AS place FROM rk, range(1, 1001) AS r(perm)),
+h AS (SELECT k, perm, rank, w FROM d JOIN (SELECT DISTINCT k FROM tm) ON place <= k),
+nw AS (SELECT k, perm, rank, w / sum(w) OVER (PARTITION BY k, perm) AS step, row_number() OVER x AS i, sum(w) OVER x / sum(w) OVER (PARTITION BY k, perm) AS up FROM h WINDOW x AS (PARTITION BY k, perm ORDER BY rank)),
+ne AS (SELECT k, perm, max(up - (rank - i) / (n - k)) AS hi, min(up - step - (rank - i) / (n - k)) AS lo FROM nw, total GROUP BY 1, 2), null_es AS (SELECT k, CASE WHEN hi >= -lo THEN hi ELSE lo END AS x FROM ne),
+g AS (SELECT term, es.k, es, avg(abs(x)) FILTER (sign(x) = sign(es)) AS m, count(*) FILTER (sign(x) = sign(es)) AS c, count(*) FILTER (sign(x) = sign(es) AND abs(x) >= abs(es)) AS far FROM es JOIN null_es USING (k) GROUP BY 1, 2, 3),
+p AS (SELECT term, k, es, es / m AS nes, far / greatest(c, 1) AS p FROM g), f AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM p)
+SELECT term, k AS size, round(es, 6) AS es, round(nes, 5) AS nes, round(p, 6) AS p_value, round(least(1.0, min(raw) OVER (ORDER BY p DESC)), 5) AS fdr FROM f
+"""
+
+
+@query("preranked_enrichment", _GSEA)
 def _gsea(t):
-    return sets.preranked_gsea(annotations(t), ranking(t), min_size=1, max_size=1_000_000)
+    out = sets.preranked_gsea(annotations(t), ranking(t), min_size=1, max_size=1_000_000)
+    return rounded(out, "term", "size", es="es", nes=F.round("nes", 5), p_value="p_value", fdr=F.round("fdr", 5))
 
 
 def ontology(t):
