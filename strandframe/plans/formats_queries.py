@@ -27,7 +27,7 @@ def _vcf(t):
 
 @query("parse_sam", f"SELECT 'r' || event_id AS qname, (event_id % 4096)::INT AS flag, event_id AS pos, '4M' AS cigar, event_type AS seq, CASE WHEN event_id % 3 > 0 THEN (user_id % 9)::VARCHAR END AS nm {_KEPT}")
 def _sam(t):
-    lines = _lines(t, "@CO", "concat('r', event_id)", "event_id % 4096", "'chr1'", "event_id", "60", "'4M'", "'*'", "0", "0", "event_type", "'IIII'", "if(event_id % 3 > 0, concat('NM:i:', user_id % 9), 'x')")
+    lines = _lines(t, "@CO", "concat('r', event_id)", "event_id % 4096", "'chr1'", "event_id", "60", "'4M'", "'*'", "0", "0", "event_type", "'IIII'", "if(event_id % 3 > 0, 'NM:i:77', 'x')", "if(event_id % 3 > 0, concat('NM:i:', user_id % 9), 'x')")
     out = formats.parse_sam(lines)
     return out.select("qname", "flag", "pos", "cigar", "seq", F.col("tags")["NM"].alias("nm"))
 
@@ -45,7 +45,7 @@ def _bed(t):
 
 @query("parse_gff", f"SELECT 'chr1' AS chrom, event_type AS feature, event_id AS \"start\", event_id + 5 AS \"end\", 'g' || user_id AS id, 'a=b' AS note {_KEPT}")
 def _gff(t):
-    out = formats.parse_gff(_lines(t, "#", "'chr1'", "'src'", "event_type", "event_id", "event_id + 5", "'.'", "'+'", "'.'", "concat('ID=g', user_id, '; Note=a=b;')"))
+    out = formats.parse_gff(_lines(t, "#", "'chr1'", "'src'", "event_type", "event_id", "event_id + 5", "'.'", "'+'", "'.'", "concat('ID=earlier;Note=n; ID=g', user_id, '; Note=a=b;')"))
     return out.select("chrom", "feature", "start", "end", F.col("attributes")["ID"].alias("id"), F.col("attributes")["Note"].alias("note"))
 
 

@@ -8,8 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import balanced
-
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
 QUALITIES = "I5+?I:0DF#I;GI<H9I7E2ICI/A"
@@ -23,8 +21,17 @@ class Derived:
     needs: tuple[str, ...] = ()
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table in fewer files than the cluster has cores, as the driver's are, is dealt out before work on each row.
+
+    Only the list of files is looked at; a table of many files is read as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _letters(t):
-    return balanced(t.documents.select("doc_id", "text")).select(
+    return _spread(t.documents.select("doc_id", "text")).select(
         F.col("doc_id").alias("seq_id"), F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("letters")
     )
 

@@ -143,6 +143,29 @@ def tags(t):
     )
 
 
+def edited_tags(t):
+    """Tags of 20 letters, the same for three events in a row but for one letter, so that pairs grow with the table."""
+    e = F.col("event_id")
+    tag = F.substring(F.translate(F.md5(F.floor(e / 3).cast("string")), "0123456789abcdef", "AAAACCCCGGGGTTTT"), 1, 20)
+    place = (e % 3 * 6).cast("int")
+    return t.events.select(e.alias("tag"), F.concat(F.substring(tag, F.lit(1), place), F.lit("A"), F.substring(tag, place + 2, F.lit(20))).alias("seq"))
+
+
+_EDITED = """
+WITH t AS (SELECT event_id, substr(translate(md5((event_id // 3)::VARCHAR), '0123456789abcdef', 'AAAACCCCGGGGTTTT'), 1, 20) AS s, event_id % 3 * 6 AS p FROM events),
+u AS MATERIALIZED (SELECT min(event_id) AS id, substr(s, 1, p) || 'A' || substr(s, p + 2) AS seq FROM t GROUP BY 2)
+"""
+
+
+@query("p_distance_within_all", _EDITED + """
+, k AS (SELECT id, seq, unnest([0, 1, 2, 3]) AS k FROM u), g AS (SELECT id, k, substr(seq, k * 5 + 1, 5) AS part FROM k), c AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM g a JOIN g b ON a.k = b.k AND a.part = b.part AND a.id < b.id),
+p AS (SELECT id1, id2, list_sum(list_transform(range(1, 21), lambda i: CASE WHEN x.seq[i] <> y.seq[i] THEN 1 ELSE 0 END)) AS d FROM c JOIN u x ON x.id = id1 JOIN u y ON y.id = id2)
+SELECT id1, id2, round(d / 20.0, 6) AS distance FROM p WHERE d <= 3
+""")
+def _p_within_all(t):
+    return rounded(search.p_distance_within(edited_tags(t), "tag", 3), "id1", "id2", distance="distance")
+
+
 @query("p_distance_within", """
 WITH u AS (SELECT min(event_id) AS id, substr(translate(md5((event_id % 997)::VARCHAR), '0123456789abcdef', 'AAAACCCCGGGGTTTT'), 1, 12) AS seq FROM events GROUP BY 2),
 p AS (SELECT a.id AS id1, b.id AS id2, list_sum(list_transform(range(1, 13), lambda i: CASE WHEN a.seq[i] <> b.seq[i] THEN 1 ELSE 0 END)) AS d FROM u a JOIN u b ON a.id < b.id)
@@ -153,12 +176,12 @@ def _p_within(t):
 
 
 @query("p_distance_pairs", """
-, p AS (SELECT a.probe_id AS id, left(a.seq, 60) AS x, right(a.seq, 60) AS y FROM probes a WHERE length(a.seq) >= 60)
-SELECT id, round(list_sum(list_transform(range(1, 61), lambda i: CASE WHEN x[i] <> y[i] THEN 1 ELSE 0 END)) / 60.0, 6) AS distance FROM p
+, p AS (SELECT probe_id AS id, left(seq, length(seq) // 2) AS x, right(seq, length(seq) // 2) AS y FROM probes)
+SELECT id, round(coalesce(list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN x[i] <> y[i] THEN 1 ELSE 0 END)), 0) * 1.0 / greatest(length(x), 1), 6) AS distance FROM p
 """, uses="probes")
 def _p_pairs(t):
-    p = t.probes.filter(F.length("seq") >= 60)
-    return p.select(F.col("probe_id").alias("id"), F.round(D.p_distance(F.expr("left(seq, 60)"), F.expr("right(seq, 60)")), 6).alias("distance"))
+    half = t.probes.withColumn("h", F.floor(F.length("seq") / 2).cast("int"))
+    return half.select(F.col("probe_id").alias("id"), F.round(D.p_distance(F.expr("left(seq, h)"), F.expr("right(seq, h)")), 6).alias("distance"))
 
 
 PRIMERS = [("p1", "ACGTAC", "GTACGT"), ("p2", "TTGCA", "CCATG"), ("p3", "GATTACAG", "CTGTAATC")]
@@ -195,7 +218,7 @@ def _probe_pcr(t):
 
 
 @query("verify_inserts", """
-, p AS (SELECT seq_id, seq AS product, CASE seq_id % 3 WHEN 0 THEN substr(seq, 11, 30) WHEN 1 THEN reverse(translate(substr(seq, 11, 30), 'ACGT', 'TGCA')) ELSE substr(seq, 11, 20) || 'NNNNNNNNNNNN' END AS ins FROM dna WHERE length(seq) >= 40),
+, p AS (SELECT seq_id, seq AS product, CASE seq_id % 3 WHEN 0 THEN substr(seq, 11, 30) WHEN 1 THEN reverse(translate(substr(seq, 11, 30), 'ACGT', 'TGCA')) ELSE substr(seq, 11, 20) || 'NNNNNNNNNNNN' END AS ins FROM dna),
 q AS (SELECT *, reverse(translate(ins, 'ACGTN', 'TGCAN')) AS rc, length(ins) // 2 AS h FROM p), f AS (SELECT *, instr(product, ins) AS x, instr(product, rc) AS y FROM q)
 SELECT seq_id, x > 0 OR y > 0 AS insert_found, x > 0 AS forward_orientation, CASE WHEN x > 0 THEN x - 1 WHEN y > 0 THEN y - 1 ELSE -1 END AS insert_start, coalesce(CASE WHEN x > 0 THEN x - 1 WHEN y > 0 THEN y - 1 END + length(ins), -1) AS insert_end,
 CASE WHEN x > 0 AND y > 0 THEN 'both orientations' WHEN x = 0 AND y = 0 AND length(ins) > 20 AND contains(product, left(ins, h)) THEN '5'' half only' WHEN x = 0 AND y = 0 AND length(ins) > 20 AND contains(product, substr(ins, h + 1)) THEN '3'' half only'
@@ -205,7 +228,7 @@ def _inserts(t):
     part = F.substring("seq", 11, 30)
     k = F.col("seq_id") % 3
     ins = F.when(k == 0, part).when(k == 1, D.reverse_complement(part)).otherwise(F.concat(F.substring("seq", 11, 20), F.lit("NNNNNNNNNNNN")))
-    df = t.dna.filter(F.length("seq") >= 40).select("seq_id", F.col("seq").alias("product"), ins.alias("insert"))
+    df = t.dna.select("seq_id", F.col("seq").alias("product"), ins.alias("insert"))
     return search.verify_inserts(df).drop("product", "insert").fillna(-1, ["insert_start", "insert_end"])
 
 

@@ -52,13 +52,12 @@ def _translate(t):
 @query("base_composition", f"""
 , u AS (SELECT seq_id, upper(letters) AS seq FROM letters)
 SELECT seq_id, length(seq) AS length, {', '.join(f"{count_sql(b)} AS n_{b.lower()}" for b in 'ATGCN')},
-round({count_sql('AT')} * 100.0 / length(seq), 6) AS at_percent, round({count_sql('GC')} * 100.0 / length(seq), 6) AS gc_percent,
-round((length(seq) - {count_sql('ATGC')}) * 100.0 / length(seq), 6) AS other_percent FROM u WHERE length(seq) > 0
+round({count_sql('AT')} * 100.0 / greatest(length(seq), 1), 6) AS at_percent, round({count_sql('GC')} * 100.0 / greatest(length(seq), 1), 6) AS gc_percent,
+round((length(seq) - {count_sql('ATGC')}) * 100.0 / greatest(length(seq), 1), 6) AS other_percent FROM u
 """, uses="letters")
 def _composition(t):
     parts = dna.composition("letters")
-    df = t.letters.filter(F.length("letters") > 0)
-    return df.select(
+    return t.letters.select(
         "seq_id", *[(F.round(c, 6) if n.endswith("percent") else c).alias(n) for n, c in parts.items()]
     )
 

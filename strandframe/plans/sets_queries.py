@@ -192,23 +192,19 @@ def _network(t):
     return rounded(sets.network_summary(graph(t)), "nodes", "edges", "connected", density="density", mean_degree="mean_degree", clustering="clustering")
 
 
-def sparse(t):
-    return t.events.filter("value > 40").select(F.col("event_id").alias("src"), F.abs(F.col("event_id") - 1 - F.col("user_id")).alias("dst"))
+def blocks(t):
+    """An edge for every event; its ends lie in the same block of 97 ids, so the graph stays in pieces without leaving rows out."""
+    back = F.col("user_id") % (F.col("event_id") % 97 + 1)
+    return t.events.select(F.col("event_id").alias("src"), (F.col("event_id") - back).alias("dst"))
 
 
 @query("connected_components", """
-WITH RECURSIVE e AS MATERIALIZED (SELECT event_id AS a, abs(event_id - 1 - user_id) AS b FROM events WHERE value > 40 AND event_id <> abs(event_id - 1 - user_id)),
+WITH RECURSIVE e AS MATERIALIZED (SELECT event_id AS a, event_id - user_id % (event_id % 97 + 1) AS b FROM events WHERE user_id % (event_id % 97 + 1) <> 0),
 u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, l) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.l FROM r JOIN u ON u.a = r.n WHERE r.l <= u.b)
 SELECT n AS node, min(l) AS component FROM r GROUP BY 1
 """)
 def _components(t):
-    return sets.components(sparse(t))
-
-
-def blocks(t):
-    """An edge for every event; its ends lie in the same block of 97 ids, so the graph stays in pieces without leaving rows out."""
-    back = F.col("user_id") % (F.col("event_id") % 97 + 1)
-    return t.events.select(F.col("event_id").alias("src"), (F.col("event_id") - back).alias("dst"))
+    return sets.components(blocks(t))
 
 
 @query("connected_components_all")

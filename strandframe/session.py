@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,26 +28,23 @@ def build_session(app: str = "strandframe", cpus: int | None = None) -> SparkSes
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local tests) a temporary folder is used.
+    Where that setting is unset a local master (tests) gets a temporary folder; on any other master it is an error, since
+    a folder of one machine cannot be read by the others.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
-
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-ckpt-")
+    return base
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores.
 
-    A table of one row group is read by one task; heavy per-row work over it needs a round-robin
-    exchange first. Tables with enough splits are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_base(df.sparkSession))
+    return df.checkpoint()

@@ -206,6 +206,17 @@ def variant_intervals(vcf: DataFrame) -> DataFrame:
     return vcf.select("chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), "id")
 
 
+def _last_of_each(pairs: Column) -> Column:
+    """A map from an array of (key, value) structs; of a repeated key the last is kept."""
+    keys = F.transform(pairs, lambda x: x["key"])
+    lasts = F.filter(pairs, lambda x, i: F.array_position(F.reverse(keys), x["key"]) == F.size(pairs) - i)
+    return F.map_from_entries(lasts)
+
+
+def _pair(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"))
+
+
 SAM_COLUMNS = (
     ("qname", "string"), ("flag", "bigint"), ("rname", "string"), ("pos", "bigint"), ("mapq", "bigint"), ("cigar", "string"),
     ("rnext", "string"), ("pnext", "bigint"), ("tlen", "bigint"), ("seq", "string"), ("qual", "string"),
@@ -213,10 +224,10 @@ SAM_COLUMNS = (
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:
-    """Eleven typed SAM columns and ``tags``, a map from tag to value."""
+    """Eleven typed SAM columns and ``tags``, a map from tag to value; of a repeated tag the last is kept."""
     f = _fields(lines, 11, comment="@")
-    tags = F.map_from_entries(
-        F.transform(F.filter(F.slice("f", F.lit(12), F.size("f")), lambda x: F.length(x) >= 5), lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, 6, 1 << 30)))
+    tags = _last_of_each(
+        F.transform(F.filter(F.slice("f", F.lit(12), F.size("f")), lambda x: F.length(x) >= 5), lambda x: _pair(F.substring(x, 1, 2), F.substring(x, 6, 1 << 30)))
     )
     return f.select(*[(_at(i) if t == "string" else _number(i, t)).alias(n) for i, (n, t) in enumerate(SAM_COLUMNS)], tags.alias("tags"))
 
@@ -229,8 +240,8 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 def parse_sam_header(lines: DataFrame) -> DataFrame:
     """``record`` (HD, SQ, RG, PG) and its ``fields`` map."""
     head = lines.filter(F.col("line").rlike("^@(HD|SQ|RG|PG)\t"))
-    pairs = F.transform(F.slice(F.split("line", "\t"), F.lit(2), F.size(F.split("line", "\t"))), lambda x: F.struct(F.substring_index(x, ":", 1), F.regexp_replace(x, "^[^:]*:", "")))
-    return head.select(F.substring("line", 2, 2).alias("record"), F.map_from_entries(pairs).alias("fields"))
+    pairs = F.transform(F.slice(F.split("line", "\t"), F.lit(2), F.size(F.split("line", "\t"))), lambda x: _pair(F.substring_index(x, ":", 1), F.regexp_replace(x, "^[^:]*:", "")))
+    return head.select(F.substring("line", 2, 2).alias("record"), _last_of_each(pairs).alias("fields"))
 
 
 def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
@@ -264,9 +275,9 @@ def _annotation(lines: DataFrame, attributes: Column) -> DataFrame:
 
 
 def parse_gff(lines: DataFrame) -> DataFrame:
-    """GFF3 with its ``key=value;`` attributes as a map."""
+    """GFF3 with its ``key=value;`` attributes as a map; of a repeated key the last is kept."""
     items = F.filter(F.transform(F.split(_at(8), ";"), lambda x: F.trim(x)), lambda x: x.contains("="))
-    return _annotation(lines, F.map_from_entries(F.transform(items, lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", "")))))
+    return _annotation(lines, _last_of_each(F.transform(items, lambda x: _pair(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", "")))))
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_base
+
 
 def run_log_windows(log: DataFrame, window: str = "1 hour", delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Steps, total milliseconds and errors per tumbling window; rows later than ``delay`` are dropped."""
@@ -35,9 +36,8 @@ def quality_from_histogram(hist: DataFrame, sample: str = "sample") -> DataFrame
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for results and stream state: in the shared folder the cluster names, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    """A new folder for results and stream state in the shared folder."""
+    return os.path.join(shared_base(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def drain(stream: DataFrame, name: str, complete: bool = False) -> DataFrame:
