@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("matrix", "sequences", "coordinates", "statistics", "sets", "search", "learning", "formats")
+FAMILIES = ("matrix", "sequences", "coordinates", "statistics", "sets", "search", "learning", "formats", "files")
 
 
 def load() -> None:

@@ -317,12 +317,19 @@ def _read_errors(t):
     return t.reads.select("read_id", F.array_join(tables.fastq_errors(), ";").alias("errors"))
 
 
-@query("describe_columns")
+_DESCRIBED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("describe_columns", " UNION ALL ".join(
+    f"SELECT '{name}' AS summary, " + ", ".join(f"round({f}({c})::DOUBLE, 6) AS {c}" for c in _DESCRIBED) + " FROM lineitem"
+    for name, f in (("count", "count"), ("mean", "avg"), ("stddev", "stddev_samp"), ("min", "min"), ("max", "max"))
+))
 def _describe(t):
-    return t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax").summary("count", "mean", "stddev", "min", "max")
+    out = t.lineitem.select(*_DESCRIBED).summary("count", "mean", "stddev", "min", "max")
+    return out.select("summary", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in _DESCRIBED])
 
 
-@query("downsample")
+@query("downsample", "SELECT event_id, value FROM events ORDER BY md5(event_id || ':0'), event_id LIMIT 5000")
 def _downsample(t):
     return tables.downsample(t.events.select("event_id", "value"), "event_id", 5000)
 
