@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import dna
+from ..session import cut_lineage
 from . import ordered
 from .ordered import position_tile
 
@@ -178,30 +179,59 @@ def depth_edges(reads: DataFrame) -> DataFrame:
 
 def smoothed_depth(reads: DataFrame, width: int = 50) -> DataFrame:
     """``chrom, pos, total``: moving sum at each position where it is positive, within [0, axis size)."""
+    segments = clipped_segments(reads, width)
+    return segments.select("chrom", "slope", "moment", F.explode(F.sequence("first", "last")).alias("pos")).select("chrom", "pos", _line(F.col("pos")).alias("total")).filter("total > 0")
+
+
+def _line(at: Column) -> Column:
+    """The moving sum at a position of a segment."""
+    return F.col("slope") * (at + 1) - F.col("moment")
+
+
+def clipped_segments(reads: DataFrame, width: int = 50) -> DataFrame:
+    """``smoothed_segments`` within the axis: ``chrom, slope, moment, first, last``, positions inclusive."""
     seg = smoothed_segments(reads, width).join(chrom_sizes(reads), "chrom")
     first, last = F.greatest(F.col("start"), F.lit(0)), F.least(F.col("end"), F.col("size")) - 1
-    return (
-        seg.filter(last >= first)
-        .select("chrom", "slope", "moment", F.explode(F.sequence(first, last)).alias("pos"))
-        .select("chrom", "pos", (F.col("slope") * (F.col("pos") + 1) - F.col("moment")).alias("total"))
-        .filter("total > 0")
-    )
+    return seg.select("chrom", "slope", "moment", first.alias("first"), last.alias("last")).where("last >= first")
+
+
+def total_histogram(segments: DataFrame) -> DataFrame:
+    """``chrom, total, n``: positions per positive moving sum. A level segment is one row; only slopes, which end within two widths of a
+    read's edge, are looked at place by place."""
+    level = segments.where("slope = 0").select("chrom", (-F.col("moment")).alias("total"), (F.col("last") - F.col("first") + 1).alias("n"))
+    sloped = segments.where("slope <> 0").select("chrom", "slope", "moment", F.explode(F.sequence("first", "last")).alias("pos")).select("chrom", _line(F.col("pos")).alias("total"), F.lit(1).cast("long").alias("n"))
+    return level.unionAll(sloped).where("total > 0").groupBy("chrom", "total").agg(F.sum("n").alias("n"))
+
+
+def above_line(segments: DataFrame, cut: str) -> DataFrame:
+    """The part of each segment over the level ``cut``: ``start, end`` (exclusive), its highest ``total`` and the first ``summit`` there."""
+    cross = (F.col(cut) + F.col("moment")) / F.col("slope")
+    rising, falling = F.col("slope") > 0, F.col("slope") < 0
+    guess = F.when(rising, F.floor(cross)).when(falling, F.ceil(cross) - 2)
+    # the quotient may be off in its last digit: the place beside it decides
+    inner, outer = F.when(rising, 1).otherwise(-1), F.col("guess")
+    exact = F.when(_line(outer - inner) > F.col(cut), outer - inner).when(_line(outer) > F.col(cut), outer).otherwise(outer + inner)
+    met = segments.withColumn("guess", guess).withColumn("edge", exact)
+    low = F.when(rising, F.greatest("first", "edge")).otherwise(F.col("first"))
+    high = F.when(falling, F.least("last", "edge")).otherwise(F.col("last"))
+    cutout = met.where(F.col("slope").isNotNull() & ((F.col("slope") != 0) | (-F.col("moment") > F.col(cut)))).withColumn("low", low).withColumn("high", high).where("low <= high")
+    summit = F.when(rising, F.col("high")).otherwise(F.col("low"))
+    return cutout.select("chrom", F.col("low").alias("start"), (F.col("high") + 1).alias("end"), summit.alias("summit"), _line(summit).alias("total"), cut)
 
 
 def call_peaks(reads: DataFrame, width: int = 50, percentile: float = 0.95, min_score: float = 5.0, drop_open: bool = False) -> DataFrame:
-    """Runs where the smoothed depth exceeds the percentile of its positive values on the chromosome."""
-    signal = smoothed_depth(reads, width)
-    histogram = signal.groupBy("chrom", "total").agg(F.count(F.lit(1)).alias("n"))
-    tile = position_tile("total")
-    cut = ordered.histogram_quantiles(histogram, "total", "n", [percentile], BY, tile).withColumnRenamed("q0", "_cut")
-    above = signal.join(cut, "chrom").filter(F.col("total") > F.col("_cut")).select(
-        "chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), F.col("pos").alias("summit"), "total", "_cut"
-    )
-    folds = [
+    """Runs where the smoothed depth exceeds the percentile of its positive values on the chromosome.
+
+    The percentile and the runs come from straight segments; runs that touch are numbered in tiles and put together by number.
+    """
+    segments = cut_lineage(clipped_segments(reads, width))
+    cut = ordered.histogram_quantiles(total_histogram(segments), "total", "n", [percentile], BY, position_tile("total")).withColumnRenamed("q0", "_cut")
+    above = cut_lineage(above_line(segments.join(cut, "chrom"), "_cut"))
+    numbered = ordered.islands(above, "start", F.col("start") > F.col("prev_end"), BY, position_tile("start"), ["end"])
+    runs = numbered.groupBy("chrom", "island").agg(
         F.min_by("summit", F.struct(-F.col("total"), F.col("summit"))).alias("summit"),
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("total").alias("total"), F.first("_cut").alias("_cut"),
-    ]
-    runs = ordered.merged_runs(above, "start", F.col("start") > F.col("prev_end"), BY, position_tile("start"), ["end"], folds)
+    )
     peaks = runs.withColumn("score", F.col("total") / width).filter(F.col("score") >= min_score)
     if drop_open:
         peaks = peaks.join(chrom_sizes(reads), "chrom").filter(F.col("end") < F.col("size"))
