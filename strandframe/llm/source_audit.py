@@ -25,8 +25,9 @@ _HIGH, _LOW = 31_250, 32_000
 ADD = 5
 #: entries that a task counts before it passes them on
 _HELD = 400_000
-#: numbers in the matrix of one block of terms and all sources
-_BLOCK = 1 << 21
+#: numbers in the matrix of one block of terms and all sources, or eight terms for each source where that is more: a block gives a
+#: row for each pair of sources, which then stay few beside what it reads
+_BLOCK = 1 << 16
 # bytes of UTF-8 outside letters and the characters from U+0080 on become blanks, A-Z become a-z
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -126,7 +127,8 @@ class SourceAudit:
         every pair, which are as many rows as the report itself. A language with one source has no rows.
         """
         sources = self.groups.groupBy("lang").agg(F.max("terms").alias("terms"), F.sort_array(F.collect_list(F.struct("source", "of_source"))).alias("sources"))
-        blocks = F.ceil(F.col("terms") * F.size("sources") / _BLOCK).cast("int")
+        many = F.size("sources").cast("long")
+        blocks = F.ceil(F.col("terms") * many / F.greatest(F.lit(_BLOCK), 8 * many * many)).cast("int")
         sized = sources.withColumn("blocks", F.greatest(F.lit(1), blocks))
         asked = sized.select("lang", "sources", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         dealt = self.kept.join(sized.select("lang", "blocks"), "lang").select("lang", F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block"), "uses")
