@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
@@ -13,8 +19,12 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import testing
 
+# functions that run in Python workers travel with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def with_vector(df: DataFrame, array: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(array).cast("array<double>")))
@@ -30,6 +40,23 @@ def forest_classifier(df: DataFrame, label: str, features: str = "features", tre
     return cv.bestModel, cv.bestModel.transform(df), cv.avgMetrics[0]
 
 
+def forest_holdout(df: DataFrame, label: str, id: str, features: str = "features", trees: int = 100, test_percent: int = 20, seed: int = 42):
+    """A scaled random forest fitted on most rows and judged on the others: model, predictions of the held-out rows, and figures.
+
+    Rows are held out by a hash of ``id``, so the same ones in every run. The figures, one row, are ``n_train, n_test, accuracy``
+    and, for two classes, ``auc`` (NULL otherwise); ``confusion`` and ``importances`` take the predictions and the model.
+    """
+    rows = cut_lineage(df.withColumn("_held", F.pmod(F.xxhash64(F.col(id).cast("string"), F.lit(seed)), F.lit(100)) < test_percent))
+    train = rows.where("NOT _held")
+    forest = RandomForestClassifier(featuresCol="_scaled", labelCol="_label", numTrees=trees, seed=seed)
+    index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep", stringOrderType="alphabetAsc")
+    model = Pipeline(stages=[index, StandardScaler(inputCol=features, outputCol="_scaled", withMean=True), forest]).fit(train)
+    predicted = cut_lineage(model.transform(rows.where("_held")).drop("_held"))
+    classes = len(model.stages[0].labels)
+    figures = accuracy(predicted).select(F.lit(train.count()).alias("n_train"), F.col("n").alias("n_test"), "accuracy")
+    return model, predicted, figures.withColumn("auc", F.lit(binary_auc(predicted) if classes == 2 else None).cast("double"))
+
+
 def linear_svm(df: DataFrame, label: str, features: str = "features", iterations: int = 50):
     """Scaled linear support vector machine, one against the rest for more than two classes."""
     svm = LinearSVC(featuresCol="_scaled", labelCol="_label", maxIter=iterations)
@@ -84,12 +111,25 @@ def principal_components(df: DataFrame, k: int = 2, features: str = "features")
 def feature_covariance(df: DataFrame, array: str) -> DataFrame:
     """Sample covariance (i, j, covariance) of each pair i <= j of positions of an array column.
 
-    A row gives its pairs of positions, which are combined in the map tasks; what is shuffled is one row per pair and task.
+    A task adds up products of rows less their means as one matrix, batch by batch, and gives each of its cells once. Rows where
+    the array is null are left out; all arrays are of one length.
     """
-    left = df.select(F.col(array).alias("a"), F.posexplode(array).alias("i", "x"))
-    pairs = left.select("i", "x", F.posexplode(F.slice("a", F.col("i") + 1, F.size("a"))).alias("k", "y"))
-    value = F.covar_samp(F.col("x").cast("double"), F.col("y").cast("double"))
-    return pairs.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg(value.alias("covariance"))
+    rows = df.where(F.col(array).isNotNull()).select(F.col(array).cast("array<double>").alias("v"))
+    means = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))  # as many rows as positions
+    centre = np.array([r["m"] for r in sorted(means.collect(), key=lambda r: r["i"])])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums, gram = 0, np.zeros(len(centre)), np.zeros((len(centre), len(centre)))
+        for batch in batches:
+            x = np.array(batch["v"].tolist(), dtype=float).reshape(-1, len(centre)) - centre
+            n, sums, gram = n + len(x), sums + x.sum(axis=0), gram + x.T @ x
+        if n:
+            i, j = np.triu_indices(len(centre))
+            yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "n": n, "si": sums[i], "sj": sums[j], "sij": gram[i, j]})
+
+    parts = rows.mapInPandas(products, "i int, j int, n long, si double, sj double, sij double")
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
+    return total.select("i", "j", F.when(F.col("n") > 1, (F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("covariance"))
 
 
 def graph_clusters(edges: DataFrame, k: int, iterations: int = 20) -> DataFrame:

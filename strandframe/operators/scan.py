@@ -8,16 +8,22 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import dna
+from ..functions import dna, peptides
 from ..functions import fixed_values as V
 from . import pieces
 
+# functions that run in Python workers travel with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIECE = 1 << 16
 WORD_PIECE = 128
 #: sites of the whole catalogue begin at every fourth letter or so, and each costs time in proportion to those before it
@@ -379,65 +385,46 @@ def motif_presence(df: DataFrame, motifs: Sequence[str], seq: str = "seq") -> Da
 # ---- peptides ----------------------------------------------------------------------------------------------------
 
 
-def _scale(residue: Column, table: dict, default: float) -> Column:
-    """Value of a residue: its place in the fixed residue order picks from a constant array."""
-    values = F.array(F.lit(float(default)), *[F.lit(float(table[r])) for r in V.RESIDUES])
-    return F.get(values, F.instr(F.lit(V.RESIDUES), residue))
-
-
-def _mean(peptide: Column, value) -> Column:
-    return F.aggregate(F.split(peptide, ""), F.lit(0.0), lambda a, c: a + value(c)) / F.length(peptide)
-
-
-def _starts(df: DataFrame, sizes: Sequence[int], seq: str) -> DataFrame:
-    """Each start with the longest ``word`` there and every ``size`` that fits: peptides are cut from it later."""
-    longest = max(sizes)
-    padded = F.concat(F.col(seq), F.lit("-" * (longest - 1)))
-    at = words(df.withColumn("_len", F.length(seq)).withColumn(seq, padded), longest, seq)
-    return at.withColumn("size", F.explode(F.array(*[F.lit(w) for w in sizes]))).filter(F.col("pos") + F.col("size") <= F.col("_len"))
-
-
-def _peptides(starts: DataFrame, score: Column, threshold: float) -> DataFrame:
-    keep = [c for c in starts.columns if c not in ("_len", "pos", "word", "size")]
-    cut = starts.select(*keep, F.expr("left(word, size)").alias("peptide"), F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end"))
-    return cut.withColumn("score", F.round(score, 9)).filter(F.col("score") >= threshold)
+def _peptides(df: DataFrame, found, sizes: Sequence[int], seq: str) -> DataFrame:
+    """The peptides that ``found`` lists in pieces of the texts: other columns, ``peptide, start, end, score``."""
+    cut = pieces.cut(df, seq, max(sizes) - 1)
+    keep = [c for c in cut.columns if c not in pieces.OWN]
+    rows = cut.select(*keep, "offset", "text", F.inline(found("text", "size")))
+    start = F.col("offset") + F.col("at")
+    return rows.select(*keep, F.substring("text", F.col("at") + 1, F.col("width")).alias("peptide"), start.alias("start"), (start + F.col("width")).alias("end"), "score")
 
 
 def t_cell_epitopes(df: DataFrame, supertype: str = "A0201", sizes: Sequence[int] = (8, 9, 10, 11), threshold: float = 0.5, seq: str = "seq") -> DataFrame:
-    """Peptides by anchor residues and hydropathy; the cheap anchor bound is tested before the full score."""
+    """Peptides by anchor residues and hydropathy."""
     second, last = V.SUPERTYPES[supertype]
-    p2, p9 = F.substring("word", 2, 1), F.expr("substring(word, size, 1)")
-    anchors = (
-        0.3 * _scale(p2, V.ANCHOR, 0.1)
-        + 0.3 * _scale(p9, V.ANCHOR, 0.1)
-        + 0.2 * (F.when(p2.isin(*second), 0.3).otherwise(0.0) + F.when(p9.isin(*last), 0.3).otherwise(0.0))
-    )
-    hydro = _mean(F.col("peptide"), lambda c: _scale(c, V.HYDROPATHY, 0.0))
-    score = F.col("_anchors") + 0.2 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (hydro + 4.5) / 9))
-    near = _starts(df, sizes, seq).withColumn("_anchors", anchors).filter(F.col("_anchors") + 0.2 >= threshold - 1e-9)
-    return _peptides(near, score, threshold).drop("_anchors")
+    scales = {"anchor": peptides.per_residue(V.ANCHOR, 0.1), "hydro": peptides.per_residue(V.HYDROPATHY, 0.0), "second": peptides.members(second), "last": peptides.members(last)}
 
+    def score(mean, value):
+        anchors = 0.3 * value("anchor", 1) + 0.3 * value("anchor", -1) + 0.2 * (0.3 * value("second", 1) + 0.3 * value("last", -1))
+        return anchors + 0.2 * np.clip((mean("hydro") + 4.5) / 9, 0.0, 1.0)
 
-def _combined(parts: Sequence[tuple[float, dict, float]]) -> tuple[dict, float]:
-    """One residue scale (and its value for other letters) from weighted scales."""
-    table = {r: sum(w * t[r] for w, t, _ in parts) for r in V.RESIDUES}
-    return table, sum(w * d for w, _, d in parts)
+    return _peptides(df, peptides.window_scores(sizes, threshold, scales, score), sizes, seq)
 
 
 def b_cell_epitopes(df: DataFrame, window: int = 7, threshold: float = 1.0, seq: str = "seq") -> DataFrame:
     """Windows by accessibility, flexibility, propensity and hydrophilicity."""
-    table, other = _combined([(0.3, V.ACCESSIBILITY, 1.0), (0.2, V.FLEXIBILITY, 1.0), (0.3, V.PROPENSITY, 0.7)])
-    surface = _mean(F.col("peptide"), lambda c: _scale(c, table, other))
-    hydro = _mean(F.col("peptide"), lambda c: _scale(c, V.HYDROPATHY, 0.0))
-    score = surface + 0.2 * F.greatest(F.lit(0.0), -hydro / 4.5)
-    return _peptides(_starts(df, [window], seq), score, threshold)
+    surface = 0.3 * peptides.per_residue(V.ACCESSIBILITY, 1.0) + 0.2 * peptides.per_residue(V.FLEXIBILITY, 1.0) + 0.3 * peptides.per_residue(V.PROPENSITY, 0.7)
+    scales = {"surface": surface, "hydro": peptides.per_residue(V.HYDROPATHY, 0.0)}
+
+    def score(mean, value):
+        return mean("surface") + 0.2 * np.maximum(0.0, -mean("hydro") / 4.5)
+
+    return _peptides(df, peptides.window_scores([window], threshold, scales, score), [window], seq)
 
 
 def linear_epitopes(df: DataFrame, sizes: Sequence[int] = (10, 12, 15), threshold: float = 0.6, seq: str = "seq") -> DataFrame:
     """Windows by the mean of hydrophilicity, accessibility and propensity."""
-    table, other = _combined([(-1 / 13.5, V.HYDROPATHY, 0.0), (1 / 3, V.ACCESSIBILITY, 1.0), (1 / 3, V.PROPENSITY, 0.7)])
-    score = _mean(F.col("peptide"), lambda c: _scale(c, table, other))
-    return _peptides(_starts(df, sizes, seq), score, threshold)
+    parts = -peptides.per_residue(V.HYDROPATHY, 0.0) / 4.5 + peptides.per_residue(V.ACCESSIBILITY, 1.0) + peptides.per_residue(V.PROPENSITY, 0.7)
+
+    def score(mean, value):
+        return mean("all")
+
+    return _peptides(df, peptides.window_scores(sizes, threshold, {"all": parts / 3}, score), sizes, seq)
 
 
 def cleavage_sites(df: DataFrame, seq: str = "seq") -> DataFrame:

@@ -28,6 +28,25 @@ def _confusion(t):
     return learning.confusion(predicted)
 
 
+def two_classes(t):
+    return vectors(t).withColumn("label", F.when(F.col("label") < 5, "low").otherwise("high"))
+
+
+@query("forest_holdout")
+def _holdout(t):
+    return learning.forest_holdout(two_classes(t), "label", "vec_id")[2]
+
+
+@query("forest_holdout_confusion")
+def _holdout_confusion(t):
+    return learning.confusion(learning.forest_holdout(vectors(t), "label", "vec_id")[1])
+
+
+@query("forest_classifier_importances")
+def _classifier_importances(t):
+    return learning.importances(learning.forest_holdout(two_classes(t), "label", "vec_id")[0].stages[-1], 20)
+
+
 @query("linear_svm")
 def _svm(t):
     _, predicted = learning.linear_svm(vectors(t), "label", iterations=10)

@@ -304,3 +304,21 @@ def _qq(t):
     out = ordered.running_score(df, "score", "id")
     n = t.events.agg(F.count(F.lit(1))).scalar()
     return out.select("id", F.round(-F.col("score"), 6).alias("observed"), F.round(F.col("rank") / (n + 1.0), 6).alias("expected_p"))
+
+
+def _quantile_sql(p: str) -> str:
+    """The place where the normal distribution reaches ``p``, found by halving steps."""
+    steps = ", ".join(repr(8.0 / 2**i) for i in range(34))
+    upper = S.normal_p("abs(a + s)")
+    return f"list_reduce([-8.0, {steps}], lambda a, s: CASE WHEN (CASE WHEN a + s < 0 THEN ({upper}) / 2 ELSE 1 - ({upper}) / 2 END) <= {p} THEN a + s ELSE a END)"
+
+
+@query("normal_qq_points", f"""
+WITH s AS (SELECT c_custkey AS id, c_acctbal AS x, (row_number() OVER (ORDER BY c_acctbal, c_custkey) - 0.5) / count(*) OVER () AS e FROM customer)
+SELECT id, round(x, 6) AS observed, round({_quantile_sql("e")}, 3) + 0.0 AS expected FROM s
+""")
+def _normal_qq(t):
+    df = t.customer.select(F.col("c_custkey").alias("id"), (-F.col("c_acctbal")).alias("score"))
+    n = t.customer.agg(F.count(F.lit(1))).scalar()
+    out = ordered.running_score(df, "score", "id").withColumn("e", (F.col("rank") - 0.5) / n)
+    return out.select("id", F.round(-F.col("score"), 6).alias("observed"), (F.round(stats.normal_quantile("e"), 3) + 0.0).alias("expected"))

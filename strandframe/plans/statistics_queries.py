@@ -214,6 +214,17 @@ def _beta(t):
     return rounded(omics.beta_diversity(t.abundance), "sample1", "sample2", distance="distance")
 
 
+@query("beta_diversity_within", """
+WITH a AS (SELECT o_custkey AS sample, o_orderdate::DATE - DATE '1992-01-01' AS day, count(*) AS n FROM orders GROUP BY 1, 2), x AS (SELECT sample, day // 60 AS taxon, sum(n) AS c FROM a GROUP BY 1, 2),
+s AS (SELECT sample, sum(c) AS t FROM x GROUP BY 1), m AS (SELECT a.sample AS sample1, b.sample AS sample2, sum(least(a.c, b.c)) AS shared FROM x a JOIN x b ON a.taxon = b.taxon AND a.sample < b.sample GROUP BY 1, 2)
+SELECT sample1, sample2, round(1 - 2 * shared / (p.t + q.t), 6) AS distance FROM m JOIN s p ON p.sample = sample1 JOIN s q ON q.sample = sample2 WHERE 1 - 2 * shared / (p.t + q.t) <= 0.5 + 1e-12
+""")
+def _beta_within(t):
+    day = F.datediff("o_orderdate", F.lit("1992-01-01"))
+    visits = t.orders.groupBy(F.col("o_custkey").alias("sample"), F.floor(day / 60).alias("taxon")).agg(F.count(F.lit(1)).alias("count"))
+    return rounded(omics.beta_diversity_within(visits, 0.5), "sample1", "sample2", distance="distance")
+
+
 @query("taxon_abundance", 'SELECT event_type AS taxon, count(*) AS "count", round(count(*) * 100.0 / (SELECT count(*) FROM events), 6) AS relative_abundance FROM events GROUP BY 1')
 def _abundance(t):
     return rounded(omics.abundance(t.events.select(F.col("event_type").alias("taxon"))), "taxon", "count", relative_abundance="relative_abundance")

@@ -340,3 +340,40 @@ def test_record_checks(spark):
     with pytest.raises(ValueError, match="missing columns: z"):
         tables.require_columns(df, ["seq", "z"])
     assert tables.downsample(spark.range(100), "id", 7).collect() == tables.downsample(spark.range(100), "id", 7).collect()
+
+
+def test_near_samples_without_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i}", "everywhere", int(rng.integers(1, 30))) for i in range(60)]
+    rows += [(f"s{i}", f"t{int(x)}", int(rng.integers(1, 9))) for i in range(60) for x in set(rng.integers(0, 12, 1 + i % 9))] + [("none", "t1", 0)]
+    df = table(spark, rows, "sample string, taxon string, count long")
+    every = {(r.sample1, r.sample2): r.distance for r in omics.beta_diversity(df.where("count > 0")).collect()}
+    for most in (0.0, 0.2, 0.45, 0.8):
+        got = {(r.sample1, r.sample2): r.distance for r in omics.beta_diversity_within(df, most).collect()}
+        want = {p: d for p, d in every.items() if d <= most + 1e-12}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want), most
+    assert len(want) > len(got) / 2 and len(every) > len(want)
+
+
+def test_lags_over_block_edges(spark, monkeypatch):
+    monkeypatch.setattr(omics, "LAG_BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = {"a": rng.normal(size=100), "b": rng.normal(size=37)}
+    df = table(spark, [(c, i - 20, float(v)) for c, xs in x.items() for i, v in enumerate(xs)], "chain string, step long, x double")
+    for lags in (3, 50):
+        got = {(r.chain, r.lag): r["product"] for r in omics.lag_products(df, lags).collect()}
+        assert set(got) == {(c, k) for c in x for k in range(1, lags)}
+        assert all(abs(got[c, k] - float(x[c][:-k] @ x[c][k:] if k < len(x[c]) else 0)) < 1e-9 for c, k in got)
+
+
+def test_held_out_rows_judge_the_forest(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, "yes" if v[0] + 0.2 * v[1] > 0 else "no", [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(400, 4)))]
+    df = learning.with_vector(table(spark, rows, "id int, label string, v array<double>"), "v")
+    model, predicted, figures = learning.forest_holdout(df, "label", "id", trees=30)
+    r = figures.first()
+    assert r.n_train + r.n_test == 400 and 50 < r.n_test < 110 and predicted.count() == r.n_test
+    assert r.accuracy > 0.85 and r.auc > 0.93
+    assert learning.importances(model.stages[-1], 1).first().feature == 0 and learning.confusion(predicted).agg({"n": "sum"}).first()[0] == r.n_test
+    three = df.withColumn("label", F.when(F.col("id") % 3 == 0, "other").otherwise(F.col("label")))
+    assert learning.forest_holdout(three, "label", "id", trees=5)[2].first().auc is None
