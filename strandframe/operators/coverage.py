@@ -298,11 +298,11 @@ def structural_variants(sample: DataFrame, reference: DataFrame, width: int = 10
         .filter("sv_type IS NOT NULL")
     )
     breaks = (F.col("sv_type") != F.col("prev_sv_type")) | (F.col("start") > F.col("prev_end") + gap)
-    folds = [
-        F.min("start").alias("start"), F.max("end").alias("end"), F.first("sv_type").alias("sv_type"),
-        F.max("confidence").alias("confidence"), F.sum("support").alias("support"),
-    ]
-    out = ordered.merged_runs(calls, "start", breaks, BY, position_tile("start"), ["sv_type", "end"], folds)
+    # windows are of one width, so the row before ends last: runs are numbered in tiles and put together by number
+    numbered = ordered.islands(cut_lineage(calls), "start", breaks, BY, position_tile("start"), ["sv_type", "end"])
+    out = numbered.groupBy("chrom", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.first("sv_type").alias("sv_type"), F.max("confidence").alias("confidence"), F.sum("support").alias("support")
+    )
     return out.select(
         "chrom", "start", "end", "sv_type", (F.col("end") - F.col("start")).alias("size"), "confidence",
         F.col("support").alias("support_reads"),

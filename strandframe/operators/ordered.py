@@ -228,26 +228,6 @@ def islands(df: DataFrame, key: str, breaks: Column, part: Sequence[str], tile:
     return out.withColumn("island", F.col("_break_before") + F.col("_break")).select(*df.columns, "island")
 
 
-def merged_runs(
-    df: DataFrame, key: str, breaks: Column, part: Sequence[str], tile: Column, columns: Sequence[str], folds: Sequence[Column]
-) -> DataFrame:
-    """Merge neighbouring rows into runs in two levels, each with the same ``breaks`` and ``folds``.
-
-    Rows are first merged inside each tile, which leaves one row per run and tile; only these are then merged
-    along the whole part. ``folds`` are aggregates that keep the column names, so that they can be applied twice.
-    """
-
-    def level(rows: DataFrame, window_part: list[str]) -> DataFrame:
-        w = W.partitionBy(*window_part).orderBy(key)
-        flagged = rows.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns]).withColumn(
-            "_break", F.when(F.coalesce(breaks, F.lit(True)), 1).otherwise(0)
-        )
-        return flagged.withColumn("_run", F.sum("_break").over(w)).groupBy(*window_part, "_run").agg(*folds).drop("_run")
-
-    local = level(df.withColumn("_tile", tile), [*part, "_tile"]).drop("_tile")
-    return level(local, list(part))
-
-
 def neighbours(points: DataFrame, queries: DataFrame, pos: str, name: str, part: Sequence[str], tile: Column) -> DataFrame:
     """For each distinct query position the nearest point at or before it and at or after it.
 
