@@ -185,16 +185,20 @@ class Vocabulary:
         """Ids of each text between the begin and the end id."""
         cut = [self.stretches(self.normalized(t)) for t in texts]
         every = set().union(*cut)
-        long = {s: self._ids_of(self.merged(s)) for s in every if len(s) > _CACHED_CHARS}
-        new = [s for s in every if s not in self.known and s not in long]
-        if len(self.known) + len(new) > _CACHED:
-            self.known.clear()
-            new = [s for s in every if s not in long]
-        if new:
-            self._learn(new)
-        packed = {**{s: self.known[s] for s in every if s not in long}, **long} if long else self.known
+        known = self.known
+        fresh = every.difference(known)
+        if len(known) + len(fresh) > _CACHED:
+            known.clear()
+            fresh = every
+        long = [s for s in fresh if len(s) > _CACHED_CHARS]
+        if len(long) < len(fresh):
+            self._learn(list(fresh.difference(long)))
+        for s in long:
+            known[s] = self._ids_of(self.merged(s))
         begin, end = (np.array([i], dtype="<u4").tobytes() for i in (self.begin, self.end))
-        out = [np.frombuffer(begin + b"".join(map(packed.__getitem__, stretches)) + end, dtype="<u4") for stretches in cut]
+        out = [np.frombuffer(begin + b"".join(map(known.__getitem__, stretches)) + end, dtype="<u4") for stretches in cut]
+        for s in long:  # only short stretches are remembered
+            del known[s]
         if not self.bytes:  # neighbouring unknown symbols are one
             out = [x[~((x == self.unknown) & np.append(False, x[:-1] == self.unknown))] for x in out]
         return out
