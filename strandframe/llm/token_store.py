@@ -233,7 +233,7 @@ def read_tokens(index: DataFrame, folder: str, columns: str, each: Callable[[int
     """``each(doc_id, ids)`` for the documents of ``index``: a tuple of ``columns`` after file, frame, place and doc_id.
 
     Only frames named in ``index`` are fetched and decompressed, one at a time; filter ``index`` to read few documents. Pass a
-    materialised ``index`` (a written table), so that reading does not start the writing again.
+    materialised ``index`` (a written table), so that reading does not start the writing again. Each file is a task of its own.
     """
     # a frame and the ids wanted of it: bounded by what a frame holds
     wanted = index.groupBy("file", "frame").agg(F.collect_set("doc_id").alias("ids"))
@@ -249,7 +249,9 @@ def read_tokens(index: DataFrame, folder: str, columns: str, each: Callable[[int
                 rows = [(file, frame, i, d, *each(d, x)) for i, (d, x) in enumerate(unpack_frame(reader.frame(frame))) if d in keep]
                 yield pd.DataFrame(rows, columns=["file", "frame", "place", "doc_id", *[c.split()[0] for c in columns.split(",")]])
 
-    return wanted.repartition("file").sortWithinPartitions("file", "frame").mapInPandas(read, f"file string, frame int, place int, doc_id long, {columns}")
+    # a task for each file: rows of the index are few bytes, so a number that is left open would be lowered to one task
+    files = max(1, index.agg(F.count_distinct("file")).first()[0])
+    return wanted.repartitionByRange(files, "file").sortWithinPartitions("file", "frame").mapInPandas(read, f"file string, frame int, place int, doc_id long, {columns}")
 
 
 def starts(sizes: DataFrame) -> DataFrame:
