@@ -170,4 +170,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5)
     """The rows of ``docs``, columns unchanged, in whose text no benchmark item was found."""
     found = contaminated(docs, benchmark, least=least).select(F.col("doc_id").alias("found_id"), F.col("row").alias("found_row")).distinct()
     # a list that grows with the table is never sent to every task
-    return docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("text") == F.col("found_row")), "left_anti")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))  # its columns may have any names
+    same = F.col("whole_row.doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("whole_row.text") == F.col("found_row"))
+    return packed.join(found.hint("merge"), same, "left_anti").select("whole_row.*")

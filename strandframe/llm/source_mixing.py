@@ -98,6 +98,7 @@ def mixed_rows(docs: DataFrame, shares: Mapping[str, int], other: int = 1, block
     """
     placed = mix(docs, shares, other, block_chars).select(F.col("doc_id").alias("mix_id"), F.col("row").alias("mix_row"), F.struct("slot", "at", "doc_id", "row").alias("mix_place"))
     first = placed.groupBy("mix_id", "mix_row").agg(F.min("mix_place").alias("mix_place"))
-    both = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64("text") == F.col("mix_row")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))  # its columns may have any names
+    both = packed.join(first.hint("merge"), F.col("whole_row.doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64("whole_row.text") == F.col("mix_row")))
     ordered = both.repartitionByRange(pieces(docs, 32 << 20), "mix_place").sortWithinPartitions("mix_place")
-    return ordered.select(*[f"`{c}`" for c in docs.columns])
+    return ordered.select("whole_row.*")

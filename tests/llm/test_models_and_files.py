@@ -193,3 +193,19 @@ def test_pipeline_stages(spark, tmp_path):
     every = {r[0] for r in rows}
     assert kept[0] == every - {102, 104} and kept[1] == kept[0] - {100, 101} and kept[2] == kept[1] - {103} and kept[3] == kept[2]
     assert kept[4] == kept[3] - {None} and corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+    from strandframe.llm import decontamination
+
+    items = sentences(20, 2, 30, 3000)
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(sentences(31, 12, 40, 3000))] + [(50, items[1], "en", "s1"), (None, "no id", "en", None), (51, None, None, None)]
+    docs = frame(spark, rows)
+    for name in ("found_id", "found_row", "mix_id", "mix_row", "mix_place", "whole_row"):
+        docs = docs.withColumn(name, F.lit(7))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    kept = decontamination.drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in rows if r[0] != 50)
+    mixed = source_mixing.mixed_rows(docs, {"s0": 2, "s1": 1}, 1, 300)
+    assert mixed.columns == docs.columns and sorted(str(r.doc_id) for r in mixed.collect()) == sorted(str(r[0]) for r in rows)
