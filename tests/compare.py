@@ -26,6 +26,8 @@ def connect(folder: str):
 
 def canonical(frame):
     frame = frame.reindex(sorted(frame.columns), axis=1)
+    # whole numbers with nulls are floats in the one frame and masked integers in the other
+    frame = frame.astype({c: "float64" for c, kind in frame.dtypes.items() if str(kind).startswith("Int")})
 
     def show(v):
         if v is None or pd.isna(v):
