@@ -49,7 +49,7 @@ def _classifier_importances(t):
 
 @query("linear_svm")
 def _svm(t):
-    _, predicted = learning.linear_svm(vectors(t), "label", iterations=10)
+    _, predicted = learning.linear_svm(vectors(t), "label")
     return learning.accuracy(predicted)
 
 

@@ -198,16 +198,19 @@ def blocks(t):
     return t.events.select(F.col("event_id").alias("src"), (F.col("event_id") - back).alias("dst"))
 
 
-@query("connected_components", """
+_COMPONENTS = """
 WITH RECURSIVE e AS MATERIALIZED (SELECT event_id AS a, event_id - user_id % (event_id % 97 + 1) AS b FROM events WHERE user_id % (event_id % 97 + 1) <> 0),
 u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, l) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.l FROM r JOIN u ON u.a = r.n WHERE r.l <= u.b)
 SELECT n AS node, min(l) AS component FROM r GROUP BY 1
-""")
+"""
+
+
+@query("connected_components", _COMPONENTS)
 def _components(t):
     return sets.components(blocks(t))
 
 
-@query("connected_components_all")
+@query("connected_components_all", _COMPONENTS)
 def _components_all(t):
     return sets.components(blocks(t))
 
