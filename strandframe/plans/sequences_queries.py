@@ -15,6 +15,11 @@ RC = "reverse(translate(seq, 'ACGTNacgtn', 'TGCANtgcan'))"
 CODON_MAP = "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in dna.CODONS.items()) + "}"
 
 
+def scaled_round(c, digits: int = 6):
+    """Rounded as DuckDB does, the product with the power of ten first: that decides means that lie between two results."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def count_sql(chars: str, s: str = "seq") -> str:
     return f"(length({s}) - length(regexp_replace({s}, '[{chars}]', '', 'g')))"
 
@@ -67,8 +72,10 @@ def _composition(t):
 SELECT read_id, round(avg(q), 6) AS mean, min(q) AS low, max(q) AS high, sum(q)::BIGINT AS total FROM s GROUP BY read_id
 """, uses="reads")
 def _phred(t):
-    s = t.reads.select("read_id", "qual", dna.phred_scores("qual").alias("s"), dna.score_sum("qual").alias("total"))
-    return s.select("read_id", F.round(F.col("total") / F.length("qual"), 6).alias("mean"), F.array_min("s").alias("low"), F.array_max("s").alias("high"), "total")
+    # as in the SQL, a read without letters has the one score -33 of the empty letter that it splits into
+    s = t.reads.where("qual IS NOT NULL").select("read_id", dna.phred_scores("qual").alias("s"))
+    s = s.withColumn("total", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x))
+    return s.select("read_id", scaled_round(F.col("total") / F.size("s")).alias("mean"), F.array_min("s").alias("low"), F.array_max("s").alias("high"), "total")
 
 
 @query("melting_temperature", f"""
@@ -153,7 +160,7 @@ SELECT seq_id, count(*) AS windows, round(avg(gc), 6) AS mean_gc, round(min(gc),
 """, uses="dna")
 def _window_gc(t):
     return scan.window_gc(t.dna).groupBy("seq_id").agg(
-        F.count(F.lit(1)).alias("windows"), F.round(F.avg("gc"), 6).alias("mean_gc"), F.round(F.min("gc"), 6).alias("low_gc"),
+        F.count(F.lit(1)).alias("windows"), scaled_round(F.avg("gc")).alias("mean_gc"), F.round(F.min("gc"), 6).alias("low_gc"),
         F.round(F.max("gc"), 6).alias("high_gc"), F.sum("pos").alias("positions"),
     )
 

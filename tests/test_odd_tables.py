@@ -16,3 +16,35 @@ def test_log_rank_of_many_subjects(spark):
     small = omics.log_rank(rows.where("id < 12000"), F.col("first")).first()
     assert got.statistic > 50 * small.statistic > 0 and got.p_value < 1e-6
     assert 0 <= omics.median_split_hazard(rows).first().p_value <= 1
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """A folder of tables whose documents are two files, some texts without letters, empty or missing."""
+    import os
+
+    from compare import SMALL
+
+    folder = tmp_path_factory.mktemp("odd")
+    for name in os.listdir(SMALL):
+        if name != "documents.parquet":
+            os.symlink(f"{SMALL}/{name}", folder / name)
+    (folder / "documents.parquet").mkdir()
+    text = "CASE doc_id % 17 WHEN 3 THEN '12 34!' WHEN 5 THEN '' WHEN 7 THEN NULL ELSE text END"
+    for part in (0, 1):
+        duckdb.sql(f"COPY (SELECT * REPLACE ({text} AS text) FROM '{SMALL}/documents.parquet' WHERE doc_id % 2 = {part}) TO '{folder}/documents.parquet/part-{part}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def same_as_sql(spark, folder, name):
+    import __spark_entry__ as entry
+    from compare import canonical
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()[name]).df()
+    assert canonical(entry.queries()[name](spark, folder).toPandas()) == canonical(want)
+
+
+def test_scores_of_reads_without_letters(spark, odd):
+    same_as_sql(spark, odd, "phred_statistics")
