@@ -57,3 +57,15 @@ def test_gc_of_a_sequence_without_letters(spark, odd):
 @pytest.mark.parametrize("name", ["trim_reads", "trim_report"])
 def test_reads_trimmed_to_nothing(spark, odd, name):
     same_as_sql(spark, odd, name)
+
+
+def test_stream_over_a_folder_of_files(spark, odd, tmp_path):
+    import __spark_entry__ as entry
+    from strandframe.streaming import queries as streaming
+
+    got = entry.queries()["stream_read_quality"](spark, odd).collect()
+    letters = duckdb.sql(f"SELECT sum(length(regexp_replace(lower(text), '[^a-z]', '', 'g'))) FROM '{odd}/documents.parquet/*.parquet'").fetchone()[0]
+    assert sum(r.bases for r in got) == letters
+    # no file at all: no batch runs, and the result has no rows
+    stream = spark.readStream.schema("sample string, qual string").parquet(str(tmp_path))
+    assert streaming.drain(streaming.quality_histogram(stream), "empty", complete=True).count() == 0
