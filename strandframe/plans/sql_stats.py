@@ -26,9 +26,14 @@ def _series(x: str, a: str, b: str) -> str:
 
 
 def beta(x: str, a: str, b: str) -> str:
-    """Regularised incomplete beta I_x(a, b)."""
+    """Regularised incomplete beta I_x(a, b).
+
+    The series in x takes its thousand terms up to x = 0.97. Beyond, with a large ``a``, it is taken in 1 - x, which needs about
+    a (1 - x) terms; where those were over 300 the value is under 1e-100.
+    """
+    direct = f"{x} < (({a})+1)/(({a})+({b})+2) AND ({x} < 0.97 OR ({a})*(1-({x})) > 300)"
     return (
-        f"(CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 WHEN {x} < (({a})+1)/(({a})+({b})+2) THEN {_series(x, a, b)} "
+        f"(CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 WHEN {direct} THEN {_series(x, a, b)} "
         f"ELSE 1 - {_series(f'(1-({x}))', b, a)} END)"
     )
 

@@ -69,3 +69,16 @@ def test_stream_over_a_folder_of_files(spark, odd, tmp_path):
     # no file at all: no batch runs, and the result has no rows
     stream = spark.readStream.schema("sample string, qual string").parquet(str(tmp_path))
     assert streaming.drain(streaming.quality_histogram(stream), "empty", complete=True).count() == 0
+
+
+@pytest.mark.parametrize("t, df", [(2.1, 10.0), (3.4, 15_538.0), (0.7, 400_000.0), (35.0, 5_000.0)])
+def test_sql_of_student_p_for_many_rows(t, df):
+    """The thousand terms of the SQL's series once fell short with many degrees of freedom."""
+    import numpy as np
+
+    from strandframe.functions.stats import incomplete_beta
+    from strandframe.plans import sql_stats
+
+    got = duckdb.sql(f"SELECT {sql_stats.student_p('t', 'df')} FROM (SELECT {t}::DOUBLE AS t, {df}::DOUBLE AS df)").fetchone()[0]
+    want = incomplete_beta(np.array([df / 2]), 0.5, np.array([df / (df + t * t)]))[0]
+    assert abs(got - want) < 1e-8
