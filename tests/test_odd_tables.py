@@ -64,7 +64,7 @@ def test_stream_over_a_folder_of_files(spark, odd, tmp_path):
     from strandframe.streaming import queries as streaming
 
     got = entry.queries()["stream_read_quality"](spark, odd).collect()
-    letters = duckdb.sql(f"SELECT sum(length(regexp_replace(lower(text), '[^a-z]', '', 'g'))) FROM '{odd}/documents.parquet/*.parquet'").fetchone()[0]
+    letters = duckdb.sql(f"SELECT sum(length(regexp_replace(lower(text), '[^a-z]', '', 'g'))) FROM '{odd}/documents.parquet/*.parquet'").fetchall()[0][0]
     assert sum(r.bases for r in got) == letters
     # no file at all: no batch runs, and the result has no rows
     stream = spark.readStream.schema("sample string, qual string").parquet(str(tmp_path))
@@ -79,6 +79,6 @@ def test_sql_of_student_p_for_many_rows(t, df):
     from strandframe.functions.stats import incomplete_beta
     from strandframe.plans import sql_stats
 
-    got = duckdb.sql(f"SELECT {sql_stats.student_p('t', 'df')} FROM (SELECT {t}::DOUBLE AS t, {df}::DOUBLE AS df)").fetchone()[0]
+    got = duckdb.sql(f"SELECT {sql_stats.student_p('t', 'df')} FROM (SELECT {t}::DOUBLE AS t, {df}::DOUBLE AS df)").fetchall()[0][0]
     want = incomplete_beta(np.array([df / 2]), 0.5, np.array([df / (df + t * t)]))[0]
     assert abs(got - want) < 1e-8
