@@ -386,21 +386,21 @@ SELECT k.seq_id, substr(seq, start + 1, w) AS peptide, start, start + w AS "end"
 
 @query("t_cell_epitopes", _TCELL + _TOP.format("0.5"), uses="protein")
 def _tcell(t):
-    return _top_epitopes(scan.t_cell_epitopes(t.protein))
+    return _top_epitopes(scan.t_cell_epitopes(t.protein, best=50))
 
 
 @query("b_cell_epitopes", _AA + f""", e AS (SELECT seq_id, i AS start, 7 AS w, n, {_sum('h', 7)} / 7 AS h, {_sum('sa', 7)} / 7 AS sa, {_sum('fl', 7)} / 7 AS fl, {_sum('bp', 7)} / 7 AS bp FROM r),
 f AS (SELECT seq_id, start, w, round(0.3 * sa + 0.2 * fl + 0.3 * bp + 0.2 * greatest(0, -h / 4.5), 9) AS score FROM e WHERE start + w <= n)
 """ + _TOP.format("1.0"), uses="protein")
 def _bcell(t):
-    return _top_epitopes(scan.b_cell_epitopes(t.protein))
+    return _top_epitopes(scan.b_cell_epitopes(t.protein, best=50))
 
 
 @query("linear_epitopes", _AA + ", e AS (" + " UNION ALL ".join(
     f"SELECT seq_id, i AS start, {w} AS w, n, {_sum('(-h / 4.5 + sa + bp) / 3', w)} / {w} AS score FROM r" for w in (10, 12, 15)
 ) + "), f AS (SELECT seq_id, start, w, round(score, 9) AS score FROM e WHERE start + w <= n)" + _TOP.format("0.6"), uses="protein")
 def _linear_ep(t):
-    return _top_epitopes(scan.linear_epitopes(t.protein))
+    return _top_epitopes(scan.linear_epitopes(t.protein, best=50))
 
 
 @query("cleavage_sites", """

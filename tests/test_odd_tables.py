@@ -82,3 +82,26 @@ def test_sql_of_student_p_for_many_rows(t, df):
     got = duckdb.sql(f"SELECT {sql_stats.student_p('t', 'df')} FROM (SELECT {t}::DOUBLE AS t, {df}::DOUBLE AS df)").fetchall()[0][0]
     want = incomplete_beta(np.array([df / 2]), 0.5, np.array([df / (df + t * t)]))[0]
     assert abs(got - want) < 1e-8
+
+
+def test_epitopes_come_in_small_batches_and_the_best_are_exact(spark):
+    import random
+
+    import pyarrow as pa
+
+    from strandframe.functions import peptides
+    from strandframe.functions.fixed_values import RESIDUES
+    from strandframe.operators import scan
+
+    letters = random.Random(5)
+    texts = ["".join(letters.choice(RESIDUES) for _ in range(6000)) for _ in range(40)]
+    scales = {"x": peptides.per_residue({r: i % 3 for i, r in enumerate(RESIDUES)}, 0.0)}
+    rows = peptides.window_rows([3, 5], 0.0, scales, lambda mean, value: mean("x"), ["id"])
+    batch = pa.RecordBatch.from_pydict({"id": list(range(40)), "text": texts, "offset": [0] * 40, "size": [6000] * 40})
+    sizes = [b.num_rows for b in rows(iter([batch]))]
+    assert sum(sizes) == 40 * (5998 + 5996) and max(sizes) < 2 * peptides.ROWS
+    df = spark.createDataFrame(list(enumerate([*texts[:3], "", texts[3] * 3])), "seq_id long, seq string")
+    order = [F.desc(F.round("score", 6)), F.col("start"), F.col("end")]
+    for scan_of in (scan.t_cell_epitopes, scan.b_cell_epitopes, scan.linear_epitopes):
+        every, best = (sorted(map(tuple, scan.top_per_group(scan_of(df, threshold=0.2, best=n), ["seq_id"], order, 20).collect())) for n in (None, 20))
+        assert every == best and len(best) == 80
