@@ -125,3 +125,19 @@ def test_best_primer_over_piece_edges(spark, monkeypatch):
     kept = sites.where("gc BETWEEN 40 AND 70 AND tm BETWEEN 55 AND 65").withColumn("score", score).where("score > -1")
     want = {r.seq_id: (r.pos, r.word, r.score) for r in scan.top_per_group(kept, ["seq_id"], [F.desc("score"), F.col("pos")], 1).collect()}
     assert got == want and len(want) >= 3 and pieces.SIZE < 7000
+
+
+def test_near_texts_for_any_number_of_mismatches(spark):
+    import itertools
+    import random
+
+    from strandframe.operators import search
+
+    letters = random.Random(7)
+    seqs = {"".join(letters.choice("AC") for _ in range(n)) for n in (5, 6, 9) for _ in range(25)}
+    df = spark.createDataFrame(list(enumerate(sorted(seqs))), "id long, seq string")
+    rows = {r.id: r.seq for r in df.collect()}
+    for most in (0, 2):
+        got = sorted((r.id1, r.id2) for r in search.p_distance_within(df, "id", most).collect())
+        want = [(a, b) for a, b in itertools.combinations(sorted(rows), 2) if len(rows[a]) == len(rows[b]) and sum(x != y for x, y in zip(rows[a], rows[b])) <= most]
+        assert got == want
