@@ -141,3 +141,14 @@ def test_near_texts_for_any_number_of_mismatches(spark):
         got = sorted((r.id1, r.id2) for r in search.p_distance_within(df, "id", most).collect())
         want = [(a, b) for a, b in itertools.combinations(sorted(rows), 2) if len(rows[a]) == len(rows[b]) and sum(x != y for x, y in zip(rows[a], rows[b])) <= most]
         assert got == want
+
+
+def test_interval_pairs_meet_in_bins_of_their_length(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from compare import SMALL
+    from strandframe.operators import intervals
+
+    plain, sizes = intervals.overlap_pairs, []
+    monkeypatch.setattr(intervals, "overlap_pairs", lambda a, b, bin_size=1 << 12, **more: sizes.append(bin_size) or plain(a, b, bin_size, **more))
+    n = entry.queries()["interval_overlap_pairs"](spark, SMALL).count()
+    assert sizes[0] <= 512 and n > 0
