@@ -209,7 +209,8 @@ def _workflow(t):
 
 def event_stream(t, name):
     """The table, one file or a folder of files, as a file stream with its batch schema."""
-    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parquet")
+    # a stream takes the path of one file only as a pattern
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name[:-1]}[{name[-1]}].parquet")
 
 
 @query("stream_run_log_windows", """
