@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ from . import ordered
 # functions that run in Python workers travel with the job, so executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: draws of a null distribution that one task makes
+DRAWS = 1 << 24
+
 # ---- named sets: set_name, element ---------------------------------------------------------------------------
 
 
@@ -117,33 +121,48 @@ def null_scores(ranking: DataFrame, sizes: DataFrame, permutations: int, seed: i
     """``size, null``: for each ``size`` the enrichment scores of as many random sets of that size as there are permutations.
 
     A permutation is the order of ranks by the MD5 of ``seed:permutation:rank``, and its set of size k is the first k of them, so
-    one draw serves all sizes, and the scores of a size all terms of that size. Ranks beyond the largest size are cut off in the
-    tasks, before anything is sorted as a whole.
+    one draw serves all sizes, and the scores of a size all terms of that size. MD5s are even, so those of the largest set lie below
+    a bound known beforehand: the tasks that draw them drop the rest, and only the sets themselves are shuffled. Ten standard
+    deviations are left for chance; should a permutation still have too few below the bound, all are drawn again without one.
     """
-    most = sizes.agg(F.max("size")).scalar()
-    wanted = sizes.agg(F.array_sort(F.collect_set(F.col("size").cast("long")))).scalar()
-    n = ranking.agg(F.count(F.lit(1))).scalar()
-    drawn = ranking.select("rank", F.abs("score").cast("double").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    keyed = drawn.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "perm", "rank").cast("binary")))
-    first = keyed.withColumn("place", F.row_number().over(W.partitionBy("perm").orderBy("key"))).where(F.col("place") <= most)
-    # one row for each permutation, as long as the largest set
-    sets = first.groupBy("perm").agg(F.array_sort(F.collect_list(F.struct("place", "rank", "w"))).alias("d"))
-    rows = sets.select(F.transform("d", lambda x: x["rank"].cast("long")).alias("ranks"), F.transform("d", lambda x: x["w"]).alias("w"), wanted.alias("sizes"), n.alias("n"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for ranks, w, wanted_sizes, total in zip(batch["ranks"], batch["w"], batch["sizes"], batch["n"]):
-                for k in wanted_sizes:
-                    order = np.argsort(ranks[:k])
-                    step = np.asarray(w[:k])[order]
-                    up = np.cumsum(step) / step.sum() if step.sum() else np.zeros(k)
-                    fall = (np.asarray(ranks[:k])[order] - np.arange(1, k + 1)) / (total - k) if total > k else np.zeros(k)
-                    high, low = (up - fall).max(), (np.concatenate([[0.0], up[:-1]]) - fall).min()
-                    out.append((int(k), high if high >= -low else low))
-            yield pd.DataFrame(out, columns=["size", "es"])
-
-    return rows.mapInPandas(score, "size long, es double").groupBy("size").agg(F.collect_list("es").alias("null"))
+    most, n = sizes.agg(F.max("size")).first()[0] or 0, ranking.count()
+    wanted = sizes.agg(F.array_sort(F.collect_set(F.col("size").cast("long")))).first()[0]
+    share = (most + 10 * most**0.5 + 100) / max(n, 1)
+    # a ranking is few bytes, so it is dealt out by the draws that come of it
+    dealt = ranking.repartition(max(ranking.sparkSession.sparkContext.defaultParallelism, n * permutations // DRAWS), "rank")
+
+    def score(key: tuple, group: pa.Table) -> pa.Table:
+        ranks, w, md5 = (group.column(c).combine_chunks() for c in ("rank", "w", "key"))
+        high, low = np.frombuffer(b"".join(md5.to_pylist()), dtype=">u8").reshape(-1, 2).T
+        place = np.empty(len(ranks), np.int64)
+        place[np.lexsort((low, high))] = np.arange(len(ranks))
+        by_rank = np.argsort(ranks.to_numpy(), kind="stable")
+        place, ranks, w = place[by_rank], ranks.to_numpy()[by_rank], w.to_numpy(zero_copy_only=False)[by_rank]
+        out = []
+        for k in wanted:
+            if k > len(ranks):
+                out.append(None)
+                continue
+            mine = place < k
+            step = w[mine]
+            up = np.cumsum(step) / step.sum() if step.sum() else np.zeros(k)
+            fall = (ranks[mine] - np.arange(1, k + 1)) / (n - k) if n > k else np.zeros(k)
+            top, bottom = (up - fall).max(), (np.concatenate([[0.0], up[:-1]]) - fall).min()
+            out.append(float(top if top >= -bottom else bottom))
+        return pa.table({"size": pa.array(wanted, pa.int64()), "es": pa.array(out, pa.float64())})
+
+    def scored(bound: str | None) -> DataFrame:
+        drawn = dealt.select(F.col("rank").cast("long").alias("rank"), F.abs("score").cast("double").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+        keyed = drawn.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "perm", "rank").cast("binary")))
+        below = keyed if bound is None else keyed.where(F.col("key") < bound)
+        return cut_lineage(below.withColumn("key", F.unhex("key")).groupBy("perm").applyInArrow(score, "size long, es double"))
+
+    out = scored(f"{int(share * 16**12):012x}" if share < 1 else None)
+    # all permutations have a row, and a size without a score only where the bound left too few
+    whole, short = out.agg(F.count(F.lit(1)), F.count_if(F.col("es").isNull())).first()
+    if share < 1 and (short or whole < permutations * len(wanted)):
+        out = scored(None)
+    return out.groupBy("size").agg(F.collect_list("es").alias("null"))
 
 
 def preranked_gsea(annotations: DataFrame, ranking: DataFrame, permutations: int = 1000, seed: int = 42, min_size: int = 15, max_size: int = 500) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-computed fixtures and brute-force comparisons on small tables."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -314,6 +315,29 @@ def test_enrichment_null_is_seeded(spark):
     assert r["top"][2] > 0.9 and r["top"][4] <= 0.1 and all(0 <= x[4] <= 1 for x in first)
 
 
+def test_enrichment_null_shuffles_only_the_sets(spark):
+    """The draws that are shuffled are about as many as the largest set holds; without a bound there were 2,000 for each permutation."""
+    ranking = table(spark, [(i + 1, float(1000 - i)) for i in range(2000)], "rank long, score double")
+    seen = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: seen.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    before = stages().size()
+    got = {r.size: r.null for r in sets.null_scores(ranking, table(spark, [(1,), (20,)], "size long"), 50).collect()}
+    new = stages()
+    assert max(new.apply(i).shuffleWriteRecords() for i in range(new.size() - before)) < 50 * 200 + 2000
+    order = lambda perm: sorted(range(1, 2001), key=lambda r: hashlib.md5(f"42:{perm}:{r}".encode()).hexdigest())
+
+    def es(ranks):
+        w, high, low, run = {r: abs(1001.0 - r) for r in ranks}, 0.0, 0.0, 0.0
+        for i, r in enumerate(sorted(ranks)):
+            low = min(low, run - (r - i - 1) / (2000 - len(ranks)))
+            run += w[r] / sum(w.values())
+            high = max(high, run - (r - i - 1) / (2000 - len(ranks)))
+        return high if high >= -low else low
+
+    for k in (1, 20):
+        assert sorted(got[k]) == pytest.approx(sorted(es(order(p)[:k]) for p in range(1, 51)))
+
+
 def test_closure_with_a_diamond_and_a_ring(spark):
     edges = table(spark, [("d", "b"), ("d", "c"), ("b", "a"), ("c", "a"), ("a", "d")], "child string, parent string")
     got = {(r.node): r.depth for r in sets.closure(edges, table(spark, [("d",)], "node string")).collect()}
