@@ -306,6 +306,28 @@ def test_unitigs(spark):
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (4, 0), 9: (9, 0), 5: (5, 0), 6: (5, 1), 7: (5, 2)}
 
 
+def test_overlaps_reach_the_join_by_their_longest_run(spark, monkeypatch):
+    """Texts with a common beginning meet at an end of equal letters only, and rows are made for such ends alone, not for every place."""
+    random.seed(3)
+    letters = lambda n: "".join(random.choice("ACGT") for _ in range(n))
+    common = letters(15)
+    rows = [(i, letters(400) + common + letters(85)) for i in range(60)] + [(100 + i, common + letters(300)) for i in range(60)]
+    rows += [(200, letters(50) + rows[70][1][:40]), (201, letters(50) + common), (202, rows[71][1][:200]), (203, None), (204, "ACG")]
+    met = []
+    join = search.word_join
+    monkeypatch.setattr(search, "word_join", lambda a, b, key: met.append((a.count(), b.count())) or join(a, b, key))
+    got = {(r.src, r.dst): r.overlap for r in search.overlaps(table(spark, rows, "id long, seq string"), "id").collect()}
+    texts = {i: s for i, s in rows if s and len(s) >= 15}
+    want = {}
+    for i, s in texts.items():
+        for j, u in texts.items():
+            sizes = [n for n in range(15, min(len(s), len(u)) + 1) if i != j and u.startswith(s[-n:])]
+            if sizes:
+                want[i, j] = max(sizes)
+    assert got == want and len(want) > 60
+    assert max(b for _, b in met) < 1000
+
+
 def test_enrichment_null_is_seeded(spark):
     ranking = table(spark, [(i, i + 1, float(50 - i)) for i in range(100)], "gene int, rank long, score double")
     ann = table(spark, [("top", i) for i in range(20)] + [("mixed", i) for i in range(0, 100, 5)], "term string, gene int")
