@@ -328,6 +328,25 @@ def test_overlaps_reach_the_join_by_their_longest_run(spark, monkeypatch):
     assert max(b for _, b in met) < 1000
 
 
+def test_beta_diversity_in_cells(spark, monkeypatch):
+    """Several blocks give the distances of all pairs, and the names of all samples are never in one row."""
+    monkeypatch.setattr(omics, "BLOCK", 7)
+    random.seed(5)
+    rows = [(f"s{i}", f"t{random.randrange(6)}", random.randrange(4)) for i in range(40) for _ in range(3)] + [("none", "t0", 0), ("nil", None, 0)]
+    df = table(spark, rows, "sample string, taxon string, count long")
+    found = omics.beta_diversity(df)
+    assert "explode(slice" not in found._jdf.queryExecution().analyzed().toString() and "slice(" not in found._jdf.queryExecution().analyzed().toString()
+    per = {}
+    for s, t, c in rows:
+        per.setdefault(s, {}).setdefault(t, 0)
+        per[s][t] += c
+    want = {}
+    for a, b in itertools.combinations(sorted(per), 2):
+        whole = sum(per[a].values()) + sum(per[b].values())
+        want[a, b] = 1 - 2 * sum(min(per[a][t], per[b][t]) for t in per[a] if t in per[b]) / whole if whole else 0.0
+    assert {(r.sample1, r.sample2): r.distance for r in found.collect()} == pytest.approx(want)
+
+
 def test_enrichment_null_is_seeded(spark):
     ranking = table(spark, [(i, i + 1, float(50 - i)) for i in range(100)], "gene int, rank long, score double")
     ann = table(spark, [("top", i) for i in range(20)] + [("mixed", i) for i in range(0, 100, 5)], "term string, gene int")
