@@ -347,6 +347,20 @@ def test_beta_diversity_in_cells(spark, monkeypatch):
     assert {(r.sample1, r.sample2): r.distance for r in found.collect()} == pytest.approx(want)
 
 
+def test_beta_diversity_within_without_a_join_of_dense_taxa(spark, monkeypatch):
+    """Few taxa make no pairs to be shuffled; rare ones still meet by their prefixes. Both give the same pairs."""
+    random.seed(8)
+    df = table(spark, [(i, random.randrange(4), random.randrange(1, 5)) for i in range(30) for _ in range(3)], "sample long, taxon long, count long")
+    joined = []
+    join = omics.word_join
+    monkeypatch.setattr(omics, "word_join", lambda *args: joined.append(1) or join(*args))
+    dense = {(r.sample1, r.sample2): r.distance for r in omics.beta_diversity_within(df, 0.4).collect()}
+    assert not joined
+    monkeypatch.setattr(omics, "DENSE", 0)
+    by_prefix = {(r.sample1, r.sample2): r.distance for r in omics.beta_diversity_within(df, 0.4).collect()}
+    assert joined and dense == pytest.approx(by_prefix) and len(dense) > 10
+
+
 def test_enrichment_null_is_seeded(spark):
     ranking = table(spark, [(i, i + 1, float(50 - i)) for i in range(100)], "gene int, rank long, score double")
     ann = table(spark, [("top", i) for i in range(20)] + [("mixed", i) for i in range(0, 100, 5)], "term string, gene int")
