@@ -209,3 +209,18 @@ def test_stages_keep_columns_of_any_name(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in rows if r[0] != 50)
     mixed = source_mixing.mixed_rows(docs, {"s0": 2, "s1": 1}, 1, 300)
     assert mixed.columns == docs.columns and sorted(str(r.doc_id) for r in mixed.collect()) == sorted(str(r[0]) for r in rows)
+
+
+def test_new_words_are_asked_of_the_model():
+    """op9: words not seen before took most of the time, in the tokenizer's own cutting of lines."""
+    import public_tokenizers
+
+    encoder = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = encoder.tokenizer
+
+    class Without:
+        encode = whole.encode
+
+    encoder.tokenizer = Without()
+    texts = ["Zuzuch haingatwh, ciónboquerr.\nÈoué ÿß", "é" * 40 + " " + "x" * 33 + "!?"]
+    assert [x.tolist() for x in encoder.encode(texts, 2)] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
