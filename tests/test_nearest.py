@@ -60,3 +60,14 @@ def test_neighbours_are_true_distances(spark):
     want = {i: set(sorted((j for j in at if j != i), key=lambda j: math.dist(at[i], at[j]))[:3]) for i in at}
     assert len(out) == 180 and all(r.dst in want[r.src] for r in out)
     assert all(abs(r.distance - math.dist(at[r.src], at[r.dst])) < 1e-9 for r in out)
+
+
+def test_only_rows_within_the_limit_come_back():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 16)) + 1e4  # lengths beside which single precision loses the distances
+    a, b = x[:300], x[300:]
+    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    limit = np.sort(d, axis=1)[:, 3]
+    got = nearest._nearest(np.arange(300), a, np.arange(300, 900), b, 7, limit)
+    assert set(zip(got["src"], got["dst"])) == {(i, j + 300) for i, j in zip(*np.nonzero(d <= limit[:, None]))} and len(got) == 1200
+    assert (got["distance"].to_numpy() == d[got["src"], got["dst"] - 300]).all()
