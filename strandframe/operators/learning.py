@@ -135,7 +135,8 @@ def feature_covariance(df: DataFrame, array: str) -> DataFrame:
 def graph_clusters(edges: DataFrame, k: int, iterations: int = 20) -> DataFrame:
     """Power-iteration clusters of a neighbour graph, closer pairs weighing more."""
     w = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (1 / (1 + F.col("distance"))).alias("weight")).distinct()
-    return PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight").assignClusters(w)
+    # the clustering reads its edges more than once
+    return PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight").assignClusters(cut_lineage(w))
 
 
 def kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42) -> DataFrame:
