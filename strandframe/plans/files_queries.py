@@ -175,9 +175,10 @@ def _cells(t):
     # suppliers and genes are numbered from 0, so the line of a cell or gene follows from its number
     t.supplier.orderBy("s_suppkey").select(F.col("s_suppkey").cast("string")).write.text(f"{folder}/barcodes.tsv")
     t.spark.range(300).orderBy("id").select(F.concat(F.lit("g"), "id", F.lit("\tname"))).write.text(f"{folder}/features.tsv")
-    head = t.spark.createDataFrame([(0, "%%MatrixMarket"), (1, "300 1 1")], "k int, value string")
-    body = counts.select(F.lit(2).alias("k"), F.concat_ws(" ", (F.col("gene") + 1).cast("string"), (F.col("cell") + 1).cast("string"), F.col("n").cast("string")).alias("value"))
-    head.unionByName(body).orderBy("k").select("value").write.text(f"{folder}/matrix.mtx")
+    head = t.spark.createDataFrame([(0, "%%MatrixMarket"), (1, "300 1 1")], "k int, value string").select("k", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("long").alias("gene"), "value")
+    body = counts.select(F.lit(2).alias("k"), "cell", "gene", F.concat_ws(" ", (F.col("gene") + 1).cast("string"), (F.col("cell") + 1).cast("string"), F.col("n").cast("string")).alias("value"))
+    # after the head, entries go by cell and gene: ordered by "k" alone they would all be one task and one file
+    head.unionByName(body).orderBy("k", "cell", "gene").select("value").write.text(f"{folder}/matrix.mtx")
     return formats.read_mtx(t.spark, folder)
 
 
