@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shingles import WordHashes, shingle_set
+from .shingles import shingle_set, word_hashes
 from .text import written
 
 #: size of the bitmap of common shingles, whatever the corpus: 4 MB
@@ -126,12 +126,13 @@ def _common_bitmap(docs: DataFrame, size: int) -> np.ndarray:
     """Bitmap by hash of shingles that come often. It only orders shingles, so bits set by chance cost no link."""
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [shingle_set(hashes.of(hashes.words(t)), size) for t in batch.column(0).to_pylist() if t]
+            found = [shingle_set(word_hashes(t), size) for t in batch.column(0).to_pylist() if t]
             if found:
-                values, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values[counts >= COMMON_IN_BATCH] & ((1 << COMMON_BITS) - 1))], names=["h"])
+                values = np.sort(np.concatenate(found))
+                ahead = COMMON_IN_BATCH - 1
+                often = values[ahead:][values[ahead:] == values[: max(len(values) - ahead, 0)]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(often) & ((1 << COMMON_BITS) - 1))], names=["h"])
 
     words = docs.select("text").mapInArrow(frequent, "h long").groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
     bitmap = np.zeros(1 << (COMMON_BITS - 6), dtype=np.int64)
@@ -145,13 +146,14 @@ def prefix_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     common = np.packbits(_common_bitmap(docs, size))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, often = WordHashes(), np.unpackbits(common).astype(bool)
+        bits = np.unpackbits(common).astype(bool)
         for batch in batches:
             counts, marks, prefixes = [], [], []
             for text in batch.column(1).to_pylist():
-                s = shingle_set(hashes.of(hashes.words(text)) if text else np.zeros(0, np.uint64), size)
+                s = shingle_set(word_hashes(text or ""), size)
                 n = len(s)
-                order = np.lexsort((s, often[s & ((1 << COMMON_BITS) - 1)]))
+                often = bits[s & ((1 << COMMON_BITS) - 1)]
+                order = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])
                 counts.append(n)
                 marks.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                 prefixes.append(s[order[: n - (-(-percent * n // 100)) + 1]] if n else s)
@@ -213,8 +215,8 @@ def _searched(rows: DataFrame, size: int, percent: int) -> DataFrame:
     def find(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # the pivot first: it is the document most likely to be linked with the others
         group = group.sort_values(["asks", "doc_id"], ascending=[False, True], kind="stable")
-        hashes, ids = WordHashes(), group["doc_id"].tolist()
-        sets = [shingle_set(hashes.of(hashes.words(t)), size) for t in group["text"]]
+        ids = group["doc_id"].tolist()
+        sets = [shingle_set(word_hashes(t), size) for t in group["text"]]
         links = search(sets, np.flatnonzero(group["asks"].to_numpy()).tolist(), percent)
         return pd.DataFrame([(ids[a], ids[b]) for a, b in links], columns=["a", "b"]).astype("int64")
 

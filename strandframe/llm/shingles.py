@@ -7,6 +7,9 @@ import xxhash
 
 _CACHED = 500_000
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: words of more bytes are hashed one by one
+_LONG = 256
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -38,6 +41,28 @@ class WordHashes:
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of ``text``, as ``WordHashes`` tells words, eight bytes of all words at a time."""
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    padded = np.frombuffer(raw + bytes(9), dtype=np.uint8)
+    letters = padded[: len(raw)]
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    inside[1:-1] = (letters != 32) & (letters - np.uint8(9) > 4)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    h = mixed(sizes.astype(np.uint64) * K1)
+    h = mixed((h + (eights[starts] & _FIRST_BYTES[np.minimum(sizes, 8)])) * K1)
+    at, done = np.flatnonzero(sizes > 8), 8
+    while len(at) and done < _LONG:
+        h[at] = mixed((h[at] + (eights[starts[at] + done] & _FIRST_BYTES[np.minimum(sizes[at] - done, 8)])) * K1)
+        done += 8
+        at = at[sizes[at] > done]
+    for i in at.tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + sizes[i]])
+    return h
+
+
 def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words, by the place of its first word."""
     n = len(hashes) - size + 1
@@ -51,4 +76,5 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct n-grams; a shorter text is one shingle, a text without words has none."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    return np.unique(ngrams(hashes, min(size, len(hashes))).view(np.int64))
+    found = np.sort(ngrams(hashes, min(size, len(hashes))).view(np.int64))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
