@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import stats
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from . import ordered
 
 # functions that run in Python workers travel with the job, so executors need no copy of the package
@@ -22,6 +23,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: draws of a null distribution that one task makes
 DRAWS = 1 << 24
+#: nodes of highest degree that are told to every task; edges of a task's index; places of its table of marks; wedges tried at a time
+HUBS, INDEXED, MARKED, TRIED = 1 << 17, 1 << 21, 1 << 25, 1 << 22
+#: edges between which a task joins nodes at a time
+JOINED = 1 << 20
 
 # ---- named sets: set_name, element ---------------------------------------------------------------------------
 
@@ -223,7 +228,10 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    e = undirected(edges)
+    return _degrees(undirected(edges))
+
+
+def _degrees(e: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
@@ -231,22 +239,183 @@ def degree_distribution(edges: DataFrame) -> DataFrame:
     return degrees(edges).groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def oriented(e: DataFrame, d: DataFrame) -> DataFrame:
+    """Each edge of ``e`` as ``a, b``, from the end of lower degree to the other, ties by id; ``d`` has the degrees.
+
+    Only the ``HUBS`` nodes of highest degree count as having one, so no edge is moved. A node has at most ``HUBS`` out-neighbours or
+    as many as the highest degree of the others.
+    """
+    steps = d.groupBy("degree").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("degree", ascending=False)
+    least = steps["degree"][steps["n"].cumsum() <= HUBS].min()
+    hubs = d.where(F.col("degree") >= F.lit(int(least) if least == least else 1 << 62))
+    for end in ("src", "dst"):
+        e = e.join(F.broadcast(hubs.select(F.col("node").alias(end), F.col("degree").alias(f"_{end}"))), end, "left")
+    low = F.struct(F.coalesce("_src", F.lit(0)).alias("d"), F.col("src").alias("n")) < F.struct(F.coalesce("_dst", F.lit(0)).alias("d"), F.col("dst").alias("n"))
+    return e.select(F.when(low, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("b"))
+
+
+class _Closing:
+    """Edges b to c, looked up by what lies between the out-neighbours of a node; counts of triangles at b and c are kept."""
+
+    def __init__(self, b: np.ndarray, c: np.ndarray):
+        self.nodes = np.unique(np.concatenate([b, c]))
+        self.places = None if self.nodes.dtype.kind == "i" else {x: i for i, x in enumerate(self.nodes.tolist())}
+        start, target = self.place(b), self.place(c)
+        self.target = target[np.argsort(start, kind="stable")]
+        self.degree = np.bincount(start, minlength=len(self.nodes))
+        self.begin = np.cumsum(self.degree) - self.degree
+        self.found = np.zeros(len(self.nodes), dtype=np.int64)
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Places among the nodes, -1 for others."""
+        if self.places is not None:
+            return np.array([self.places.get(v, -1) for v in x.tolist()], dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.nodes, x), max(len(self.nodes) - 1, 0))
+        return np.where(self.nodes[at] == x, at, -1) if len(self.nodes) else np.full(len(x), -1)
+
+    def count(self, row: np.ndarray, n: np.ndarray, as_b: np.ndarray, as_c: np.ndarray) -> np.ndarray:
+        """Triangles at each of the nodes a, 0 to ``row[-1]``, whose out-neighbours are ``n``; ``row`` goes up."""
+        at = self.place(n)
+        row_b, b = (x[as_b & (at >= 0)] for x in (row, at))
+        row_c, c = (x[as_c & (at >= 0)] for x in (row, at))
+        out, most = np.zeros(int(row[-1]) + 1, dtype=np.int64), max(1, MARKED // max(1, len(self.nodes)))
+        for first in range(0, len(out), most):
+            (i, j), (k, m) = (np.searchsorted(x, [first, first + most]) for x in (row_b, row_c))
+            marks = np.zeros((min(most, len(out) - first), len(self.nodes)), dtype=bool)
+            marks[row_c[k:m] - first, c[k:m]] = True
+            ends = np.cumsum(self.degree[b[i:j]])
+            while i < j:
+                done = ends[-(j - i)] - self.degree[b[i]]
+                stop = i + max(1, int(np.searchsorted(ends[len(ends) - (j - i) :], done + TRIED, side="right")))
+                size = self.degree[b[i:stop]]
+                own = np.repeat(np.arange(i, stop), size)
+                tried = self.target[np.arange(len(own)) + np.repeat(self.begin[b[i:stop]] - np.cumsum(size) + size, size)]
+                hit = marks[row_b[own] - first, tried]
+                own, tried = own[hit], tried[hit]
+                out += np.bincount(row_b[own], minlength=len(out))
+                self.found += np.bincount(b[own], minlength=len(self.nodes)) + np.bincount(tried, minlength=len(self.nodes))
+                i = stop
+        return out
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """Triangles at each node.
 
-    Every edge points from the end of lower degree to the other (ties by id), so no node has more than the
-    square root of twice the edges as out-neighbours and hubs do not expand all pairs of their neighbours.
+    Every edge points from the end of lower degree to the other, so hubs do not expand all pairs of their neighbours. Of a triangle
+    a, b, c the edge b to c starts at a node that edges lead to. If such edges are few, every task has them all; otherwise they are dealt over
+    cells by both ends, and the out-neighbours of a go to the cells of one end each. Pairs of out-neighbours are tried where the list of
+    a node is, and never become rows.
     """
-    e = undirected(edges)
-    d = degrees(e)
-    ends = e.join(d.select(F.col("node").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("dd")), "dst")
-    low = F.struct(F.col("ds").alias("d"), F.col("src").alias("n")) < F.struct(F.col("dd").alias("d"), F.col("dst").alias("n"))
-    out = ends.select(F.when(low, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("b"))
-    ab = out.alias("ab")
-    bc = out.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    ac = out.select("a", F.col("b").alias("c"))
-    found = ab.join(bc, "b").join(ac, ["a", "c"])
-    return found.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
+    e = stored(undirected(edges))
+    return _triangles(e, stored(_degrees(e)))
+
+
+def _triangles(e: DataFrame, d: DataFrame) -> DataFrame:
+    out = oriented(e, d)
+    reached = stored(out.select(F.col("b").alias("a")).distinct())
+    known = F.broadcast(reached) if reached.count() <= HUBS else reached
+    inner = stored(out.join(known, "a", "left_semi"))
+    n, kind, tasks = inner.count(), e.schema["src"].dataType.simpleString(), int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = int(np.ceil(np.sqrt(n / INDEXED))) or 1
+    ends = None
+    if side == 1:
+        # the few nodes that close a triangle; lists need no others
+        ends = inner.toArrow()
+        ends = ends.column("a").to_numpy(), ends.column("b").to_numpy()
+        nodes = inner.select(F.explode(F.array("a", "b")).alias("b")).distinct()
+        lists = out.join(F.broadcast(nodes) if n <= HUBS else nodes, "b", "left_semi").select(F.lit(0).alias("cell"), F.lit(3).alias("role"), F.col("a").alias("x"), F.col("b").alias("y"))
+        rows = lists.repartition("x").sortWithinPartitions("x")
+    else:
+        part = lambda x: F.pmod(F.xxhash64(x), F.lit(side)).cast("int")
+        shares = -(-tasks // (side * side))
+        share, every, other = F.pmod(F.xxhash64(F.lit(1), "a"), F.lit(shares)), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+        index = inner.withColumn("_s", every).select(((part("a") * side + part("b")) * shares + F.col("_s")).cast("int").alias("cell"), F.lit(0).alias("role"), F.col("a").alias("x"), F.col("b").alias("y"))
+        dealt = out.withColumn("_o", other)
+        as_b = dealt.select(((part("b") * side + F.col("_o")) * shares + share).cast("int").alias("cell"), F.lit(1).alias("role"), F.col("a").alias("x"), F.col("b").alias("y"))
+        as_c = dealt.select(((F.col("_o") * side + part("b")) * shares + share).cast("int").alias("cell"), F.lit(2).alias("role"), F.col("a").alias("x"), F.col("b").alias("y"))
+        rows = index.unionByName(as_b).unionByName(as_c).repartition("cell").withColumn("_k", F.when(F.col("role") > 0, 1).otherwise(0)).sortWithinPartitions("cell", "_k", "x").drop("_k")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(nodes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes[n > 0], ids), pa.array(n[n > 0])], names=["node", "n"])
+
+        def tried(role: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            new = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            row = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(x))))
+            return counted(x[new], index.count(row, y, role & 1 > 0, role & 2 > 0))
+
+        cell, index, edges_, held = None, None, [], None
+        for batch in batches:
+            ids = batch.schema.field("x").type
+            cells, role, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for i, j in itertools.pairwise([0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]):
+                if i == j:
+                    continue
+                if cells[i] != cell:
+                    if held is not None:
+                        yield tried(*held)
+                    if index is not None:
+                        yield counted(index.nodes, index.found)
+                    cell, index, edges_, held = cells[i], None if ends is None else _Closing(*ends), [], None
+                known = i + int(np.count_nonzero(role[i:j] == 0))
+                if known > i:
+                    edges_.append((x[i:known], y[i:known]))
+                if known == j:
+                    continue
+                if index is None:
+                    nothing = x[:0]
+                    index, edges_ = _Closing(*(np.concatenate([nothing, *(p[k] for p in edges_)]) for k in (0, 1))), []
+                now = tuple(v[known:j] for v in (role, x, y))
+                held = now if held is None else tuple(np.concatenate(v) for v in zip(held, now))
+                # the list of the last node may go on in the next batch
+                last = int(np.flatnonzero(held[1] != held[1][-1])[-1]) + 1 if held[1][0] != held[1][-1] else 0
+                if last:
+                    yield tried(*(v[:last] for v in held))
+                    held = tuple(v[last:] for v in held)
+        if held is not None:
+            yield tried(*held)
+        if index is not None:
+            yield counted(index.nodes, index.found)
+
+    found = rows.mapInArrow(find, f"node {kind}, n long")
+    return found.groupBy("node").agg(F.sum("n").alias("triangles"))
+
+
+def _forest(out: DataFrame) -> DataFrame:
+    """Edges ``src, dst`` that join the same nodes as ``a, b`` of ``out``: of what a task reads, one for each node but the first of a part."""
+    kind = out.schema["a"].dataType.simpleString()
+
+    def joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        u, v = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        u, v = place[: len(u)], place[len(u) :]
+        root = np.arange(len(nodes))
+        while len(u):
+            root[np.maximum(u, v)] = np.minimum(u, v)
+            while not np.array_equal(root, up := root[root]):
+                root = up
+            u, v = root[u], root[v]
+            u, v = u[u != v], v[u != v]
+        other = np.flatnonzero(root != np.arange(len(nodes)))
+        return nodes[other], nodes[root[other]]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        whole = lambda pair: pa.RecordBatch.from_arrays([pa.array(x, ids) for x in pair], names=["src", "dst"])
+        for batch in batches:
+            ids = batch.schema.field("a").type
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            n += batch.num_rows
+            if n >= 2 * JOINED:
+                held = [joined(held)]
+                n = len(held[0][0])
+                if n > JOINED:
+                    yield whole(held[0])
+                    held, n = [], 0
+        if held:
+            yield whole(joined(held))
+
+    return out.repartition("a").mapInArrow(rows, f"src {kind}, dst {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,13 +446,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def network_summary(edges: DataFrame) -> DataFrame:
     """Nodes, edges, density, mean degree, connectedness and mean clustering coefficient of an undirected graph."""
-    d = degrees(edges)
+    e = stored(undirected(edges))
+    d = stored(_degrees(e))
     possible = F.col("degree") * (F.col("degree") - 1) / 2
-    local = d.join(triangles(edges), "node", "left").select(
+    local = d.join(_triangles(e, d), "node", "left").select(
         "degree", F.when(possible > 0, F.coalesce("triangles", F.lit(0)) / possible).otherwise(0.0).alias("c")
     )
     g = local.agg(F.count(F.lit(1)).alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.avg("c").alias("clustering"))
-    parts = components(edges).agg(F.countDistinct("component")).scalar()
+    parts = components(_forest(oriented(e, d))).agg(F.countDistinct("component")).scalar()
     n, m = F.col("nodes"), F.col("edges")
     return g.select("nodes", "edges", (2 * m / (n * (n - 1))).alias("density"), (2 * m / n).alias("mean_degree"), (parts == 1).alias("connected"), "clustering")
 
